@@ -8,10 +8,17 @@ checks.
 
 from __future__ import annotations
 
+import math
+
 from nextbest import constants as C
 from nextbest.sources import bindings
 
 
+def dbl(x) -> str:
+    """A DOUBLE literal (DuckDB reads a bare 0.1 as DECIMAL)."""
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
 def _catalog_values() -> str:
     rows = ", ".join(
         f"('{pid}', '{name}', '{cat}', '{cs}', '{inc}', '{seg}')" for pid, name, cat, cs, inc, seg in C.CATALOG_ROWS)
@@ -23,9 +30,10 @@ def _profiles_values() -> str:
     rows = []
     for ordinal, name in enumerate(C.PRODUCT_NAMES):
         w = C.PRODUCT_PROFILES[name]
-        rows.append(f"({ordinal}, '{name}', " + ", ".join(repr(float(x)) for x in w) + ")")
+        norm = math.sqrt(sum(float(x) * float(x) for x in w))
+        rows.append(f"({ordinal}, '{name}', " + ", ".join(dbl(x) for x in w) + f", {dbl(norm)})")
     cols = ", ".join(f"w_{c}" for c in C.SPEND_CATEGORIES)
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(product_ordinal, product_name, {cols})"
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(product_ordinal, product_name, {cols}, w_norm)"
 
 
 def _labels_values() -> str:
