@@ -127,4 +127,8 @@ def with_prelude(*extra: tuple[str, str], select: str) -> str:
     """``WITH <bronze..gold>, <extra CTEs> <select>``."""
     parts = PRELUDE_PARTS + list(extra)
     ctes = ",\n".join(f"{name} AS (\n{body.strip()}\n)" for name, body in parts)
-    return f"WITH {ctes}\n{select.strip()}"
+    body = select.strip()
+    if body[:5].upper() == "WITH ":
+        # the final statement brings its own CTEs: append them to the list
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"
