@@ -26,11 +26,6 @@ def q_silver_products_held(m):
     return without_stamp(m.silver_products_held)
 
 
-@query("silver_product_catalog", with_prelude(select="SELECT * FROM silver_product_catalog"))
-def q_silver_product_catalog(m):
-    return without_stamp(m.silver_product_catalog)
-
-
 @query("safe_cast_dirty", with_prelude(select="""
 SELECT b.transaction_id, b.date AS raw_date, b.amount AS raw_amount,
        TRY_CAST(b.date AS DATE) AS transaction_date, TRY_CAST(b.amount AS DOUBLE) AS amount
