@@ -90,8 +90,7 @@ def user_item_matrix(cust: DataFrame, held: DataFrame) -> DataFrame:
     return (cust.select("customer_id").distinct().alias("c")
             .join(pairs.alias("p"), F.col("c.customer_id") == F.col("p.customer_id"), "left")
             .groupBy(F.col("c.customer_id").alias("customer_id"))
-            .agg(*flags)
-            .orderBy("customer_id"))
+            .agg(*flags))
 
 
 def customer_segments(cust: DataFrame) -> DataFrame:
@@ -133,5 +132,4 @@ def product_affinity(cust: DataFrame, held: DataFrame) -> DataFrame:
                 "segment", "product_name", "customers_with_product", "total_customers",
                 round_half_up(F.col("customers_with_product") / F.col("total_customers"), 3).alias("conversion_rate"),
                 F.rank().over(w).alias("rank_within_segment"),
-                stamp())
-            .orderBy(F.col("segment"), F.col("conversion_rate").desc()))
+                stamp()))

@@ -263,9 +263,13 @@ def fit_als(train: DataFrame):
 
     from nextbest.session import checkpoint_dir
     checkpoint_dir(train.sparkSession)  # ALS cuts its lineage every 10 iterations
+    # user blocks follow the cluster's task slots; items are a fixed catalog,
+    # one block per product
+    slots = train.sparkSession.sparkContext.defaultParallelism
     als = ALS(rank=C.ALS_RANK, maxIter=C.ALS_MAX_ITER, regParam=C.ALS_REG_PARAM, implicitPrefs=True,
               userCol="user_id", itemCol="item_id", ratingCol="rating", coldStartStrategy="drop",
-              seed=C.ALS_SEED, nonnegative=False)
+              seed=C.ALS_SEED, nonnegative=False,
+              numUserBlocks=max(10, slots), numItemBlocks=len(C.PRODUCT_NAMES))
     return als.fit(train)
 
 

@@ -95,7 +95,7 @@ def q_gold_customer_features(m):
        + ", ".join(f"CAST({p} AS INTEGER) AS {p}" for p in C.PRODUCT_NAMES)
        + " FROM gold_user_item_matrix ORDER BY customer_id"))
 def q_gold_user_item_matrix(m):
-    return m.gold_user_item_matrix
+    return m.gold_user_item_matrix.orderBy("customer_id")
 
 
 @query("customer_products", with_prelude(select="""
@@ -123,4 +123,4 @@ SELECT segment, product_name, CAST(customers_with_product AS BIGINT) AS customer
        CAST(rank_within_segment AS INTEGER) AS rank_within_segment
 FROM gold_product_affinity ORDER BY segment, conversion_rate DESC"""))
 def q_gold_product_affinity(m):
-    return without_stamp(m.gold_product_affinity)
+    return without_stamp(m.gold_product_affinity).orderBy(F.col("segment"), F.col("conversion_rate").desc())

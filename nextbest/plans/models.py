@@ -12,14 +12,20 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nextbest.operators import gold, silver
+from nextbest.operators import gold, signals, silver
+from nextbest.session import scratch_path
 from nextbest.sources import bindings, catalog, sinks
 
+# Written tables of this application: (application id, sf_dir, model) -> path.
+# Inputs are treated as immutable for the life of an application.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
 
 class Models:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize_models: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.materialize_models = materialize_models
 
     # -- bronze sources ----------------------------------------------------
     @cached_property
@@ -47,18 +53,41 @@ class Models:
     def silver_product_catalog(self) -> DataFrame:
         return silver.silver_product_catalog(self.bronze["product_catalog"])
 
-    # -- gold tables -------------------------------------------------------
+    # -- gold tables (materialised once per application, read back) --------
     @cached_property
     def gold_customer_features(self) -> DataFrame:
-        return gold.customer_features(self.silver_customers, self.silver_transactions, self.silver_products_held)
+        return self.written("gold_customer_features", lambda: gold.customer_features(
+            self.silver_customers, self.silver_transactions, self.silver_products_held))
 
     @cached_property
     def gold_user_item_matrix(self) -> DataFrame:
-        return gold.user_item_matrix(self.silver_customers, self.silver_products_held)
+        return self.written("gold_user_item_matrix", lambda: gold.user_item_matrix(
+            self.silver_customers, self.silver_products_held))
 
     @cached_property
     def gold_product_affinity(self) -> DataFrame:
-        return gold.product_affinity(self.silver_customers, self.silver_products_held)
+        return self.written("gold_product_affinity", lambda: gold.product_affinity(
+            self.silver_customers, self.silver_products_held))
+
+    # -- model outputs -----------------------------------------------------
+    @cached_property
+    def als_recommendations(self) -> DataFrame:
+        """Implicit-ALS top-3 per trained customer, trained once and written."""
+        return self.written("als_recommendations", lambda: signals.als_recommendations(self.gold_user_item_matrix))
+
+    def written(self, name: str, build) -> DataFrame:
+        """Build a model once per application as a parquet table in the shared
+        checkpoint folder and read it back: later references scan the table
+        (and a lost executor recomputes from it, not from the raw inputs)."""
+        if not self.materialize_models:
+            return build()
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        path = _WRITTEN.get(key)
+        if path is None:
+            path = scratch_path(self.spark, name)
+            sinks.write_parquet(build(), path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(path)
 
     def ref(self, name: str) -> DataFrame:
         """Resolve a model by name."""
