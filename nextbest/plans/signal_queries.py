@@ -276,3 +276,20 @@ def q_hybrid_recs_als(m):
     """The hybrid recommendations on the real ALS signal (rows-only check)."""
     return S.hybrid_recommendations(m.als_recommendations, _cb(m), m.gold_customer_features,
                                     m.gold_product_affinity)
+
+
+@query("als_run_metrics", with_prelude(select=f"""
+WITH train AS (SELECT * FROM ({_INTERACTIONS_SQL}) t
+               WHERE CAST(('0x' || substr(md5(customer_id || '|' || product_id || '|{C.ALS_SEED}'), 1, 8)) AS BIGINT)
+                     % 100 < {C.TRAIN_PERCENT})
+SELECT (SELECT CAST(COUNT(*) AS BIGINT) FROM train) AS training_rows,
+       (SELECT CAST(COUNT(DISTINCT customer_id) * {C.TOP_K} AS BIGINT) FROM train) AS total_recommendations,
+       (SELECT CAST(COUNT(DISTINCT customer_id) AS BIGINT) FROM train) AS unique_customers"""))
+def q_als_run_metrics(m):
+    """Training rows, recommendations and customers of the ALS run (every
+    trained customer gets k of the 8 products)."""
+    pairs = S.interactions(m.gold_user_item_matrix, S.dense_index(m.gold_user_item_matrix, "customer_id"))
+    train = pairs.where(S.split_flag()).agg(F.count(F.lit(1)).alias("training_rows"))
+    recs = m.als_recommendations.agg(F.count(F.lit(1)).alias("total_recommendations"),
+                                     F.countDistinct("customer_id").alias("unique_customers"))
+    return train.crossJoin(recs)

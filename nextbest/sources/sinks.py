@@ -39,6 +39,15 @@ def materialize(df: DataFrame, name: str, kind: str = "view", path: str | None =
     return out
 
 
+def lower_columns(df: DataFrame) -> DataFrame:
+    """Column names to lower case (tables read back from an upper-case store)."""
+    return df.toDF(*[c.lower() for c in df.columns])
+
+
+def upper_columns(df: DataFrame) -> DataFrame:
+    return df.toDF(*[c.upper() for c in df.columns])
+
+
 # Published layout of the final recommendations: fixed order and types.
 HYBRID_COLUMNS = [
     ("customer_id", "string"),
@@ -54,8 +63,7 @@ HYBRID_COLUMNS = [
 
 def publish_layout(recs: DataFrame) -> DataFrame:
     """Drop helper columns, fix order/types, upper-case the column names."""
-    cols = [F.col(c).cast(t).alias(c.upper()) for c, t in HYBRID_COLUMNS]
-    return recs.select(*cols)
+    return upper_columns(recs.select(*[F.col(c).cast(t).alias(c) for c, t in HYBRID_COLUMNS]))
 
 
 def publish_hybrid(recs: DataFrame, path: str | None = None) -> DataFrame:

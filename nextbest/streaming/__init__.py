@@ -1,0 +1,7 @@
+"""Streaming operators.
+
+The re-built system has no stream, watermark, late-data or stateful logic:
+its only time fields are dates that are parsed and never queried, and every
+job is a batch rebuild (silver views, gold tables, one recommendation run).
+Nothing is registered here on purpose.
+"""

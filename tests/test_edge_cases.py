@@ -297,3 +297,15 @@ def test_split_is_partitioning_independent(spark):
     a = {r.customer_id for r in df.repartition(1).where(signals.split_flag()).collect()}
     b = {r.customer_id for r in df.repartition(7).where(signals.split_flag()).collect()}
     assert a == b and 120 < len(a) < 190
+
+
+def test_silver_catalog_and_column_case(spark):
+    from nextbest.sources import dims, sinks
+
+    cat = silver.silver_product_catalog(dims.bronze_product_catalog(spark))
+    rows = {r.product_id: r for r in cat.collect()}
+    assert len(rows) == 8 and rows["P003"].min_credit_score == 700 and rows["P004"].min_income == 30000
+    assert rows["P007"].target_segment == "high_net_worth,near_retirement"
+    up = sinks.upper_columns(cat.select("product_id", "product_name"))
+    assert up.columns == ["PRODUCT_ID", "PRODUCT_NAME"]
+    assert sinks.lower_columns(up).columns == ["product_id", "product_name"]
