@@ -185,7 +185,7 @@ def blend(df: DataFrame) -> DataFrame:
 
 
 def hybrid_scores(als: DataFrame, cb: DataFrame, features: DataFrame, affinity: DataFrame,
-                  persist: bool = True) -> DataFrame:
+                  persist: bool = False) -> DataFrame:
     """Every candidate (ALS u CB rows) with normalised signals, blend and
     ownership flag -- before the owned filter."""
     ctx = attach_context(merge_signals(als, cb), features, affinity)

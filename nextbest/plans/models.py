@@ -18,7 +18,7 @@ from nextbest.sources import bindings, catalog, sinks
 
 # Written tables of this application: (application id, sf_dir, model) -> path.
 # Inputs are treated as immutable for the life of an application.
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Models:
@@ -82,12 +82,13 @@ class Models:
         if not self.materialize_models:
             return build()
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        path = _WRITTEN.get(key)
-        if path is None:
+        table = _WRITTEN.get(key)
+        if table is None or table.sparkSession is not self.spark:
             path = scratch_path(self.spark, name)
             sinks.write_parquet(build(), path)
-            _WRITTEN[key] = path
-        return self.spark.read.parquet(path)
+            table = self.spark.read.parquet(path)
+            _WRITTEN[key] = table
+        return table
 
     def ref(self, name: str) -> DataFrame:
         """Resolve a model by name."""

@@ -89,18 +89,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def source_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Lazy parquet scans of the driver tables (column pruning and filter
-    pushdown happen when the binding selects from them)."""
-    frames = {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in SOURCE_TABLES}
-    return {t: spread(df) if t in FACT_TABLES else df for t, df in frames.items()}
+# Lazy scans are immutable plans: resolve each table (file listing, footer
+# schema) once per application and folder, not once per statement.
+_SCANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def source_frame(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """Lazy parquet scan of one driver table (column pruning and filter
+    pushdown happen when the binding selects from it)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), table)
+    df = _SCANS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+        if table in FACT_TABLES:
+            df = spread(df)
+        _SCANS[key] = df
+    return df
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One bronze table (or the profile form table) as a lazy DataFrame."""
     text = BINDINGS[name]
-    frames = source_frames(spark, sf_dir)
-    used = {t: df for t, df in frames.items() if "{" + t + "}" in text}
+    used = {t: source_frame(spark, sf_dir, t) for t in SOURCE_TABLES if "{" + t + "}" in text}
     return spark.sql(text, **used)
 
 
