@@ -235,8 +235,10 @@ def dense_index(df: DataFrame, key: str, out: str = "user_id") -> DataFrame:
     offsets = counts.withColumn(
         "_offset",
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (ranged.join(F.broadcast(offsets.select("_pid", "_first", "_offset")), "_pid")
-            .select(key, (F.col("_offset") + F.col("_mono") - F.col("_first")).cast("int").alias(out)))
+    index = (ranged.join(F.broadcast(offsets.select("_pid", "_first", "_offset")), "_pid")
+             .select(key, (F.col("_offset") + F.col("_mono") - F.col("_first")).cast("int").alias(out)))
+    # the id map is read twice (encode, decode): cut it to a reliable checkpoint
+    return index.checkpoint(eager=True)
 
 
 def interactions(matrix: DataFrame, customer_index: DataFrame) -> DataFrame:
@@ -290,4 +292,5 @@ def als_recommendations(matrix: DataFrame, k: int = C.TOP_K) -> DataFrame:
     pairs = interactions(matrix, index)
     train = pairs.where(split_flag()).select("user_id", "item_id", "rating").persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_als(train)
+    train.unpersist()
     return decode_recommendations(model.recommendForAllUsers(k), index)

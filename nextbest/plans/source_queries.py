@@ -109,3 +109,24 @@ def q_product_profiles_long(m):
     return (shares.join(profiles, "category")
             .groupBy("customer_id", "product_name")
             .agg(F.round(F.sum(F.col("share") * F.col("weight")), 10).alias("dot")))
+
+
+@query("product_catalog_dim", with_prelude(select="""
+SELECT c.product_id, c.product_name, c.category, c.min_credit_score, c.min_income, c.target_segment,
+       """ + "CASE c.product_id " + " ".join(
+    f"WHEN '{pid}' THEN '{flag}'" for pid, flag in zip(C.PRODUCT_IDS, C.FLAG_COLUMNS)) + """ END AS flag_column,
+       l.emoji, CAST(COALESCE(h.holders, 0) AS BIGINT) AS holders
+FROM silver_product_catalog c
+JOIN product_labels l ON l.product_id = c.product_id
+LEFT JOIN (SELECT product_id, COUNT(DISTINCT customer_id) AS holders FROM silver_products_held
+           WHERE product_id IS NOT NULL GROUP BY product_id) h ON h.product_id = c.product_id"""))
+def q_product_catalog_dim(m):
+    """The typed catalog with its labels and flag column (broadcast literal
+    dimension) and the number of distinct customers holding each product."""
+    holders = (m.silver_products_held.where(F.col("product_id").isNotNull())
+               .select("product_id", "customer_id").distinct()
+               .groupBy("product_id").agg(F.count(F.lit(1)).alias("holders")))
+    labels = dims.small(dims.product_labels(m.spark).select("product_id", "flag_column", "emoji"))
+    catalog_typed = without_stamp(m.silver_product_catalog).join(labels, "product_id")
+    return (catalog_typed.join(holders, "product_id", "left")
+            .withColumn("holders", F.coalesce(F.col("holders"), F.lit(0)).cast("bigint")))
