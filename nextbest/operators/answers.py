@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from nextbest import constants as C
 from nextbest.functions import scalars as X
 from nextbest.operators import signals as S
+from nextbest.operators.joins import lookup_join
 
 _GIVEN = ["travel", "dining", "groceries", "rent", "shopping"]
 
@@ -20,28 +21,39 @@ _GIVEN = ["travel", "dining", "groceries", "rent", "shopping"]
 # ---------------------------------------------------------------------------
 # existing customers
 # ---------------------------------------------------------------------------
-def formatted_profiles(features: DataFrame) -> DataFrame:
-    """Profile block: age, currency income, credit score, display segment, tenure."""
-    return features.select(
-        "customer_id",
+def _profile_columns() -> list:
+    return [
         F.coalesce(F.col("age"), F.lit(0)).cast("int").alias("age"),
         X.currency_text(F.coalesce(F.col("income"), F.lit(0))).alias("income"),
         F.coalesce(F.col("credit_score"), F.lit(0)).cast("int").alias("credit_score"),
         X.display_name(F.coalesce(F.col("segment"), F.lit(""))).alias("segment"),
-        F.coalesce(F.col("tenure_months"), F.lit(0)).cast("int").alias("tenure_months"))
+        F.coalesce(F.col("tenure_months"), F.lit(0)).cast("int").alias("tenure_months")]
+
+
+def _spending_columns() -> list:
+    return [X.percent_text(f"{c}_pct").alias(c) for c in _GIVEN]
+
+
+def _current_products_column():
+    labels = F.array(*[
+        F.when(F.col(flag) == 1, F.lit(f"{C.PRODUCT_EMOJIS.get(name, '')} {name.replace('_', ' ').title()}"))
+        for name, flag in zip(C.PRODUCT_NAMES, C.FLAG_COLUMNS)])
+    return F.filter(labels, lambda x: x.isNotNull()).alias("current_products")
+
+
+def formatted_profiles(features: DataFrame) -> DataFrame:
+    """Profile block: age, currency income, credit score, display segment, tenure."""
+    return features.select("customer_id", *_profile_columns())
 
 
 def spending_text(features: DataFrame) -> DataFrame:
     """Five spending texts (``59.6%``); a missing share prints ``0.0%``."""
-    return features.select("customer_id", *[X.percent_text(f"{c}_pct").alias(c) for c in _GIVEN])
+    return features.select("customer_id", *_spending_columns())
 
 
 def current_products(features: DataFrame) -> DataFrame:
     """Owned products in flag order as ``<emoji> <Display Name>`` labels."""
-    labels = F.array(*[
-        F.when(F.col(flag) == 1, F.lit(f"{C.PRODUCT_EMOJIS.get(name, '')} {name.replace('_', ' ').title()}"))
-        for name, flag in zip(C.PRODUCT_NAMES, C.FLAG_COLUMNS)])
-    return features.select("customer_id", F.filter(labels, lambda x: x.isNotNull()).alias("current_products"))
+    return features.select("customer_id", _current_products_column())
 
 
 def existing_customer_recs(features: DataFrame, recs: DataFrame, affinity: DataFrame,
@@ -57,8 +69,8 @@ def existing_customer_recs(features: DataFrame, recs: DataFrame, affinity: DataF
                            *C.SHARE_COLUMNS)
     rates = affinity.select(F.col("segment").alias("customer_segment"), "product_name",
                             F.col("conversion_rate").alias("affinity_rate"))
-    j = (ranked.join(cust, "customer_id", "inner")
-         .join(rates, ["customer_segment", "product_name"], "left"))
+    j = lookup_join(ranked.join(cust, "customer_id", "inner"), rates, ["customer_segment", "product_name"],
+                    "left", materialize=False)
     score = X.percent_number("hybrid_score")
     shares = {c: F.col(c) for c in C.SHARE_COLUMNS}
     return j.select(
@@ -79,7 +91,8 @@ def signal_reasons(recs: DataFrame, features: DataFrame, affinity: DataFrame) ->
     cust = features.select("customer_id", F.col("segment").alias("customer_segment"))
     rates = affinity.select(F.col("segment").alias("customer_segment"), "product_name",
                             F.col("conversion_rate").alias("affinity_rate"))
-    j = recs.join(cust, "customer_id", "left").join(rates, ["customer_segment", "product_name"], "left")
+    j = lookup_join(recs.join(cust, "customer_id", "left"), rates, ["customer_segment", "product_name"], "left",
+                    materialize=False)
     seg = X.spaced(F.coalesce(F.col("customer_segment"), F.lit("")))
     als, cb, aff = F.col("als_score_norm"), F.col("cb_score_norm"), F.col("affinity_score_norm")
     reason = (F.when((cb > als) & (cb > aff), F.lit(C.REASON_CB_DOMINANT))
@@ -111,14 +124,10 @@ def existing_customer_documents(features: DataFrame, answers: DataFrame) -> Data
     recs = (answers.groupBy("customer_id")
             .agg(F.array_sort(F.collect_list(F.struct("rank", "product", "emoji", "score", "type", "reason")))
                  .alias("recommendations")))
-    prof = formatted_profiles(features)
-    spend = spending_text(features)
-    cur = current_products(features)
-    doc = (prof.join(spend, "customer_id").join(cur, "customer_id").join(recs, "customer_id", "inner")
-           .select("customer_id",
-                   F.struct("age", "income", "credit_score", "segment", "tenure_months").alias("profile"),
-                   F.struct(*_GIVEN).alias("spending"),
-                   "current_products", "recommendations"))
+    # one projection of the feature row (no self-joins), one join with the recs
+    blocks = features.select("customer_id", F.struct(*_profile_columns()).alias("profile"),
+                             F.struct(*_spending_columns()).alias("spending"), _current_products_column())
+    doc = blocks.join(recs, "customer_id", "inner")
     return doc.withColumn("document", F.to_json(F.struct("customer_id", "profile", "spending",
                                                          "current_products", "recommendations")))
 
@@ -187,7 +196,7 @@ def new_customer_scores(profiles: DataFrame, affinity: DataFrame, k: int = C.TOP
     """Top-k of all 8 products per profile: 0.7 x raw cosine + 0.3 x segment
     conversion rate (unknown segment -> 0).  Ties keep declaration order.
     Row-local after one join with the per-segment rate row."""
-    j = profiles.join(_segment_rates(affinity), "segment", "left")
+    j = lookup_join(profiles, _segment_rates(affinity), "segment", "left")
     shares = [F.coalesce(F.col(c), F.lit(0.0)) for c in C.SHARE_COLUMNS]
     cos = S.cosine_columns(shares)
     structs = []

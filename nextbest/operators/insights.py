@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nextbest import constants as C
 from nextbest.functions.scalars import round_half_up
+from nextbest.operators.joins import lookup_join
 from nextbest.sources import dims
 
 
@@ -81,9 +82,8 @@ def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     fences = q.select(by, "q1", "median", "q3",
                       (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lo"),
                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    # one row per group: joined back by the group key (AQE broadcasts it
-    # when small; a hot group stays a plain streamed partition)
-    joined = df.where(F.col(value).isNotNull()).select(by, v.alias("_v")).join(fences, by)
+    # one row per group, joined back by the group key: measured, then broadcast
+    joined = lookup_join(df.where(F.col(value).isNotNull()).select(by, v.alias("_v")), fences, by, "inner")
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     return (joined.groupBy(by, "q1", "median", "q3")
             .agg(F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),

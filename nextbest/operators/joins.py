@@ -1,0 +1,33 @@
+"""Size-checked lookup joins.
+
+Dimension-like sides here (segment x product rates, per-segment top lists,
+per-group fences) have few keys, so a shuffle join on them would send every
+big-side row with a popular key to one reducer.  They are broadcast -- but
+only after their row count is measured; past the bound the join falls back to
+a shuffle join, where AQE's skew-join handling splits hot partitions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from nextbest.session import checkpoint_dir
+
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left",
+                max_rows: int = BROADCAST_MAX_ROWS, materialize: bool = True) -> DataFrame:
+    """Join ``big`` with a side whose size is checked before broadcasting.
+
+    ``materialize``: cut a computed small side to a reliable checkpoint first,
+    so measuring it does not compute it twice.  Pass ``False`` for plain scans
+    of written tables.
+    """
+    if materialize:
+        checkpoint_dir(small.sparkSession)
+        small = small.checkpoint(eager=True)
+    if small.count() <= max_rows:
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small, on, how)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from nextbest import constants as C
 from nextbest.functions.scalars import round_half_up
+from nextbest.operators.joins import lookup_join
 from nextbest.sources import dims
 
 SCORE_KEY_DP = 10  # ranking key: score rounded to 10 dp (stable ties), then name
@@ -110,9 +111,8 @@ def segment_popularity_signal(features: DataFrame, affinity: DataFrame, k: int =
            .withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
            .select("segment", "product_name",
                    round_half_up(F.col("customers_with_product") / F.col("total_customers"), 4).alias("als_score")))
-    # top has at most k rows per segment; AQE broadcasts it when its measured
-    # size is under the threshold and falls back to a sort-merge join otherwise
-    return (features.select("customer_id", "segment").join(top, "segment", "inner")
+    # k rows per segment: few keys, so the side is measured and broadcast
+    return (lookup_join(features.select("customer_id", "segment"), top, "segment", "inner")
             .select("customer_id", "product_name", "als_score"))
 
 
@@ -152,8 +152,8 @@ def attach_context(merged: DataFrame, features: DataFrame, affinity: DataFrame)
     for name, flag in zip(C.PRODUCT_NAMES, C.FLAG_COLUMNS):
         cond = (F.col("product_name") == name) & (F.col(flag) == 1)
         owned = F.when(cond, F.lit(True)) if owned is None else owned.when(cond, F.lit(True))
-    return (merged.join(ctx, "customer_id", "left")
-            .join(rates, ["segment", "product_name"], "left")
+    joined = merged.join(ctx, "customer_id", "left")
+    return (lookup_join(joined, rates, ["segment", "product_name"], "left", materialize=False)
             .withColumn("affinity_score", F.coalesce(F.col("affinity_rate"), F.lit(0.0)))
             .withColumn("is_owned", owned.otherwise(F.lit(False)))
             .drop(*C.FLAG_COLUMNS))

@@ -13,7 +13,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from nextbest.operators import gold, signals, silver
-from nextbest.session import scratch_path
+import uuid
+
+from nextbest.session import default_partitions, scratch_path
 from nextbest.sources import bindings, catalog, sinks
 
 # Written tables of this application: (application id, sf_dir, model) -> path.
@@ -57,12 +59,12 @@ class Models:
     @cached_property
     def gold_customer_features(self) -> DataFrame:
         return self.written("gold_customer_features", lambda: gold.customer_features(
-            self.silver_customers, self.silver_transactions, self.silver_products_held))
+            self.silver_customers, self.silver_transactions, self.silver_products_held), bucket_by="customer_id")
 
     @cached_property
     def gold_user_item_matrix(self) -> DataFrame:
         return self.written("gold_user_item_matrix", lambda: gold.user_item_matrix(
-            self.silver_customers, self.silver_products_held))
+            self.silver_customers, self.silver_products_held), bucket_by="customer_id")
 
     @cached_property
     def gold_product_affinity(self) -> DataFrame:
@@ -75,18 +77,30 @@ class Models:
         """Implicit-ALS top-3 per trained customer, trained once and written."""
         return self.written("als_recommendations", lambda: signals.als_recommendations(self.gold_user_item_matrix))
 
-    def written(self, name: str, build) -> DataFrame:
+    def written(self, name: str, build, bucket_by: str | None = None) -> DataFrame:
         """Build a model once per application as a parquet table in the shared
         checkpoint folder and read it back: later references scan the table
-        (and a lost executor recomputes from it, not from the raw inputs)."""
+        (and a lost executor recomputes from it, not from the raw inputs).
+
+        Per-customer tables are bucketed and sorted by ``bucket_by`` into as
+        many buckets as shuffle partitions: joins on that key against a side
+        hash-partitioned the same way then shuffle only the other side."""
         if not self.materialize_models:
             return build()
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         table = _WRITTEN.get(key)
         if table is None or table.sparkSession is not self.spark:
             path = scratch_path(self.spark, name)
-            sinks.write_parquet(build(), path)
-            table = self.spark.read.parquet(path)
+            df = build()
+            if bucket_by:
+                n = default_partitions(self.spark)
+                table_name = f"nb_{uuid.uuid4().hex[:10]}_{name}"
+                (df.repartition(n, bucket_by).write.mode("overwrite").bucketBy(n, bucket_by).sortBy(bucket_by)
+                 .option("path", path).format("parquet").saveAsTable(table_name))
+                table = self.spark.table(table_name)
+            else:
+                sinks.write_parquet(df, path)
+                table = self.spark.read.parquet(path)
             _WRITTEN[key] = table
         return table
 
