@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from nextbest import constants as C
 from nextbest.operators import answers as A
-from nextbest.operators import signals as S
 from nextbest.plans.oracles import dbl, with_prelude
 from nextbest.plans.registry import query
 from nextbest.plans.signal_queries import SIGNAL_CTES, sig
@@ -162,9 +161,8 @@ def new(select: str) -> str:
 # Spark building blocks
 # ---------------------------------------------------------------------------
 def _hybrid(m):
-    feats, aff = m.gold_customer_features, m.gold_product_affinity
-    return S.hybrid_recommendations(S.segment_popularity_signal(feats, aff), S.content_recommendations(feats),
-                                    feats, aff)
+    """The published (stand-in signal) hybrid recommendations table."""
+    return m.checked_hybrid_recommendations
 
 
 def _existing(m):

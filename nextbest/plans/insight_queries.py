@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nextbest.operators import insights as I
-from nextbest.operators import signals as S
 from nextbest.plans.oracles import with_prelude
 from nextbest.plans.registry import query
 from nextbest.plans.signal_queries import sig
@@ -163,7 +162,4 @@ def q_table_overview(m):
 SELECT (SELECT CAST(COUNT(*) AS BIGINT) FROM gold_customer_features) AS total_customers,
        (SELECT CAST(COUNT(*) AS BIGINT) FROM o_hybrid_top3) AS total_recommendations"""))
 def q_service_summary(m):
-    recs = S.hybrid_recommendations(S.segment_popularity_signal(m.gold_customer_features, m.gold_product_affinity),
-                                    S.content_recommendations(m.gold_customer_features),
-                                    m.gold_customer_features, m.gold_product_affinity)
-    return I.service_summary(m.gold_customer_features, recs)
+    return I.service_summary(m.gold_customer_features, m.checked_hybrid_recommendations)

@@ -77,6 +77,22 @@ class Models:
         """Implicit-ALS top-3 per trained customer, trained once and written."""
         return self.written("als_recommendations", lambda: signals.als_recommendations(self.gold_user_item_matrix))
 
+    @cached_property
+    def hybrid_recommendations(self) -> DataFrame:
+        """Published hybrid top-3 on the real ALS signal."""
+        return self.written("hybrid_recommendations", lambda: signals.hybrid_recommendations(
+            self.als_recommendations, signals.content_recommendations(self.gold_customer_features),
+            self.gold_customer_features, self.gold_product_affinity), bucket_by="customer_id")
+
+    @cached_property
+    def checked_hybrid_recommendations(self) -> DataFrame:
+        """Published hybrid top-3 on the deterministic collaborative stand-in
+        (the SQL-checkable variant)."""
+        feats, aff = self.gold_customer_features, self.gold_product_affinity
+        return self.written("checked_hybrid_recommendations", lambda: signals.hybrid_recommendations(
+            signals.segment_popularity_signal(feats, aff), signals.content_recommendations(feats), feats, aff),
+            bucket_by="customer_id")
+
     def written(self, name: str, build, bucket_by: str | None = None) -> DataFrame:
         """Build a model once per application as a parquet table in the shared
         checkpoint folder and read it back: later references scan the table

@@ -212,14 +212,14 @@ def q_unowned_candidates(m):
 
 @query("hybrid_top3", sig(f"SELECT {_PUBLISHED_SQL}, CAST(rank AS INTEGER) AS rank FROM o_hybrid_top3"))
 def q_hybrid_top3(m):
-    return S.hybrid_recommendations(_als_standin(m), _cb(m), m.gold_customer_features, m.gold_product_affinity)
+    return m.checked_hybrid_recommendations
 
 
 @query("hybrid_run_metrics", sig("""
 SELECT CAST(COUNT(*) AS BIGINT) AS total_recommendations,
        CAST(COUNT(DISTINCT customer_id) AS BIGINT) AS unique_customers FROM o_hybrid_top3"""))
 def q_hybrid_run_metrics(m):
-    recs = S.hybrid_recommendations(_als_standin(m), _cb(m), m.gold_customer_features, m.gold_product_affinity)
+    recs = m.checked_hybrid_recommendations
     return recs.agg(F.count(F.lit(1)).alias("total_recommendations"),
                     F.countDistinct("customer_id").alias("unique_customers"))
 
@@ -274,8 +274,7 @@ def q_als_top3(m):
 @query("hybrid_recs_als")
 def q_hybrid_recs_als(m):
     """The hybrid recommendations on the real ALS signal (rows-only check)."""
-    return S.hybrid_recommendations(m.als_recommendations, _cb(m), m.gold_customer_features,
-                                    m.gold_product_affinity)
+    return m.hybrid_recommendations
 
 
 @query("als_run_metrics", with_prelude(select=f"""

@@ -78,10 +78,7 @@ def q_ref_chain(m):
 def q_gold_roundtrip(m):
     """Final recommendations published with the fixed upper-case layout and
     read back from the written table."""
-    feats, aff = m.gold_customer_features, m.gold_product_affinity
-    recs = S.hybrid_recommendations(S.segment_popularity_signal(feats, aff), S.content_recommendations(feats),
-                                    feats, aff)
-    return sinks.publish_hybrid(recs)
+    return sinks.publish_hybrid(m.checked_hybrid_recommendations)
 
 
 _PROFILE_SUM_SQL = f"""
