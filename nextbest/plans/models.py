@@ -108,18 +108,25 @@ class Models:
         if table is None or table.sparkSession is not self.spark:
             path = scratch_path(self.spark, name)
             df = build()
-            if bucket_by:
-                n = default_partitions(self.spark)
-                table_name = f"nb_{uuid.uuid4().hex[:10]}_{name}"
-                (df.repartition(n, bucket_by).write.mode("overwrite").bucketBy(n, bucket_by).sortBy(bucket_by)
-                 .option("path", path).format("parquet").saveAsTable(table_name))
-                table = self.spark.table(table_name)
-            else:
+            table = self._write_bucketed(df, name, path, bucket_by) if bucket_by else None
+            if table is None:
                 sinks.write_parquet(df, path)
                 table = self.spark.read.parquet(path)
             _WRITTEN[key] = table
         return table
 
+    def _write_bucketed(self, df: DataFrame, name: str, path: str, key: str) -> DataFrame | None:
+        """External bucketed table at ``path``; None when the session catalog
+        cannot register tables (the caller then writes plain parquet)."""
+        n = default_partitions(self.spark)
+        table_name = f"nb_{uuid.uuid4().hex[:10]}_{name}"
+        try:
+            (df.repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key)
+             .option("path", path).format("parquet").saveAsTable(table_name))
+        except Exception:  # noqa: BLE001 - e.g. catalog/metastore not writable;
+            return None     # a real data error resurfaces in the plain write
+        return self.spark.table(table_name)
+
     def ref(self, name: str) -> DataFrame:
         """Resolve a model by name."""
         return getattr(self, name)
