@@ -53,11 +53,12 @@ def histogram(df: DataFrame, col: str, bins: int = 8) -> DataFrame:
     stats = stats.select(
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
+    lo, hi = stats.select("_lo").scalar(), stats.select("_hi").scalar()
     binned = (df.select(x.alias("_x")).where(F.col("_x").isNotNull())
-              .crossJoin(F.broadcast(stats))
-              .select(F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins),
-                              F.lit(bins - 1)).cast("int").alias("bin"))
+              .select(F.least(F.floor((F.col("_x") - lo) / (hi - lo) * bins), F.lit(bins - 1))
+                      .cast("int").alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
+    # the one-row range frame carries the bin numbers 0..bins-1
     edges = stats.select("_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     return (edges.join(binned, "bin", "left")
@@ -117,14 +118,13 @@ def missing_product_counts(held: DataFrame) -> DataFrame:
     its name, most missed first.  Computed as holders - adopters per product
     (two aggregates), not by listing every missing pair."""
     holders = held.where(F.col("customer_id").isNotNull())
-    n = holders.agg(F.countDistinct("customer_id").alias("_n"))
+    n = holders.select(F.countDistinct("customer_id")).scalar()
     adopters = (holders.where(F.col("product_id").isin(C.PRODUCT_IDS))
                 .groupBy("product_id").agg(F.countDistinct("customer_id").alias("_adopters")))
     catalog = dims.small(dims.product_labels(held.sparkSession).select("product_id", "product_name"))
-    return (catalog.crossJoin(F.broadcast(n))
-            .join(adopters, "product_id", "left")
+    return (catalog.join(adopters, "product_id", "left")
             .select("product_id", "product_name",
-                    (F.col("_n") - F.coalesce(F.col("_adopters"), F.lit(0))).alias("missing_count"))
+                    (n - F.coalesce(F.col("_adopters"), F.lit(0))).alias("missing_count"))
             .where(F.col("missing_count") > 0)
             .orderBy(F.col("missing_count").desc(), F.col("product_name")))
 
@@ -132,14 +132,16 @@ def missing_product_counts(held: DataFrame) -> DataFrame:
 def insight_summary(cust: DataFrame, txn: DataFrame, held: DataFrame) -> DataFrame:
     """One row: totals, average products per customer (2 dp), the most missed
     product, its count and its share of all customers (1 dp)."""
-    totals = cust.agg(F.count(F.lit(1)).alias("total_customers"))
-    txns = txn.agg(F.count(F.lit(1)).alias("total_transactions"))
-    avg = products_per_customer_stats(held).select(F.col("avg_products").alias("avg_products_per_customer"))
-    # top-1 of the (at most 8-row) ordered frame; ties go to the first name
+    # top-1 of the (at most 8-row) ordered frame; ties go to the first name;
+    # the other numbers are scalar subqueries attached to it
     top = (missing_product_counts(held).orderBy(F.col("missing_count").desc(), F.col("product_name")).limit(1)
            .select(F.col("product_name").alias("biggest_opportunity"),
                    F.col("missing_count").alias("biggest_opportunity_count")))
-    out = totals.crossJoin(txns).crossJoin(avg).crossJoin(top)
+    out = top.select(
+        cust.select(F.count(F.lit(1))).scalar().alias("total_customers"),
+        txn.select(F.count(F.lit(1))).scalar().alias("total_transactions"),
+        products_per_customer_stats(held).select("avg_products").scalar().alias("avg_products_per_customer"),
+        "biggest_opportunity", "biggest_opportunity_count")
     return out.withColumn(
         "cross_sell_gap_pct",
         round_half_up(F.col("biggest_opportunity_count") / F.col("total_customers") * 100, 1))
@@ -165,5 +167,5 @@ def table_overview(tables: dict[str, DataFrame]) -> DataFrame:
 
 def service_summary(features: DataFrame, recs: DataFrame) -> DataFrame:
     """Customers served and recommendations available."""
-    return (features.agg(F.count(F.lit(1)).alias("total_customers"))
-            .crossJoin(recs.agg(F.count(F.lit(1)).alias("total_recommendations"))))
+    return features.agg(F.count(F.lit(1)).alias("total_customers")).select(
+        "total_customers", recs.select(F.count(F.lit(1))).scalar().alias("total_recommendations"))

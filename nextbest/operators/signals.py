@@ -6,8 +6,8 @@ Scale notes
 * Content scores are row-local: the 8 product profiles are literals, so each
   customer row yields its 8 cosines, drops owned products and keeps its top 3
   with array functions -- no join, no shuffle, whole-stage codegen around it.
-* Global min-max scaling is a one-row aggregate joined back (a one-row side
-  has a proven size bound, so it is broadcast); never an un-partitioned window.
+* Global min-max scaling uses scalar subqueries (one merged global
+  aggregate, used as literals); never an un-partitioned window.
 * The hybrid merge re-partitions the (<= 6 per customer) candidate rows once
   by customer_id; the merge aggregate, the feature join and the per-customer
   top-k all reuse that partitioning (one exchange per input, see
@@ -120,11 +120,11 @@ def segment_popularity_signal(features: DataFrame, affinity: DataFrame, k: int =
 # scaling and hybrid blend
 # ---------------------------------------------------------------------------
 def min_max(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Min-max scale ``col`` over the whole frame; a constant column -> 0."""
-    stats = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    return (df.crossJoin(F.broadcast(stats))
-            .withColumn(out, scaled(F.col(col), F.col("_lo"), F.col("_hi")))
-            .drop("_lo", "_hi"))
+    """Min-max scale ``col`` over the whole frame; a constant column -> 0.
+    The bounds are scalar subqueries (merged into one global aggregate)."""
+    lo = df.select(F.min(col)).scalar()
+    hi = df.select(F.max(col)).scalar()
+    return df.withColumn(out, scaled(F.col(col), lo, hi))
 
 
 def scaled(x: Column, lo: Column, hi: Column) -> Column:
@@ -162,18 +162,19 @@ def attach_context(merged: DataFrame, features: DataFrame, affinity: DataFrame)
 def normalise(ctx: DataFrame) -> DataFrame:
     """ALS and CB scaled over their recommended rows, affinity over all merged
     rows (one aggregate pass); missing signals are 0 after scaling."""
-    stats = ctx.agg(
-        F.min("als_score").alias("_als_lo"), F.max("als_score").alias("_als_hi"),
-        F.min("cb_score").alias("_cb_lo"), F.max("cb_score").alias("_cb_hi"),
-        F.min("affinity_score").alias("_aff_lo"), F.max("affinity_score").alias("_aff_hi"))
-    lo_hi = {"als_score": ("_als_lo", "_als_hi"), "cb_score": ("_cb_lo", "_cb_hi")}
-    out = ctx.crossJoin(F.broadcast(stats))
-    for src, (lo, hi) in lo_hi.items():
+    # one scalar subquery (a single global aggregate, run once and reused)
+    # holding all six bounds
+    cols = ("als_score", "cb_score", "affinity_score")
+    stats = ctx.select(F.struct(*[F.min(c).alias(f"{c}_lo") for c in cols],
+                                *[F.max(c).alias(f"{c}_hi") for c in cols])).scalar()
+    bounds = {c: (stats.getField(f"{c}_lo"), stats.getField(f"{c}_hi")) for c in cols}
+    out = ctx
+    for src in ("als_score", "cb_score"):
+        lo, hi = bounds[src]
         out = out.withColumn(f"{src}_norm", F.when(F.col(src).isNull(), F.lit(0.0))
-                             .otherwise(scaled(F.col(src), F.col(lo), F.col(hi))))
-    out = out.withColumn("affinity_score_norm",
-                         scaled(F.col("affinity_score"), F.col("_aff_lo"), F.col("_aff_hi")))
-    return out.drop("_als_lo", "_als_hi", "_cb_lo", "_cb_hi", "_aff_lo", "_aff_hi")
+                             .otherwise(scaled(F.col(src), lo, hi)))
+    lo, hi = bounds["affinity_score"]
+    return out.withColumn("affinity_score_norm", scaled(F.col("affinity_score"), lo, hi))
 
 
 def blend(df: DataFrame) -> DataFrame:

@@ -289,6 +289,7 @@ def q_als_run_metrics(m):
     trained customer gets k of the 8 products)."""
     pairs = S.interactions(m.gold_user_item_matrix, S.dense_index(m.gold_user_item_matrix, "customer_id"))
     train = pairs.where(S.split_flag()).agg(F.count(F.lit(1)).alias("training_rows"))
-    recs = m.als_recommendations.agg(F.count(F.lit(1)).alias("total_recommendations"),
-                                     F.countDistinct("customer_id").alias("unique_customers"))
-    return train.crossJoin(recs)
+    recs = m.als_recommendations
+    return train.select("training_rows",
+                        recs.select(F.count(F.lit(1))).scalar().alias("total_recommendations"),
+                        recs.select(F.countDistinct("customer_id")).scalar().alias("unique_customers"))
