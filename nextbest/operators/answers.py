@@ -196,13 +196,12 @@ def new_customer_scores(profiles: DataFrame, affinity: DataFrame, k: int = C.TOP
     """Top-k of all 8 products per profile: 0.7 x raw cosine + 0.3 x segment
     conversion rate (unknown segment -> 0).  Ties keep declaration order.
     Row-local after one join with the per-segment rate row."""
-    j = lookup_join(profiles, _segment_rates(affinity), "segment", "left")
-    shares = [F.coalesce(F.col(c), F.lit(0.0)) for c in C.SHARE_COLUMNS]
-    cos = S.cosine_columns(shares)
+    j = S.with_vector(lookup_join(profiles, _segment_rates(affinity), "segment", "left"))
+    cos = S.cosine_columns()
     structs = []
     for i, name in enumerate(C.PRODUCT_NAMES):
         aff = F.coalesce(F.col(f"_rate_{i}"), F.lit(0.0))
-        score = F.lit(C.NEW_CB_WEIGHT) * cos[name] + F.lit(C.NEW_AFFINITY_WEIGHT) * aff
+        score = cos[name] * C.NEW_CB_WEIGHT + aff * C.NEW_AFFINITY_WEIGHT
         structs.append(F.struct((-F.round(score, S.SCORE_KEY_DP)).alias("key"), F.lit(i).alias("ordinal"),
                                 F.lit(name).alias("product_name"), score.alias("score")))
     top = F.slice(F.sort_array(F.array(*structs)), 1, k)

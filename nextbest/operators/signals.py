@@ -38,34 +38,47 @@ def customer_vectors(features: DataFrame) -> DataFrame:
     return features.select("customer_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in C.SHARE_COLUMNS])
 
 
-def cosine(shares: list[Column], weights: list[float]) -> Column:
-    """Cosine of a share vector with a literal weight vector; zero vector -> 0."""
-    dot = None
+VEC = [f"_s{i}" for i in range(len(C.SHARE_COLUMNS))]
+NORM = "_norm"
+
+
+def with_vector(df: DataFrame) -> DataFrame:
+    """Add the share vector (missing share -> 0) as ``_s0.._s7`` and its
+    Euclidean norm as ``_norm``, computed once per row."""
+    v = df.select("*", *[F.coalesce(F.col(c), F.lit(0.0)).alias(s) for c, s in zip(C.SHARE_COLUMNS, VEC)])
     sq = None
-    for s, w in zip(shares, weights):
-        term = s * F.lit(float(w))
+    for s in VEC:
+        term = F.col(s) * F.col(s)
+        sq = term if sq is None else sq + term
+    return v.withColumn(NORM, F.sqrt(sq))
+
+
+def cosine(weights: list[float]) -> Column:
+    """Cosine of the row's share vector (see ``with_vector``) with a literal
+    weight vector; a zero vector scores 0."""
+    dot = None
+    for s, w in zip(VEC, weights):
+        term = F.col(s) * float(w)
         dot = term if dot is None else dot + term
-        sq = s * s if sq is None else sq + s * s
     w_norm = math.sqrt(sum(float(w) * float(w) for w in weights))
-    norm = F.sqrt(sq)
-    return F.when(norm == 0, F.lit(0.0)).otherwise(dot / (norm * F.lit(w_norm)))
+    norm = F.col(NORM)
+    return F.when(norm == 0, 0.0).otherwise(dot / (norm * w_norm))
 
 
-def cosine_columns(shares: list[Column]) -> dict[str, Column]:
-    return {name: cosine(shares, C.PRODUCT_PROFILES[name]) for name in C.PRODUCT_NAMES}
+def cosine_columns() -> dict[str, Column]:
+    return {name: cosine(C.PRODUCT_PROFILES[name]) for name in C.PRODUCT_NAMES}
 
 
 def cosine_wide(features: DataFrame) -> DataFrame:
     """customer_id + one cosine column per product."""
-    v = customer_vectors(features)
-    cols = cosine_columns([F.col(c) for c in C.SHARE_COLUMNS])
-    return v.select("customer_id", *[c.alias(f"{n}_score") for n, c in cols.items()])
+    v = with_vector(features)
+    return v.select("customer_id", *[c.alias(f"{n}_score") for n, c in cosine_columns().items()])
 
 
 def _score_array(features: DataFrame) -> Column:
-    """Array of (rank key, product, score, owned) structs, one per product."""
-    shares = [F.coalesce(F.col(c), F.lit(0.0)) for c in C.SHARE_COLUMNS]
-    cols = cosine_columns(shares)
+    """Array of (rank key, product, score, owned) structs, one per product;
+    ``features`` must carry the vector columns of ``with_vector``."""
+    cols = cosine_columns()
     structs = []
     for name, flag in zip(C.PRODUCT_NAMES, C.FLAG_COLUMNS):
         score = cols[name]
@@ -79,8 +92,9 @@ def _score_array(features: DataFrame) -> Column:
 
 def content_scores(features: DataFrame) -> DataFrame:
     """Long form: every customer x 8 products with the raw cosine and its rank."""
-    ranked = F.sort_array(_score_array(features))
-    return (features.select("customer_id", F.posexplode(ranked).alias("pos", "s"))
+    v = with_vector(features)
+    ranked = F.sort_array(_score_array(v))
+    return (v.select("customer_id", F.posexplode(ranked).alias("pos", "s"))
             .select("customer_id", F.col("s.product_name").alias("product_name"),
                     F.col("s.score").alias("score"), (F.col("pos") + 1).alias("score_rank"),
                     F.col("s.owned").alias("owned")))
@@ -91,9 +105,10 @@ def content_recommendations(features: DataFrame, k: int = C.TOP_K) -> DataFrame:
 
     cb_score is rounded to 4 dp; ranking uses the unrounded cosine.
     """
-    arr = _score_array(features)
+    v = with_vector(features)
+    arr = _score_array(v)
     top = F.slice(F.sort_array(F.filter(arr, lambda s: ~s["owned"])), 1, k)
-    return (features.select("customer_id", F.posexplode(top).alias("pos", "s"))
+    return (v.select("customer_id", F.posexplode(top).alias("pos", "s"))
             .select("customer_id", F.col("s.product_name").alias("product_name"),
                     round_half_up(F.col("s.score"), 4).alias("cb_score")))
 
