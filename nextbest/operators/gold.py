@@ -83,14 +83,18 @@ def customer_features(cust: DataFrame, txn: DataFrame, held: DataFrame) -> DataF
 
 
 def user_item_matrix(cust: DataFrame, held: DataFrame) -> DataFrame:
-    """gold_user_item_matrix: every distinct customer with 8 0/1 flags."""
-    pairs = held.where(F.col("product_name").isin(C.PRODUCT_NAMES)).select("customer_id", "product_name").distinct()
-    name = F.col("p.product_name")
-    flags = [F.max(flag_when(name == prod)).alias(prod) for prod in C.PRODUCT_NAMES]
-    return (cust.select("customer_id").distinct().alias("c")
-            .join(pairs.alias("p"), F.col("c.customer_id") == F.col("p.customer_id"), "left")
-            .groupBy(F.col("c.customer_id").alias("customer_id"))
-            .agg(*flags))
+    """gold_user_item_matrix: every distinct customer with 8 0/1 flags.
+
+    Holdings are reduced to one flag row per customer first (partial
+    aggregation map-side, one exchange on customer_id); the distinct
+    customers are co-partitioned on the same key, so the left join adds no
+    further shuffle.  Customers without holdings get 0 flags."""
+    name = F.col("product_name")
+    owned = (held.where(name.isin(C.PRODUCT_NAMES)).groupBy("customer_id")
+             .agg(*[F.max(flag_when(name == prod)).alias(prod) for prod in C.PRODUCT_NAMES]))
+    return (cust.select("customer_id").distinct()
+            .join(owned, "customer_id", "left")
+            .select("customer_id", *[F.coalesce(F.col(p), F.lit(0)).alias(p) for p in C.PRODUCT_NAMES]))
 
 
 def customer_segments(cust: DataFrame) -> DataFrame:
