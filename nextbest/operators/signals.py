@@ -257,13 +257,18 @@ def dense_index(df: DataFrame, key: str, out: str = "user_id") -> DataFrame:
     return index.checkpoint(eager=True)
 
 
-def interactions(matrix: DataFrame, customer_index: DataFrame) -> DataFrame:
-    """Wide 0/1 matrix -> long owned pairs with dense user/item ids, rating 1."""
+def owned_pairs(matrix: DataFrame) -> DataFrame:
+    """Wide 0/1 matrix -> long owned pairs with product id and item id."""
     long = (matrix.unpivot("customer_id", C.PRODUCT_NAMES, "product_name", "owned")
             .where(F.col("owned") == 1))
     labels = dims.small(dims.product_labels(matrix.sparkSession).select(
         "product_name", "product_id", F.col("product_ordinal").alias("item_id")))
-    return (long.join(labels, "product_name").join(customer_index, "customer_id")
+    return long.join(labels, "product_name").select("customer_id", "product_id", "product_name", "item_id")
+
+
+def interactions(matrix: DataFrame, customer_index: DataFrame) -> DataFrame:
+    """Wide 0/1 matrix -> long owned pairs with dense user/item ids, rating 1."""
+    return (owned_pairs(matrix).join(customer_index, "customer_id")
             .select("customer_id", "product_id", "product_name", "user_id", "item_id",
                     F.lit(1.0).cast("float").alias("rating")))
 
@@ -301,9 +306,28 @@ def decode_recommendations(recs: DataFrame, customer_index: DataFrame) -> DataFr
             .select("customer_id", "product_name", round_half_up(F.col("rating").cast("double"), 4).alias("als_score")))
 
 
-def als_recommendations(matrix: DataFrame, k: int = C.TOP_K) -> DataFrame:
+def als_recommendations(matrix: DataFrame, k: int = C.TOP_K, method: str = "patterns") -> DataFrame:
     """Implicit ALS over owned pairs (train split), top k per trained user.
-    Owned products are not excluded here (the hybrid step does that)."""
+    Owned products are not excluded here (the hybrid step does that).
+
+    ``patterns`` (default): the fit runs on the distinct ownership patterns
+    (see ``patterns_als``) -- no rating shuffle, no hot item task, no 32-bit
+    id limit.  ``block``: ``pyspark.ml`` ALS on dense integer ids; also used
+    when the catalog is too large for patterns."""
+    from nextbest.operators import patterns_als
+
+    if method == "patterns" and len(C.PRODUCT_NAMES) <= patterns_als.MAX_PATTERN_BITS:
+        train = owned_pairs(matrix).where(split_flag()).select("customer_id", "item_id")
+        recs = patterns_als.pattern_als_recommendations(train, len(C.PRODUCT_NAMES), k)
+        items = dims.small(dims.product_index(matrix.sparkSession))
+        return (recs.join(items, "item_id")
+                .select("customer_id", "product_name",
+                        round_half_up(F.col("rating").cast("double"), 4).alias("als_score")))
+    return block_als_recommendations(matrix, k)
+
+
+def block_als_recommendations(matrix: DataFrame, k: int = C.TOP_K) -> DataFrame:
+    """``pyspark.ml`` implicit ALS on dense integer customer/item ids."""
     index = dense_index(matrix, "customer_id")
     pairs = interactions(matrix, index)
     train = pairs.where(split_flag()).select("user_id", "item_id", "rating").persist(StorageLevel.MEMORY_AND_DISK)
