@@ -196,7 +196,7 @@ def new_customer_scores(profiles: DataFrame, affinity: DataFrame, k: int = C.TOP
     """Top-k of all 8 products per profile: 0.7 x raw cosine + 0.3 x segment
     conversion rate (unknown segment -> 0).  Ties keep declaration order.
     Row-local after one join with the per-segment rate row."""
-    j = S.with_vector(lookup_join(profiles, _segment_rates(affinity), "segment", "left"))
+    j = S.with_vector(lookup_join(profiles, _segment_rates(affinity), "segment", "left", materialize=False))
     cos = S.cosine_columns()
     structs = []
     for i, name in enumerate(C.PRODUCT_NAMES):

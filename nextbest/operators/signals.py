@@ -127,7 +127,8 @@ def segment_popularity_signal(features: DataFrame, affinity: DataFrame, k: int =
            .select("segment", "product_name",
                    round_half_up(F.col("customers_with_product") / F.col("total_customers"), 4).alias("als_score")))
     # k rows per segment: few keys, so the side is measured and broadcast
-    return (lookup_join(features.select("customer_id", "segment"), top, "segment", "inner")
+    # (a cheap derivation of the written affinity table: measured directly)
+    return (lookup_join(features.select("customer_id", "segment"), top, "segment", "inner", materialize=False)
             .select("customer_id", "product_name", "als_score"))
 
 
