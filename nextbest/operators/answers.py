@@ -179,9 +179,10 @@ def default_profiles(raw: DataFrame) -> DataFrame:
 
 
 def prepare_profiles(forms: DataFrame) -> DataFrame:
-    """Validate, drop rejected forms, complete the remainder, apply defaults."""
-    valid = validate_profiles(forms).where(F.col("status") != "rejected").select("profile_id")
-    completed = complete_profiles(forms.join(valid, "profile_id", "left_semi"))
+    """Validate, drop rejected forms, complete the remainder, apply defaults.
+    The validity test is row-local: a filter, not a join back to the forms."""
+    total = sum((F.col(c) for c in _GIVEN[1:]), F.col(_GIVEN[0]))
+    completed = complete_profiles(forms.where(total <= 100))
     return default_profiles(completed).where(F.col("status") == "ok").drop("status")
 
 
@@ -192,10 +193,9 @@ def _segment_rates(affinity: DataFrame) -> DataFrame:
         for i, n in enumerate(C.PRODUCT_NAMES)])
 
 
-def new_customer_scores(profiles: DataFrame, affinity: DataFrame, k: int = C.TOP_K) -> DataFrame:
-    """Top-k of all 8 products per profile: 0.7 x raw cosine + 0.3 x segment
-    conversion rate (unknown segment -> 0).  Ties keep declaration order.
-    Row-local after one join with the per-segment rate row."""
+def _new_top(profiles: DataFrame, affinity: DataFrame, k: int) -> DataFrame:
+    """Profile rows with their top-k array of (rank key, ordinal, product,
+    score) -- all 8 products scored and ranked inside the row."""
     j = S.with_vector(lookup_join(profiles, _segment_rates(affinity), "segment", "left", materialize=False))
     cos = S.cosine_columns()
     structs = []
@@ -204,37 +204,55 @@ def new_customer_scores(profiles: DataFrame, affinity: DataFrame, k: int = C.TOP
         score = cos[name] * C.NEW_CB_WEIGHT + aff * C.NEW_AFFINITY_WEIGHT
         structs.append(F.struct((-F.round(score, S.SCORE_KEY_DP)).alias("key"), F.lit(i).alias("ordinal"),
                                 F.lit(name).alias("product_name"), score.alias("score")))
-    top = F.slice(F.sort_array(F.array(*structs)), 1, k)
+    keep = ["profile_id", "age", "income", "credit_score", "segment", *C.SHARE_COLUMNS]
+    return j.select(*keep, F.slice(F.sort_array(F.array(*structs)), 1, k).alias("_top"))
+
+
+def new_customer_scores(profiles: DataFrame, affinity: DataFrame, k: int = C.TOP_K) -> DataFrame:
+    """Top-k of all 8 products per profile: 0.7 x raw cosine + 0.3 x segment
+    conversion rate (unknown segment -> 0).  Ties keep declaration order.
+    Row-local after one join with the per-segment rate row."""
     keep = ["profile_id", "segment", "income", *C.SHARE_COLUMNS]
-    return (j.select(*keep, F.posexplode(top).alias("pos", "s"))
+    return (_new_top(profiles, affinity, k).select(*keep, F.posexplode("_top").alias("pos", "s"))
             .select(*keep, (F.col("pos") + 1).cast("int").alias("rank"),
                     F.col("s.product_name").alias("product_name"), F.col("s.score").alias("score")))
 
 
+def _new_answer(product, score, segment, travel, dining, rent, income) -> dict:
+    pct = X.percent_number(score)
+    return {
+        "product": X.display_name(product),
+        "emoji": X.emoji_for(product),
+        "score": pct,
+        "type": X.rec_type_new(pct, segment),
+        "reason": X.explain_new(product, segment, travel, dining, rent, income),
+    }
+
+
 def new_customer_recs(profiles: DataFrame, affinity: DataFrame, k: int = C.TOP_K) -> DataFrame:
     """Flat answer rows for new-customer profiles."""
     scored = new_customer_scores(profiles, affinity, k)
-    pct = X.percent_number("score")
-    return scored.select(
-        "profile_id", "rank", "product_name",
-        X.display_name("product_name").alias("product"),
-        X.emoji_for("product_name").alias("emoji"),
-        pct.alias("score"),
-        X.rec_type_new(pct, "segment").alias("type"),
-        X.explain_new("product_name", "segment", "travel_pct", "dining_pct", "rent_pct", "income").alias("reason"))
+    a = _new_answer(F.col("product_name"), F.col("score"), F.col("segment"), F.col("travel_pct"),
+                    F.col("dining_pct"), F.col("rent_pct"), F.col("income"))
+    return scored.select("profile_id", "rank", "product_name", *[c.alias(n) for n, c in a.items()])
 
 
-def new_customer_documents(profiles: DataFrame, answers: DataFrame) -> DataFrame:
-    """Nested new-customer answer: summary + ordered recommendations + JSON."""
-    recs = (answers.groupBy("profile_id")
-            .agg(F.array_sort(F.collect_list(F.struct("rank", "product", "emoji", "score", "type", "reason")))
-                 .alias("recommendations")))
-    summary = profiles.select(
-        "profile_id",
+def new_customer_documents(profiles: DataFrame, affinity: DataFrame, k: int = C.TOP_K) -> DataFrame:
+    """Nested new-customer answer: summary + ordered recommendations + JSON.
+    Built inside each profile row from its top-k array: no explode, no
+    regrouping, no join."""
+    top = _new_top(profiles, affinity, k)
+
+    def answer(s, i):
+        a = _new_answer(s["product_name"], s["score"], F.col("segment"), F.col("travel_pct"),
+                        F.col("dining_pct"), F.col("rent_pct"), F.col("income"))
+        return F.struct((i + 1).alias("rank"), *[c.alias(n) for n, c in a.items()])
+
+    doc = top.select(
+        "profile_id", F.lit("new").alias("customer_type"),
         F.struct(F.col("age"), X.currency_text("income").alias("income"), F.col("credit_score"),
-                 X.display_name("segment").alias("segment")).alias("profile_summary"))
-    doc = summary.join(recs, "profile_id").select(
-        "profile_id", F.lit("new").alias("customer_type"), "profile_summary", "recommendations")
+                 X.display_name("segment").alias("segment")).alias("profile_summary"),
+        F.transform("_top", answer).alias("recommendations"))
     return doc.withColumn("document", F.to_json(F.struct("customer_type", "profile_summary", "recommendations")))
 
 

@@ -319,7 +319,7 @@ def q_explain_new(m):
 @query("new_customer_documents")
 def q_new_customer_documents(m):
     """Nested new-customer answers (rows-only check)."""
-    return A.new_customer_documents(_profiles(m), _new(m))
+    return A.new_customer_documents(_profiles(m), m.gold_product_affinity)
 
 
 @query("display_names", with_prelude(select=f"""

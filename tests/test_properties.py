@@ -50,3 +50,16 @@ def test_documents_properties(spark):
         assert [r["rank"] for r in j["recommendations"]] == list(range(1, len(j["recommendations"]) + 1))
     new_docs = entry_mod.queries()["new_customer_documents"](spark, SF_SMALL).collect()
     assert new_docs and all(len(json.loads(d.document)["recommendations"]) == 3 for d in new_docs)
+
+
+def test_new_documents_match_flat_answers(spark):
+    qs = entry_mod.queries()
+    flat = {}
+    for r in qs["new_customer_recs"](spark, SF_SMALL).collect():
+        flat.setdefault(r.profile_id, []).append((r["rank"], r.product, r.emoji, r.score, r.type, r.reason))
+    docs = qs["new_customer_documents"](spark, SF_SMALL).collect()
+    assert len(docs) == len(flat)
+    for d in docs:
+        recs = [(x["rank"], x["product"], x["emoji"], x["score"], x["type"], x["reason"])
+                for x in json.loads(d.document)["recommendations"]]
+        assert recs == sorted(flat[d.profile_id])
