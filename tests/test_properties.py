@@ -27,6 +27,9 @@ def test_als_top3_properties(spark):
     assert per <= C.TOP_K
     assert all(r.product_name in C.PRODUCT_NAMES for r in rows)
     assert all(round(r.als_score, 4) == r.als_score for r in rows)
+    # join keys exist: every recommended customer is a known customer
+    known = Models(spark, SF_SMALL).gold_customer_features.select("customer_id")
+    assert recs.join(known, "customer_id", "left_anti").count() == 0
 
 
 def test_hybrid_recs_als_properties(spark):
