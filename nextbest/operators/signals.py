@@ -201,16 +201,12 @@ def blend(df: DataFrame) -> DataFrame:
         + F.lit(C.AFFINITY_WEIGHT) * F.col("affinity_score_norm"))
 
 
-def hybrid_scores(als: DataFrame, cb: DataFrame, features: DataFrame, affinity: DataFrame,
-                  persist: bool = False) -> DataFrame:
+def hybrid_scores(als: DataFrame, cb: DataFrame, features: DataFrame, affinity: DataFrame) -> DataFrame:
     """Every candidate (ALS u CB rows) with normalised signals, blend and
-    ownership flag -- before the owned filter."""
-    ctx = attach_context(merge_signals(als, cb), features, affinity)
-    if persist:
-        # read twice (global min/max, then the scores): keep it, spilling to
-        # disk; a lost block is recomputed from lineage
-        ctx = ctx.persist(StorageLevel.MEMORY_AND_DISK)
-    return blend(normalise(ctx))
+    ownership flag -- before the owned filter.  Not cached: the bounds
+    subquery and the scoring pass share the candidate exchange in one plan,
+    and a cached relation would hide its partitioning from the top-k."""
+    return blend(normalise(attach_context(merge_signals(als, cb), features, affinity)))
 
 
 PUBLISHED = ["customer_id", "product_name", "als_score_norm", "cb_score_norm", "segment",
