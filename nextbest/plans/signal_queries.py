@@ -293,3 +293,10 @@ def q_als_run_metrics(m):
     return train.select("training_rows",
                         recs.select(F.count(F.lit(1))).scalar().alias("total_recommendations"),
                         recs.select(F.countDistinct("customer_id")).scalar().alias("unique_customers"))
+
+
+@query("als_top3_block")
+def q_als_top3_block(m):
+    """The same top-3 with ``pyspark.ml`` block ALS on dense integer ids
+    (the library the reference calls; rows-only check)."""
+    return S.block_als_recommendations(m.gold_user_item_matrix)

@@ -54,4 +54,5 @@ def test_every_oracle_has_a_query():
 
 def test_rows_only_queries_are_the_non_sql_ones():
     rows_only = set(queries()) - set(oracle_sql())
-    assert rows_only == {"als_top3", "hybrid_recs_als", "existing_customer_documents", "new_customer_documents"}
+    assert rows_only == {"als_top3", "als_top3_block", "hybrid_recs_als", "existing_customer_documents",
+                         "new_customer_documents"}
