@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -19,8 +21,9 @@ def test_entry_runs(spark):
     assert "hybrid_score" in df.columns
 
 
-def test_als_top3_properties(spark):
-    recs = entry_mod.queries()["als_top3"](spark, SF_SMALL)
+@pytest.mark.parametrize("name", ["als_top3", "als_top3_block"])
+def test_als_top3_properties(spark, name):
+    recs = entry_mod.queries()[name](spark, SF_SMALL)
     rows = recs.collect()
     assert rows
     per = recs.groupBy("customer_id").count().agg(F.max("count")).collect()[0][0]
