@@ -14,6 +14,18 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
+# One model graph per application and input folder: its lazy DataFrames are
+# immutable plans, so queries share them instead of re-resolving the sources.
+_MODELS: dict[tuple[str, str], Models] = {}
+
+
+def models_for(spark: SparkSession, sf_dir: str) -> Models:
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    m = _MODELS.get(key)
+    if m is None or m.spark is not spark:
+        m = _MODELS[key] = Models(spark, sf_dir.rstrip("/"))
+    return m
+
 
 def query(name: str, oracle: str | None = None):
     """Register ``fn(models) -> DataFrame`` as query ``name``."""
@@ -21,7 +33,7 @@ def query(name: str, oracle: str | None = None):
     def deco(fn: Callable[[Models], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             apply_tuning(spark)
-            return fn(Models(spark, sf_dir))
+            return fn(models_for(spark, sf_dir))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
