@@ -6,12 +6,15 @@ Scale notes
 * Content scores are row-local: the 8 product profiles are literals, so each
   customer row yields its 8 cosines, drops owned products and keeps its top 3
   with array functions -- no join, no shuffle, whole-stage codegen around it.
-* Global min-max scaling uses scalar subqueries (one merged global
-  aggregate, used as literals); never an un-partitioned window.
+* Global min-max bounds are one scalar subquery (a struct of all six
+  bounds, a single global aggregate run once); never an un-partitioned
+  window and no cross join.
 * The hybrid merge re-partitions the (<= 6 per customer) candidate rows once
-  by customer_id; the merge aggregate, the feature join and the per-customer
-  top-k all reuse that partitioning (one exchange per input, see
-  ``.explain()``).
+  by customer_id; the merge aggregate, the join with the customer_id-bucketed
+  features and the per-customer top-k all reuse that partitioning.
+* Collaborative filtering runs on ownership patterns (``patterns_als``): Spark
+  aggregates customers into <= 2**8 patterns, the fit runs on those, the
+  result is broadcast back; ``pyspark.ml`` block ALS is the fallback.
 """
 
 from __future__ import annotations
