@@ -170,11 +170,11 @@ def _existing(m):
 
 
 def _profiles(m):
-    return A.prepare_profiles(m.profile_forms)
+    return m.new_customer_profiles
 
 
 def _new(m):
-    return A.new_customer_recs(_profiles(m), m.gold_product_affinity)
+    return m.new_customer_recs
 
 
 # ---------------------------------------------------------------------------

@@ -71,6 +71,28 @@ class Models:
         return self.written("gold_product_affinity", lambda: gold.product_affinity(
             self.silver_customers, self.silver_products_held))
 
+    # -- shared lazy signal frames (built once per model graph) -------------
+    @cached_property
+    def content_recommendations(self) -> DataFrame:
+        return signals.content_recommendations(self.gold_customer_features)
+
+    @cached_property
+    def standin_signal(self) -> DataFrame:
+        """Deterministic collaborative stand-in (segment popularity)."""
+        return signals.segment_popularity_signal(self.gold_customer_features, self.gold_product_affinity)
+
+    @cached_property
+    def new_customer_profiles(self) -> DataFrame:
+        from nextbest.operators import answers
+
+        return answers.prepare_profiles(self.profile_forms)
+
+    @cached_property
+    def new_customer_recs(self) -> DataFrame:
+        from nextbest.operators import answers
+
+        return answers.new_customer_recs(self.new_customer_profiles, self.gold_product_affinity)
+
     # -- model outputs -----------------------------------------------------
     @cached_property
     def als_recommendations(self) -> DataFrame:
@@ -81,7 +103,7 @@ class Models:
     def hybrid_recommendations(self) -> DataFrame:
         """Published hybrid top-3 on the real ALS signal."""
         return self.written("hybrid_recommendations", lambda: signals.hybrid_recommendations(
-            self.als_recommendations, signals.content_recommendations(self.gold_customer_features),
+            self.als_recommendations, self.content_recommendations,
             self.gold_customer_features, self.gold_product_affinity), bucket_by="customer_id")
 
     @cached_property
@@ -90,8 +112,7 @@ class Models:
         (the SQL-checkable variant)."""
         feats, aff = self.gold_customer_features, self.gold_product_affinity
         return self.written("checked_hybrid_recommendations", lambda: signals.hybrid_recommendations(
-            signals.segment_popularity_signal(feats, aff), signals.content_recommendations(feats), feats, aff),
-            bucket_by="customer_id")
+            self.standin_signal, self.content_recommendations, feats, aff), bucket_by="customer_id")
 
     def written(self, name: str, build, bucket_by: str | None = None) -> DataFrame:
         """Build a model once per application as a parquet table in the shared

@@ -91,11 +91,11 @@ _PUBLISHED_SQL = ("customer_id, product_name, als_score_norm, cb_score_norm, seg
 # shared Spark building blocks
 # ---------------------------------------------------------------------------
 def _cb(m):
-    return S.content_recommendations(m.gold_customer_features)
+    return m.content_recommendations
 
 
 def _als_standin(m):
-    return S.segment_popularity_signal(m.gold_customer_features, m.gold_product_affinity)
+    return m.standin_signal
 
 
 def _scored(m):
