@@ -309,3 +309,19 @@ def test_silver_catalog_and_column_case(spark):
     up = sinks.upper_columns(cat.select("product_id", "product_name"))
     assert up.columns == ["PRODUCT_ID", "PRODUCT_NAME"]
     assert sinks.lower_columns(up).columns == ["product_id", "product_name"]
+
+
+def test_owner_of_all_products_gets_no_hybrid_recs(spark):
+    als = spark.createDataFrame([("C_8", "home_loan", 0.9), ("C_1", "home_loan", 0.5)],
+                                "customer_id string, product_name string, als_score double")
+    cb = spark.createDataFrame([("C_8", "savings_account", 0.2), ("C_1", "fixed_deposit", 0.6)],
+                               "customer_id string, product_name string, cb_score double")
+    owner = dict(customer_id="C_8", segment="family", **{f: 1 for f in C.FLAG_COLUMNS})
+    feats = _features(spark, [owner, dict(customer_id="C_1", segment="family")])
+    aff = spark.createDataFrame([("family", "home_loan", 0.5)], "segment string, product_name string, conversion_rate double")
+    recs = signals.hybrid_recommendations(als, cb, feats, aff).collect()
+    assert {r.customer_id for r in recs} == {"C_1"}
+    req = spark.createDataFrame([("C_8",), ("C_1",)], "customer_id string")
+    status = {r.customer_id: r.status for r in A.lookup_customers(req, feats, spark.createDataFrame(
+        [(r.customer_id,) for r in recs], "customer_id string")).collect()}
+    assert status == {"C_8": "no_recommendations", "C_1": "ok"}
