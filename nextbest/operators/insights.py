@@ -53,7 +53,8 @@ def histogram(df: DataFrame, col: str, bins: int = 8) -> DataFrame:
     stats = stats.select(
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
-    lo, hi = stats.select("_lo").scalar(), stats.select("_hi").scalar()
+    rng = stats.select(F.struct("_lo", "_hi")).scalar()  # one subquery, both bounds
+    lo, hi = rng.getField("_lo"), rng.getField("_hi")
     binned = (df.select(x.alias("_x")).where(F.col("_x").isNotNull())
               .select(F.least(F.floor((F.col("_x") - lo) / (hi - lo) * bins), F.lit(bins - 1))
                       .cast("int").alias("bin"))
