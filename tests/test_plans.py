@@ -65,3 +65,15 @@ def test_no_python_udfs_in_headline_plans(spark):
     for name in ("gold_customer_features", "hybrid_top3", "existing_customer_recs", "new_customer_recs"):
         plan = plan_of(qs[name](spark, SF_SMALL))
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_spread_only_touches_under_split_inputs(spark):
+    from nextbest.sources.bindings import spread
+
+    slots = spark.sparkContext.defaultParallelism
+    one = spark.range(100).repartition(1)
+    spread_one = spread(one, "id")
+    assert spread_one.rdd.getNumPartitions() == slots
+    assert "hashpartitioning(id" in plan_of(spread_one)
+    many = spark.range(100).repartition(slots * 2)
+    assert spread(many, "id") is many
