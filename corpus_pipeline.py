@@ -13,17 +13,14 @@ from nextbest.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list reject.  Rows without an id stay only if a row with a
-    null id is kept."""
+    """Documents that neither the base rules nor the learned list reject."""
     rules = quality.learn(quality.labelled_statistics(docs, queries.table(spark, sf_dir, "labels")))
-    judged = quality.judged(quality.statistics(docs), rules)
-    return _those(docs, judged.where("kept").select("doc_id"))
+    return quality.judged(quality.statistics(docs, keep_row=True), rules).where("kept").select("row.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5."""
-    model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
-    return _those(docs, toxicity.scored(docs, model).where("score < 0.5").select("doc_id"))
+    return toxicity.clean(docs, toxicity.fit(docs, queries.table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

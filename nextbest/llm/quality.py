@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nextbest.llm.common import id_and_text, written
+from nextbest.llm.common import written
 
 _SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -71,15 +71,18 @@ def _repeated_words(hashes: Column, n: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(pairs, of_sorted))
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct_words) of whole texts, as longs."""
-    base = id_and_text(docs, id_col, text_col)
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct_words) of whole texts, as longs;
+    with ``keep_row`` also ``row``, a struct of all columns of ``docs``."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []))
     text = F.coalesce(F.col("text"), F.lit(""))
+    kept = ["row"] if keep_row else []
     trimmed = F.btrim(text, F.lit(_SPACE))
     # the words' hashes, twice referred to below, so that Catalyst keeps them as a column of their own
     words = F.when(F.length(trimmed) == 0, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.split(trimmed, "[ \\t-\\r]+"), lambda w: F.xxhash64(w)))
-    rows = base.select("doc_id", text.alias("text"), words.alias("w"))
+    rows = base.select("doc_id", *kept, text.alias("text"), words.alias("w"))
     n = F.size("w")
 
     def windows(w: Column) -> Column:
@@ -89,7 +92,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(_SPACE))) > 0)
     repeated = F.when(n < WINDOW, F.lit(0)).otherwise(_let(_let(F.col("w"), windows), lambda h: _repeated_words(h, n)))
     return rows.select(
-        "doc_id", n.cast("long").alias("n_words"), F.length(_without("text", _SPACE)).cast("long").alias("word_chars"),
+        "doc_id", *kept, n.cast("long").alias("n_words"), F.length(_without("text", _SPACE)).cast("long").alias("word_chars"),
         (F.length("text") - F.length(_without("text", SYMBOLS))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated.cast("long").alias("n_repeat_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct_words"))

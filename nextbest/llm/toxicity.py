@@ -255,6 +255,19 @@ def _score(model):
     return run
 
 
+def clean(docs: DataFrame, model: Model, text_col: str = "text", most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below ``most``."""
+    numbers = docs.sparkSession.sparkContext.broadcast((model.margins(), float(model.bias[1] - model.bias[0])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        margins, bias = numbers.value
+        for whole in batches:
+            for batch in slices(whole, text_col, _SLICE):
+                yield batch.filter(pa.array(scores(texts_of(batch.column(text_col)), margins, bias) < most))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every whole text."""
     numbers = docs.sparkSession.sparkContext.broadcast((model.margins(), float(model.bias[1] - model.bias[0])))
