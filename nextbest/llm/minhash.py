@@ -12,10 +12,14 @@ pair are compared directly, and pairs below ``MATCHES`` go.  What is left is
 confirmed on the full shingle sets.
 
 Lists are never expanded into all pairs.  First each list's members are paired
-with the list's smallest member.  Then only lists whose members still lie
-in several components are looked at again: members outside the list's largest
-component are paired with the members of other components.  Pairs inside one
-component cannot change the result.
+with the list's smallest member, and each document is confirmed against its best
+such partner.  Then only lists whose members still lie in several components are
+open.  Lists that share members form a family.  In a family, the members outside
+its largest component are compared with all others, in blocks of bounded size
+inside a task: collisions are counted on the signatures, and what has a partner
+above the threshold comes again with its text to be confirmed, best partner
+first, until it has joined the other's component.  Only links that join two
+components leave a block, never the pairs compared.
 
 Defined results: null or empty texts and texts without words have
 ``n_shingles`` 0 and link with nothing.  Rows without an id cannot be named in
@@ -30,6 +34,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +128,127 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return joined.mapInArrow(_confirm(words, percent), "a long, b long")
 
 
+def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The complete groups of frames that are sorted by ``keys``."""
+    rest: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        values = frame[keys].to_numpy()
+        cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+        if rest and (rest[-1][keys].to_numpy()[-1] != values[0]).any():
+            yield pd.concat(rest) if len(rest) > 1 else rest[0]
+            rest = []
+        for at, end in zip([0, *cuts], [*cuts, len(frame)], strict=True):
+            if rest and at:
+                yield pd.concat(rest) if len(rest) > 1 else rest[0]
+                rest = []
+            rest.append(frame.iloc[at:end])
+    if rest:
+        yield pd.concat(rest) if len(rest) > 1 else rest[0]
+
+
+_PAIR = ["family", "i", "j"]
+
+
+def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the members outside the largest component, and of those they are compared with."""
+    block = group["block"].to_numpy()
+    return np.flatnonzero(block == group["i"].iloc[0]), np.flatnonzero(block == group["j"].iloc[0])
+
+
+def _partners(group: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member of the first block: the members of the second one in another component that agree often enough,
+    and in how many coordinates."""
+    left, right = _sides(group)
+    sigs = np.stack(group["sig"].to_numpy())
+    size, component = group["n_shingles"].to_numpy(), group["component"].to_numpy()
+    theirs, sizes, components_ = sigs[right], size[right], component[right]
+    for x in left:
+        hits = (theirs == sigs[x]).sum(axis=1)
+        ok = np.flatnonzero((hits >= MATCHES) & (components_ != component[x])
+                            & (100 * np.minimum(sizes, size[x]) >= percent * np.maximum(sizes, size[x])))
+        if len(ok):
+            yield int(x), right[ok], hits[ok]
+
+
+def _near_members(percent: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(frames, _PAIR):
+            found = [np.append(others, x) for x, others, _ in _partners(group, percent)]
+            if found:
+                yield pd.DataFrame({"rep": group["rep"].to_numpy()[np.unique(np.concatenate(found))]})
+    return run
+
+
+def _joining_links(words: int, percent: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(frames, _PAIR):
+            rep, component = group["rep"].to_numpy(), group["component"].to_numpy()
+            texts = group["text"].tolist()
+            sets: dict[int, np.ndarray] = {}
+            root = {c: c for c in component.tolist()}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            def shingles(x):
+                if x not in sets:
+                    sets[x] = shingle_sets([(texts[x] or "").encode()], words)[0]
+                return sets[x]
+
+            links = []
+            for x, others, hits in _partners(group, percent):
+                for y in others[np.argsort(-hits, kind="stable")].tolist():
+                    if find(component[x]) == find(component[y]):
+                        continue
+                    one, two = shingles(x), shingles(y)
+                    both = overlap(one, two)
+                    if 100 * both >= percent * (len(one) + len(two) - both):
+                        links.append((rep[x], rep[y]))
+                        root[find(component[x])] = find(component[y])
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"])
+    return run
+
+
+#: A block of a family holds about so many members, with so many shingles in all.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 2_000_000
+
+
+def _open_links(prefix: DataFrame, labels: DataFrame, reps: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between members of lists that still lie in several components; enough of them to join all that are linked."""
+    placed = prefix.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = written(placed, "minhash-placed")
+    spans = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("head"))
+    open_lists = written(placed.join(spans.where("low <> high").select("key", "head"), "key").select("head", "rep", "component"), "minhash-open")
+    families = components(open_lists.where("head <> rep").select(F.col("head").alias("a"), F.col("rep").alias("b")), "minhash-families")
+    members = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(
+        open_lists.select("rep", "component").distinct(), "rep").join(reps, "rep")
+    members = written(members, "minhash-members")
+
+    parts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    whole = parts.groupBy("family").agg(F.max(F.struct("n", "component", "w")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    whole = whole.select("family", F.col("m.component").alias("main"), F.struct((F.col("n") - F.col("m.n")).alias("n"), (F.col("w") - F.col("m.w")).alias("w")).alias("rest"), "m")
+    def of(part: str):
+        return F.ceil(F.greatest(F.col(f"{part}.n") / BLOCK_MEMBERS, F.col(f"{part}.w") / BLOCK_SHINGLES)).cast("int")
+    whole = whole.select("family", "main", of("rest").alias("outer"), of("m").alias("inner"))
+    placed = members.join(whole, "family").withColumn("block", F.when(
+        F.col("component") == F.col("main"), F.col("outer") + F.pmod(F.xxhash64("rep"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("outer"))).cast("int"))
+    with_ = F.sequence(F.lit(0), F.when(F.col("block") < F.col("outer"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)
+    pairs = F.transform(with_, lambda t: F.struct(F.least("block", t).alias("i"), F.greatest("block", t).alias("j")))
+    work = placed.withColumn("x", F.explode(pairs)).select("family", "x.i", "x.j", "block", "rep", "component", "n_shingles", "sig")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+
+    near = written(dealt(work).mapInPandas(_near_members(percent), "rep long").distinct(), "minhash-near")
+    texts = base.select(F.col("doc_id").alias("rep"), "text").join(near, "rep", "left_semi")
+    return dealt(work.join(texts, "rep")).mapInPandas(_joining_links(words, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of ``docs``."""
     base = id_and_text(docs, id_col, text_col)
@@ -148,19 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(_confirmed(best, _texts_of_pairs(base, best), words, percent), "minhash-links")
 
     labels = components(first, "minhash-first")
-    placed = prefix.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = written(placed, "minhash-placed")
-    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mains = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main")).where("parts > 1").select("key", "main")
-    open_lists = written(placed.join(mains, "key"), "minhash-open")
-    outside = open_lists.where("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    every = open_lists.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), "main")
-    # two members outside the largest component meet once, not in both orders
-    across = outside.join(every, "key").where("cx <> cy AND (cy = main OR x < y)").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(_agreeing(across.join(tried, ["a", "b"], "left_anti"), reps, percent).select("a", "b"), "minhash-rest")
-    second = written(_confirmed(rest, _texts_of_pairs(base, rest), words, percent), "minhash-links")
+    second = written(_open_links(prefix, labels, reps, base, words, percent), "minhash-links")
 
     final = components(first.unionByName(second), "minhash-final")
     named_classes = classes.select("fp1", "fp2", "n_shingles", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
