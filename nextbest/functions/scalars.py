@@ -30,10 +30,6 @@ def safe_ratio(num, den) -> Column:
     return col(num) / F.nullif(col(den), F.lit(0))
 
 
-def or_default(c, default) -> Column:
-    return F.coalesce(col(c), F.lit(default))
-
-
 def flag_when(cond: Column, value=1, otherwise=0) -> Column:
     return F.when(cond, F.lit(value)).otherwise(F.lit(otherwise))
 
@@ -53,11 +49,6 @@ def currency_text(c) -> Column:
     return F.concat(F.lit("$"), F.format_number(col(c).cast("bigint"), 0))
 
 
-def one_decimal_text(c) -> Column:
-    """A DOUBLE rounded to one decimal, printed like ``59.6`` / ``10.0``."""
-    return F.round(col(c), 1).cast("string")
-
-
 def percent_number(c) -> Column:
     """Share (0..1) -> percent rounded to one decimal; NULL share counts as 0."""
     return F.round(F.coalesce(col(c), F.lit(0.0)) * 100, 1)
@@ -108,15 +99,6 @@ def emoji_for(product) -> Column:
     return expr.otherwise(F.lit(C.DEFAULT_EMOJI))
 
 
-def emoji_or_blank(product) -> Column:
-    """Same lookup, but unknown products get an empty label (owned-products list)."""
-    p = col(product)
-    expr = None
-    for name, emoji in C.PRODUCT_EMOJIS.items():
-        expr = (F.when(p == name, F.lit(emoji)) if expr is None else expr.when(p == name, F.lit(emoji)))
-    return expr.otherwise(F.lit(""))
-
-
 def _fill(template: str, **parts: Column) -> Column:
     """``concat`` over a template with ``{name}`` placeholders."""
     pieces: list[Column] = []
@@ -131,6 +113,18 @@ def _fill(template: str, **parts: Column) -> Column:
     return pieces[0] if len(pieces) == 1 else F.concat(*pieces)
 
 
+def signal_reason(segment, als_norm, cb_norm, aff_norm, affinity_rate) -> Column:
+    """The sentence of the dominant signal (strict ``>``); ties go to the
+    segment-affinity sentence, or to the default one without an affinity row."""
+    als, cb, aff = col(als_norm), col(cb_norm), col(aff_norm)
+    seg = spaced(F.coalesce(col(segment), F.lit("")))
+    return (F.when((cb > als) & (cb > aff), F.lit(C.REASON_CB_DOMINANT))
+            .when((als > cb) & (als > aff), F.lit(C.REASON_ALS_DOMINANT))
+            .when(col(affinity_rate).isNotNull(),
+                  _fill(C.REASON_AFFINITY, rate=percent_int(affinity_rate).cast("string"), segment=seg))
+            .otherwise(F.lit(C.REASON_DEFAULT)))
+
+
 def explain_existing(product, segment, shares: dict, als_norm, cb_norm, aff_norm, affinity_rate) -> Column:
     """Reason text of an existing-customer recommendation.
 
@@ -149,15 +143,7 @@ def explain_existing(product, segment, shares: dict, als_norm, cb_norm, aff_norm
             parts["pct"] = percent_number(shares[share_col]).cast("string")
         text = _fill(template, **parts)
         expr = F.when(p == name, text) if expr is None else expr.when(p == name, text)
-    als, cb, aff = col(als_norm), col(cb_norm), col(aff_norm)
-    fallback = (
-        F.when((cb > als) & (cb > aff), F.lit(C.REASON_CB_DOMINANT))
-        .when((als > cb) & (als > aff), F.lit(C.REASON_ALS_DOMINANT))
-        .when(col(affinity_rate).isNotNull(),
-              _fill(C.REASON_AFFINITY, rate=percent_int(affinity_rate).cast("string"), segment=seg))
-        .otherwise(F.lit(C.REASON_DEFAULT))
-    )
-    return expr.otherwise(fallback)
+    return expr.otherwise(signal_reason(segment, als_norm, cb_norm, aff_norm, affinity_rate))
 
 
 def explain_new(product, segment, travel_pct, dining_pct, rent_pct, income) -> Column:

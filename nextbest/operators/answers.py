@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from nextbest import constants as C
 from nextbest.functions import scalars as X
 from nextbest.operators import signals as S
-from nextbest.operators.joins import lookup_join
 
 _GIVEN = ["travel", "dining", "groceries", "rent", "shopping"]
 
@@ -64,13 +63,12 @@ def existing_customer_recs(features: DataFrame, recs: DataFrame, affinity: DataF
     ``recs`` is the published hybrid table; the features join is on
     customer_id (both sides keyed by it), the affinity rate lookup is a small
     (segment, product) dimension."""
-    ranked = S.top_k(recs.drop("rank") if "rank" in recs.columns else recs, "hybrid_score", k)
+    ranked = recs.where(F.col("rank") <= k) if "rank" in recs.columns else S.top_k(recs, "hybrid_score", k)
     cust = features.select("customer_id", F.col("segment").alias("customer_segment"), "num_products",
                            *C.SHARE_COLUMNS)
     rates = affinity.select(F.col("segment").alias("customer_segment"), "product_name",
                             F.col("conversion_rate").alias("affinity_rate"))
-    j = lookup_join(ranked.join(cust, "customer_id", "inner"), rates, ["customer_segment", "product_name"],
-                    "left", materialize=False)
+    j = ranked.join(cust, "customer_id", "inner").join(rates, ["customer_segment", "product_name"], "left")
     score = X.percent_number("hybrid_score")
     shares = {c: F.col(c) for c in C.SHARE_COLUMNS}
     return j.select(
@@ -91,15 +89,8 @@ def signal_reasons(recs: DataFrame, features: DataFrame, affinity: DataFrame) ->
     cust = features.select("customer_id", F.col("segment").alias("customer_segment"))
     rates = affinity.select(F.col("segment").alias("customer_segment"), "product_name",
                             F.col("conversion_rate").alias("affinity_rate"))
-    j = lookup_join(recs.join(cust, "customer_id", "left"), rates, ["customer_segment", "product_name"], "left",
-                    materialize=False)
-    seg = X.spaced(F.coalesce(F.col("customer_segment"), F.lit("")))
-    als, cb, aff = F.col("als_score_norm"), F.col("cb_score_norm"), F.col("affinity_score_norm")
-    reason = (F.when((cb > als) & (cb > aff), F.lit(C.REASON_CB_DOMINANT))
-              .when((als > cb) & (als > aff), F.lit(C.REASON_ALS_DOMINANT))
-              .when(F.col("affinity_rate").isNotNull(),
-                    X._fill(C.REASON_AFFINITY, rate=X.percent_int("affinity_rate").cast("string"), segment=seg))
-              .otherwise(F.lit(C.REASON_DEFAULT)))
+    j = recs.join(cust, "customer_id", "left").join(rates, ["customer_segment", "product_name"], "left")
+    reason = X.signal_reason("customer_segment", "als_score_norm", "cb_score_norm", "affinity_score_norm", "affinity_rate")
     return j.select("customer_id", "product_name", reason.alias("reason"))
 
 
@@ -196,7 +187,7 @@ def _segment_rates(affinity: DataFrame) -> DataFrame:
 def _new_top(profiles: DataFrame, affinity: DataFrame, k: int) -> DataFrame:
     """Profile rows with their top-k array of (rank key, ordinal, product,
     score) -- all 8 products scored and ranked inside the row."""
-    j = S.with_vector(lookup_join(profiles, _segment_rates(affinity), "segment", "left", materialize=False))
+    j = S.with_vector(profiles.join(_segment_rates(affinity), "segment", "left"))
     cos = S.cosine_columns()
     structs = []
     for i, name in enumerate(C.PRODUCT_NAMES):

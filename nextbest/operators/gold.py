@@ -24,19 +24,20 @@ from nextbest.operators.silver import stamp
 
 
 def transaction_stats(txn: DataFrame) -> DataFrame:
-    """Per customer: count, sum, avg, max of amount and 8 category spends."""
-    amount = F.col("amount")
+    """Per customer: count, sum, avg, max of amount and 8 category spends.
+
+    Money is summed as DECIMAL(18, 4): sums, mean and shares are exact and do
+    not depend on the order in which partial sums meet."""
+    amount = F.col("amount").cast("decimal(18,4)")
     spends = [
-        F.sum(F.when(F.col("category") == cat, amount).otherwise(F.lit(0.0))).alias(f"{cat}_spend")
+        F.sum(F.when(F.col("category") == cat, amount).otherwise(F.lit(0).cast("decimal(18,4)"))).cast("double").alias(f"{cat}_spend")
         for cat in C.SPEND_CATEGORIES
     ]
     return txn.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_transactions"),
-        F.sum(amount).alias("total_spend"),
-        # exact decimal mean: money averages round half-up on the true value,
-        # independent of the order the partial sums were combined in
-        F.avg(amount.cast("decimal(38,10)")).alias("avg_transaction"),
-        F.max(amount).alias("max_transaction"),
+        F.sum(amount).cast("double").alias("total_spend"),
+        F.avg(amount).alias("avg_transaction"),
+        F.max(amount).cast("double").alias("max_transaction"),
         *spends,
     )
 

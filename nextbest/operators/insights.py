@@ -6,12 +6,11 @@ DataFrame; one-row aggregates are broadcast where they are joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nextbest import constants as C
 from nextbest.functions.scalars import round_half_up
-from nextbest.operators.joins import lookup_join
 from nextbest.sources import dims
 
 
@@ -44,21 +43,26 @@ def products_per_customer_stats(held: DataFrame) -> DataFrame:
                    F.min("num_products").alias("min_products"))
 
 
-def histogram(df: DataFrame, col: str, bins: int = 8) -> DataFrame:
-    """Equal-width histogram over [min, max]; the last bin is closed on the
-    right; min == max widens the range by 0.5 on each side.  Empty bins are
-    emitted with count 0."""
+def value_weights(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by..., value, weight): rows per distinct value, what distribution numbers are made from."""
+    return (df.where(F.col(value).isNotNull()).groupBy(*by, value)
+            .agg(F.count(F.lit(1)).alias("weight")))
+
+
+def histogram(weights: DataFrame, col: str, bins: int = 8) -> DataFrame:
+    """Equal-width histogram over [min, max] from a frame of ``value_weights``
+    (written, as it is read for the range and for the counts); the last bin is
+    closed on the right; min == max widens the range by 0.5 on each side.
+    Empty bins are emitted with count 0."""
     x = F.col(col).cast("double")
-    stats = df.agg(F.min(x).alias("_mn"), F.max(x).alias("_mx"))
+    stats = weights.agg(F.min(x).alias("_mn"), F.max(x).alias("_mx"))
     stats = stats.select(
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
     rng = stats.select(F.struct("_lo", "_hi")).scalar()  # one subquery, both bounds
     lo, hi = rng.getField("_lo"), rng.getField("_hi")
-    binned = (df.select(x.alias("_x")).where(F.col("_x").isNotNull())
-              .select(F.least(F.floor((F.col("_x") - lo) / (hi - lo) * bins), F.lit(bins - 1))
-                      .cast("int").alias("bin"))
-              .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
+    binned = (weights.select(F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int").alias("bin"), "weight")
+              .groupBy("bin").agg(F.sum("weight").alias("count")))
     # the one-row range frame carries the bin numbers 0..bins-1
     edges = stats.select("_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("_hi") - F.col("_lo")) / bins
@@ -74,23 +78,30 @@ def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Box-plot numbers per group: quartiles (linear interpolation), whiskers
     at the furthest points within 1.5 IQR, and the outlier count.
 
-    ``percentile`` keeps a value->count map per group, so its memory is the
-    number of distinct values (ages), not the group size.
-    """
-    v = F.col(value).cast("double")
-    q = (df.where(F.col(value).isNotNull()).groupBy(by)
-         .agg(F.percentile(v, [0.25, 0.5, 0.75]).alias("_q"))
-         .select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")))
-    fences = q.select(by, "q1", "median", "q3",
-                      (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lo"),
-                      (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    # one row per group, joined back by the group key: measured, then broadcast
-    joined = lookup_join(df.where(F.col(value).isNotNull()).select(by, v.alias("_v")), fences, by, "inner")
-    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    return (joined.groupBy(by, "q1", "median", "q3")
-            .agg(F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
-                 F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-                 F.sum(F.when(inside, 0).otherwise(1)).cast("bigint").alias("outliers"))
+    Rows are counted by value first; ranks are running sums over the distinct
+    values of a group (a sorted window that spills), so no group's values are
+    held in memory and the input is read once."""
+    weights = value_weights(df.where(F.col(by).isNotNull()).select(by, F.col(value).cast("double").alias("_x")), "_x", by)
+    group = Window.partitionBy(by)
+    before = group.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = weights.select(by, "_x", "weight", F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("_before"),
+                            F.sum("weight").over(group).alias("_total"))
+
+    def at(rank):
+        here = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("weight"))
+        return F.max(F.when(here, F.col("_x"))).over(group)
+
+    def quantile(q: float):
+        place = (F.col("_total") - 1) * q
+        return at(F.floor(place)) + (place - F.floor(place)) * (at(F.ceil(place)) - at(F.floor(place)))
+
+    q = ranked.select(by, "_x", "weight", quantile(0.25).alias("q1"), quantile(0.5).alias("median"), quantile(0.75).alias("q3"))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = (F.col("_x") >= F.col("q1") - reach) & (F.col("_x") <= F.col("q3") + reach)
+    return (q.groupBy(by, "q1", "median", "q3")
+            .agg(F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
+                 F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
+                 F.sum(F.when(inside, 0).otherwise(F.col("weight"))).cast("bigint").alias("outliers"))
             .orderBy(by))
 
 
@@ -132,18 +143,25 @@ def missing_product_counts(held: DataFrame) -> DataFrame:
 
 def insight_summary(cust: DataFrame, txn: DataFrame, held: DataFrame) -> DataFrame:
     """One row: totals, average products per customer (2 dp), the most missed
-    product, its count and its share of all customers (1 dp)."""
-    # top-1 of the (at most 8-row) ordered frame; ties go to the first name;
-    # the other numbers are scalar subqueries attached to it
-    top = (missing_product_counts(held).orderBy(F.col("missing_count").desc(), F.col("product_name")).limit(1)
-           .select(F.col("product_name").alias("biggest_opportunity"),
-                   F.col("missing_count").alias("biggest_opportunity_count")))
-    out = top.select(
+    product, its count and its share of all customers (1 dp).
+
+    Holdings are reduced once to a row per customer (its number of products and
+    which of the catalog's it lacks) and those to one row; customers and
+    transactions are counted in one pass each."""
+    per = (held.where(F.col("customer_id").isNotNull()).groupBy("customer_id")
+           .agg(F.count("product_id").alias("n"),
+                *[F.max(F.when(F.col("product_id") == p, 0).otherwise(1) * -1).alias(f"has_{i}") for i, p in enumerate(C.PRODUCT_IDS)]))
+    # has_i is 0 for an owner and -1 for a customer without the product
+    one = per.agg(F.avg(F.col("n").cast("decimal(18,0)")).alias("mean"),
+                  *[F.coalesce(-F.sum(f"has_{i}"), F.lit(0)).alias(f"miss_{i}") for i in range(len(C.PRODUCT_IDS))])
+    missed = F.array(*[F.struct((-F.col(f"miss_{i}")).alias("key"), F.lit(name).alias("name")) for i, name in enumerate(C.PRODUCT_NAMES)])
+    top = F.array_min(F.filter(missed, lambda m: m["key"] < 0))
+    out = one.select(
         cust.select(F.count(F.lit(1))).scalar().alias("total_customers"),
         txn.select(F.count(F.lit(1))).scalar().alias("total_transactions"),
-        products_per_customer_stats(held).select("avg_products").scalar().alias("avg_products_per_customer"),
-        "biggest_opportunity", "biggest_opportunity_count")
-    return out.withColumn(
+        round_half_up(F.col("mean"), 2).cast("double").alias("avg_products_per_customer"),
+        top["name"].alias("biggest_opportunity"), (-top["key"]).alias("biggest_opportunity_count"))
+    return out.where(F.col("biggest_opportunity").isNotNull()).withColumn(
         "cross_sell_gap_pct",
         round_half_up(F.col("biggest_opportunity_count") / F.col("total_customers") * 100, 1))
 

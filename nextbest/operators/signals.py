@@ -12,9 +12,7 @@ Scale notes
 * The hybrid merge re-partitions the (<= 6 per customer) candidate rows once
   by customer_id; the merge aggregate, the join with the customer_id-bucketed
   features and the per-customer top-k all reuse that partitioning.
-* Collaborative filtering runs on ownership patterns (``patterns_als``): Spark
-  aggregates customers into <= 2**8 patterns, the fit runs on those, the
-  result is broadcast back; ``pyspark.ml`` block ALS is the fallback.
+* Collaborative filtering is ``pyspark.ml`` block ALS on dense integer ids.
 """
 
 from __future__ import annotations
@@ -27,7 +25,6 @@ from pyspark.sql import functions as F
 
 from nextbest import constants as C
 from nextbest.functions.scalars import round_half_up
-from nextbest.operators.joins import lookup_join
 from nextbest.sources import dims
 
 SCORE_KEY_DP = 10  # ranking key: score rounded to 10 dp (stable ties), then name
@@ -129,9 +126,8 @@ def segment_popularity_signal(features: DataFrame, affinity: DataFrame, k: int =
            .withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
            .select("segment", "product_name",
                    round_half_up(F.col("customers_with_product") / F.col("total_customers"), 4).alias("als_score")))
-    # k rows per segment: few keys, so the side is measured and broadcast
-    # (a cheap derivation of the written affinity table: measured directly)
-    return (lookup_join(features.select("customer_id", "segment"), top, "segment", "inner", materialize=False)
+    # k rows per segment: no hint, the side's size at run time picks the join
+    return (features.select("customer_id", "segment").join(top, "segment", "inner")
             .select("customer_id", "product_name", "als_score"))
 
 
@@ -172,7 +168,7 @@ def attach_context(merged: DataFrame, features: DataFrame, affinity: DataFrame)
         cond = (F.col("product_name") == name) & (F.col(flag) == 1)
         owned = F.when(cond, F.lit(True)) if owned is None else owned.when(cond, F.lit(True))
     joined = merged.join(ctx, "customer_id", "left")
-    return (lookup_join(joined, rates, ["segment", "product_name"], "left", materialize=False)
+    return (joined.join(rates, ["segment", "product_name"], "left")
             .withColumn("affinity_score", F.coalesce(F.col("affinity_rate"), F.lit(0.0)))
             .withColumn("is_owned", owned.otherwise(F.lit(False)))
             .drop(*C.FLAG_COLUMNS))
@@ -238,7 +234,9 @@ def dense_index(df: DataFrame, key: str, out: str = "user_id") -> DataFrame:
     Keys are range-partitioned and sorted; each partition's row offset is the
     running total of the partition sizes before it (one row per partition, a
     size bound set by configuration, so it is broadcast).  The ranged keys are
-    checkpointed first so both passes see the same partitioning.
+    checkpointed first so both passes see the same partitioning.  Callers write
+    the result once (``Models.customer_index``).  Ids are 32-bit, as the
+    library's ALS takes no larger ones: beyond 2^31 keys the cast fails.
     """
     ranged = (df.select(key).where(F.col(key).isNotNull()).distinct()
               .repartitionByRange(key).sortWithinPartitions(key)
@@ -251,10 +249,8 @@ def dense_index(df: DataFrame, key: str, out: str = "user_id") -> DataFrame:
     offsets = counts.withColumn(
         "_offset",
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    index = (ranged.join(F.broadcast(offsets.select("_pid", "_first", "_offset")), "_pid")
-             .select(key, (F.col("_offset") + F.col("_mono") - F.col("_first")).cast("int").alias(out)))
-    # the id map is read twice (encode, decode): cut it to a reliable checkpoint
-    return index.checkpoint(eager=True)
+    return (ranged.join(F.broadcast(offsets.select("_pid", "_first", "_offset")), "_pid")
+            .select(key, (F.col("_offset") + F.col("_mono") - F.col("_first")).cast("int").alias(out)))
 
 
 def owned_pairs(matrix: DataFrame) -> DataFrame:
@@ -281,18 +277,16 @@ def split_flag(seed: int = C.ALS_SEED, train_percent: int = C.TRAIN_PERCENT) ->
     return bucket < train_percent
 
 
-def fit_als(train: DataFrame):
+def fit_als(train: DataFrame, user_blocks: int = 10, item_blocks: int = 10):
+    """Implicit ALS of the library.  The blocks seed the factors, so their
+    numbers are parameters with fixed defaults and do not follow the cluster."""
     from pyspark.ml.recommendation import ALS
 
     from nextbest.session import checkpoint_dir
     checkpoint_dir(train.sparkSession)  # ALS cuts its lineage every 10 iterations
-    # user blocks follow the cluster's task slots; items are a fixed catalog,
-    # one block per product
-    slots = train.sparkSession.sparkContext.defaultParallelism
     als = ALS(rank=C.ALS_RANK, maxIter=C.ALS_MAX_ITER, regParam=C.ALS_REG_PARAM, implicitPrefs=True,
               userCol="user_id", itemCol="item_id", ratingCol="rating", coldStartStrategy="drop",
-              seed=C.ALS_SEED, nonnegative=False,
-              numUserBlocks=max(10, slots), numItemBlocks=len(C.PRODUCT_NAMES))
+              seed=C.ALS_SEED, nonnegative=False, numUserBlocks=user_blocks, numItemBlocks=item_blocks)
     return als.fit(train)
 
 
@@ -306,31 +300,12 @@ def decode_recommendations(recs: DataFrame, customer_index: DataFrame) -> DataFr
             .select("customer_id", "product_name", round_half_up(F.col("rating").cast("double"), 4).alias("als_score")))
 
 
-def als_recommendations(matrix: DataFrame, k: int = C.TOP_K, method: str = "patterns") -> DataFrame:
+def als_recommendations(matrix: DataFrame, customer_index: DataFrame, k: int = C.TOP_K,
+                        user_blocks: int = 10, item_blocks: int = 10) -> DataFrame:
     """Implicit ALS over owned pairs (train split), top k per trained user.
-    Owned products are not excluded here (the hybrid step does that).
-
-    ``patterns`` (default): the fit runs on the distinct ownership patterns
-    (see ``patterns_als``) -- no rating shuffle, no hot item task, no 32-bit
-    id limit.  ``block``: ``pyspark.ml`` ALS on dense integer ids; also used
-    when the catalog is too large for patterns."""
-    from nextbest.operators import patterns_als
-
-    if method == "patterns" and len(C.PRODUCT_NAMES) <= patterns_als.MAX_PATTERN_BITS:
-        train = owned_pairs(matrix).where(split_flag()).select("customer_id", "item_id")
-        recs = patterns_als.pattern_als_recommendations(train, len(C.PRODUCT_NAMES), k)
-        items = dims.small(dims.product_index(matrix.sparkSession))
-        return (recs.join(items, "item_id")
-                .select("customer_id", "product_name",
-                        round_half_up(F.col("rating").cast("double"), 4).alias("als_score")))
-    return block_als_recommendations(matrix, k)
-
-
-def block_als_recommendations(matrix: DataFrame, k: int = C.TOP_K) -> DataFrame:
-    """``pyspark.ml`` implicit ALS on dense integer customer/item ids."""
-    index = dense_index(matrix, "customer_id")
-    pairs = interactions(matrix, index)
+    Owned products are not excluded here (the hybrid step does that)."""
+    pairs = interactions(matrix, customer_index)
     train = pairs.where(split_flag()).select("user_id", "item_id", "rating").persist(StorageLevel.MEMORY_AND_DISK)
-    model = fit_als(train)
+    model = fit_als(train, user_blocks, item_blocks)
     train.unpersist()
-    return decode_recommendations(model.recommendForAllUsers(k), index)
+    return decode_recommendations(model.recommendForAllUsers(k), customer_index)

@@ -12,6 +12,8 @@ from nextbest.plans.oracles import dbl, with_prelude
 from nextbest.plans.registry import query
 from nextbest.plans.signal_queries import SIGNAL_CTES
 
+_GIVEN = ["travel", "dining", "groceries", "rent", "shopping"]
+
 # ---------------------------------------------------------------------------
 # SQL text helpers for the oracles
 # ---------------------------------------------------------------------------
@@ -95,7 +97,6 @@ def ans(select: str) -> str:
 # ---------------------------------------------------------------------------
 # new-customer oracle CTEs
 # ---------------------------------------------------------------------------
-_GIVEN = ["travel", "dining", "groceries", "rent", "shopping"]
 _TOTAL = " + ".join(_GIVEN)
 _NEW_SQ = " + ".join(f"v.{c} * v.{c}" for c in C.SHARE_COLUMNS)
 _NEW_DOT = " + ".join(f"v.{c} * p.w_{cat}" for c, cat in zip(C.SHARE_COLUMNS, C.SPEND_CATEGORIES))
@@ -267,10 +268,26 @@ def q_batch_lookup(m):
     return A.lookup_customers(requests, m.gold_customer_features, _existing(m))
 
 
-@query("existing_customer_documents")
+_REC_STRUCT = "{'rank': rank, 'product': product, 'emoji': emoji, 'score': score, 'type': type, 'reason': reason}"
+_LABELS = "list_filter([" + ", ".join(
+    f"CASE WHEN {fl} = 1 THEN {_q(C.PRODUCT_EMOJIS[n] + ' ' + n.replace('_', ' ').title())} END"
+    for n, fl in zip(C.PRODUCT_NAMES, C.FLAG_COLUMNS)) + "], lambda x: x IS NOT NULL)"
+
+
+@query("existing_customer_documents", ans(f"""
+SELECT customer_id, CAST(to_json({{
+  'customer_id': customer_id,
+  'profile': {{'age': CAST(COALESCE(age, 0) AS INTEGER), 'income': {currency_sql('COALESCE(income, 0)')},
+               'credit_score': CAST(COALESCE(credit_score, 0) AS INTEGER), 'segment': {display_sql("COALESCE(segment, '')")},
+               'tenure_months': CAST(COALESCE(tenure_months, 0) AS INTEGER)}},
+  'spending': {{{', '.join(f"'{c}': {pct_sql(c + '_pct')} || '%'" for c in _GIVEN)}}},
+  'current_products': {_LABELS},
+  'recommendations': recommendations}}) AS VARCHAR) AS document
+FROM gold_customer_features
+JOIN (SELECT customer_id, list({_REC_STRUCT} ORDER BY rank) AS recommendations FROM o_existing GROUP BY customer_id) USING (customer_id)"""))
 def q_existing_customer_documents(m):
-    """Nested answer documents for every customer (rows-only check)."""
-    return A.existing_customer_documents(m.gold_customer_features, _existing(m))
+    """The nested answer document of every customer, as JSON."""
+    return A.existing_customer_documents(m.gold_customer_features, _existing(m)).select("customer_id", "document")
 
 
 # ---------------------------------------------------------------------------
@@ -316,10 +333,16 @@ def q_explain_new(m):
     return _new(m).select("profile_id", "rank", "reason")
 
 
-@query("new_customer_documents")
+@query("new_customer_documents", new(f"""
+SELECT profile_id, CAST(to_json({{
+  'customer_type': 'new',
+  'profile_summary': {{'age': age, 'income': {currency_sql('income')}, 'credit_score': credit_score, 'segment': {display_sql('segment')}}},
+  'recommendations': recommendations}}) AS VARCHAR) AS document
+FROM o_profiles
+JOIN (SELECT profile_id, list({_REC_STRUCT} ORDER BY rank) AS recommendations FROM o_new_recs GROUP BY profile_id) USING (profile_id)"""))
 def q_new_customer_documents(m):
-    """Nested new-customer answers (rows-only check)."""
-    return A.new_customer_documents(_profiles(m), m.gold_product_affinity)
+    """The nested answer document of every new-customer profile, as JSON."""
+    return A.new_customer_documents(_profiles(m), m.gold_product_affinity).select("profile_id", "document")
 
 
 @query("display_names", with_prelude(select=f"""

@@ -19,9 +19,11 @@ from nextbest.session import apply_tuning, scratch_path
 from nextbest.sources import sinks
 
 
-def build_all(spark: SparkSession, sf_dir: str, use_als: bool = True) -> dict[str, DataFrame]:
+def build_all(spark: SparkSession, sf_dir: str, use_als: bool = True, buckets: int | None = None) -> dict[str, DataFrame]:
+    """Every table, built now from the files as they are: the run has a model
+    graph of its own and shares no table with other runs."""
     apply_tuning(spark)
-    m = Models(spark, sf_dir)
+    m = Models(spark, sf_dir, buckets=buckets)
     for name in ("silver_customers", "silver_transactions", "silver_products_held", "silver_product_catalog"):
         sinks.materialize(m.ref(name), name, "view")
     out = {

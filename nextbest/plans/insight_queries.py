@@ -77,7 +77,7 @@ SELECT g.bin, s.lo + g.bin * ((s.hi - s.lo) / 8) AS bin_start, s.lo + (g.bin + 1
 FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(0, 8)) g CROSS JOIN s LEFT JOIN b ON b.bin = g.bin
 ORDER BY g.bin"""))
 def q_products_histogram(m):
-    return I.histogram(I.products_per_customer(m.silver_products_held), "num_products", 8)
+    return I.histogram(m.products_distribution, "num_products", 8)
 
 
 @query("age_box_by_segment", with_prelude(select="""

@@ -2,32 +2,34 @@
 
 ``Models(spark, sf_dir)`` resolves the bronze sources and exposes every
 silver/gold model as a lazy DataFrame (the ``ref()`` of a model is plain
-attribute access).  Silver models are views (lazy); gold models can be
-materialised as tables with :meth:`Models.materialize`.
+attribute access).  Silver models are views (lazy); gold models are written
+once by the ``Models`` object that first refers to them, and belong to it: a new
+object builds them again from the files as they are then, and ``close()``
+removes its files and catalog entries.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from nextbest.operators import gold, signals, silver
-import uuid
-
-from nextbest.session import default_partitions, scratch_path
+from nextbest.session import remove_path, scratch_path
 from nextbest.sources import bindings, catalog, sinks
 
-# Written tables of this application: (application id, sf_dir, model) -> path.
-# Inputs are treated as immutable for the life of an application.
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
-
 
 class Models:
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize_models: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize_models: bool = True, buckets: int | None = None):
+        """``buckets``: write per-customer tables as external bucketed tables with
+        so many buckets (a number to fit the data; None writes plain parquet)."""
         self.spark = spark
         self.sf_dir = sf_dir
         self.materialize_models = materialize_models
+        self.buckets = buckets
+        self._paths: list[str] = []
+        self._tables: list[str] = []
 
     # -- bronze sources ----------------------------------------------------
     @cached_property
@@ -71,6 +73,14 @@ class Models:
         return self.written("gold_product_affinity", lambda: gold.product_affinity(
             self.silver_customers, self.silver_products_held))
 
+    @cached_property
+    def products_distribution(self) -> DataFrame:
+        """(num_products, weight): customers by number of products, a row per number."""
+        from nextbest.operators import insights
+
+        return self.written("products_distribution", lambda: insights.value_weights(
+            insights.products_per_customer(self.silver_products_held), "num_products"))
+
     # -- shared lazy signal frames (built once per model graph) -------------
     @cached_property
     def content_recommendations(self) -> DataFrame:
@@ -97,7 +107,8 @@ class Models:
     @cached_property
     def als_recommendations(self) -> DataFrame:
         """Implicit-ALS top-3 per trained customer, trained once and written."""
-        return self.written("als_recommendations", lambda: signals.als_recommendations(self.gold_user_item_matrix))
+        return self.written("als_recommendations", lambda: signals.als_recommendations(
+            self.gold_user_item_matrix, self.customer_index))
 
     @cached_property
     def hybrid_recommendations(self) -> DataFrame:
@@ -114,39 +125,35 @@ class Models:
         return self.written("checked_hybrid_recommendations", lambda: signals.hybrid_recommendations(
             self.standin_signal, self.content_recommendations, feats, aff), bucket_by="customer_id")
 
-    def written(self, name: str, build, bucket_by: str | None = None) -> DataFrame:
-        """Build a model once per application as a parquet table in the shared
-        checkpoint folder and read it back: later references scan the table
-        (and a lost executor recomputes from it, not from the raw inputs).
+    @cached_property
+    def customer_index(self) -> DataFrame:
+        """Dense customer ids, computed once and written: several frames refer to them."""
+        return self.written("customer_index", lambda: signals.dense_index(self.gold_user_item_matrix, "customer_id"))
 
-        Per-customer tables are bucketed and sorted by ``bucket_by`` into as
-        many buckets as shuffle partitions: joins on that key against a side
-        hash-partitioned the same way then shuffle only the other side."""
+    def written(self, name: str, build, bucket_by: str | None = None) -> DataFrame:
+        """Build a model once as a parquet table in the shared checkpoint
+        folder and read it back: later references scan the table (and a lost
+        executor recomputes from it, not from the raw inputs)."""
         if not self.materialize_models:
             return build()
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        table = _WRITTEN.get(key)
-        if table is None or table.sparkSession is not self.spark:
-            path = scratch_path(self.spark, name)
-            df = build()
-            table = self._write_bucketed(df, name, path, bucket_by) if bucket_by else None
-            if table is None:
-                sinks.write_parquet(df, path)
-                table = self.spark.read.parquet(path)
-            _WRITTEN[key] = table
-        return table
-
-    def _write_bucketed(self, df: DataFrame, name: str, path: str, key: str) -> DataFrame | None:
-        """External bucketed table at ``path``; None when the session catalog
-        cannot register tables (the caller then writes plain parquet)."""
-        n = default_partitions(self.spark)
-        table_name = f"nb_{uuid.uuid4().hex[:10]}_{name}"
-        try:
-            (df.repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key)
-             .option("path", path).format("parquet").saveAsTable(table_name))
-        except Exception:  # noqa: BLE001 - e.g. catalog/metastore not writable;
-            return None     # a real data error resurfaces in the plain write
-        return self.spark.table(table_name)
+        path = scratch_path(self.spark, name)
+        self._paths.append(path)
+        if bucket_by and self.buckets:
+            table = f"nb_{uuid.uuid4().hex[:10]}_{name}"
+            (build().repartition(self.buckets, bucket_by).write.mode("overwrite").bucketBy(self.buckets, bucket_by).sortBy(bucket_by)
+             .option("path", path).format("parquet").saveAsTable(table))
+            self._tables.append(table)
+            return self.spark.table(table)
+        sinks.write_parquet(build(), path)
+        return self.spark.read.parquet(path)
+
+    def close(self) -> None:
+        """Remove the tables this object wrote; its frames cannot be read afterwards."""
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        for path in self._paths:
+            remove_path(self.spark, path)
+        self._tables, self._paths = [], []
 
     def ref(self, name: str) -> DataFrame:
         """Resolve a model by name."""

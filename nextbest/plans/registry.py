@@ -12,10 +12,11 @@ from nextbest.session import apply_tuning
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
+# the same queries as functions of a model graph, for plan reports
+MODEL_QUERIES: dict[str, Callable[[Models], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# One model graph per application and input folder: its lazy DataFrames are
-# immutable plans, so queries share them instead of re-resolving the sources.
+# One model graph per application and input folder: queries share its written tables.
 _MODELS: dict[tuple[str, str], Models] = {}
 
 
@@ -27,6 +28,12 @@ def models_for(spark: SparkSession, sf_dir: str) -> Models:
     return m
 
 
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """Drop the shared model graph of a folder and its written tables; the next query builds anew."""
+    if m := _MODELS.pop((spark.sparkContext.applicationId, sf_dir.rstrip("/")), None):
+        m.close()
+
+
 def query(name: str, oracle: str | None = None):
     """Register ``fn(models) -> DataFrame`` as query ``name``."""
 
@@ -40,6 +47,7 @@ def query(name: str, oracle: str | None = None):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
+        MODEL_QUERIES[name] = fn
         if oracle is not None:
             ORACLES[name] = oracle
         return fn

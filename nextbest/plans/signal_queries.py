@@ -247,12 +247,12 @@ WHERE x.owned = 1"""
 
 @query("customer_index", with_prelude(select=_INDEX_SQL))
 def q_customer_index(m):
-    return S.dense_index(m.gold_user_item_matrix, "customer_id")
+    return m.customer_index
 
 
 @query("interactions_long", with_prelude(select=_INTERACTIONS_SQL))
 def q_interactions_long(m):
-    return S.interactions(m.gold_user_item_matrix, S.dense_index(m.gold_user_item_matrix, "customer_id"))
+    return S.interactions(m.gold_user_item_matrix, m.customer_index)
 
 
 @query("interaction_split", with_prelude(select=f"""
@@ -261,7 +261,7 @@ SELECT customer_id, product_name, user_id, item_id,
            < {C.TRAIN_PERCENT} AS is_train
 FROM ({_INTERACTIONS_SQL}) t"""))
 def q_interaction_split(m):
-    pairs = S.interactions(m.gold_user_item_matrix, S.dense_index(m.gold_user_item_matrix, "customer_id"))
+    pairs = S.interactions(m.gold_user_item_matrix, m.customer_index)
     return pairs.select("customer_id", "product_name", "user_id", "item_id", S.split_flag().alias("is_train"))
 
 
@@ -287,16 +287,9 @@ SELECT (SELECT CAST(COUNT(*) AS BIGINT) FROM train) AS training_rows,
 def q_als_run_metrics(m):
     """Training rows, recommendations and customers of the ALS run (every
     trained customer gets k of the 8 products)."""
-    pairs = S.interactions(m.gold_user_item_matrix, S.dense_index(m.gold_user_item_matrix, "customer_id"))
+    pairs = S.owned_pairs(m.gold_user_item_matrix)
     train = pairs.where(S.split_flag()).agg(F.count(F.lit(1)).alias("training_rows"))
     recs = m.als_recommendations
     return train.select("training_rows",
                         recs.select(F.count(F.lit(1))).scalar().alias("total_recommendations"),
                         recs.select(F.countDistinct("customer_id")).scalar().alias("unique_customers"))
-
-
-@query("als_top3_block")
-def q_als_top3_block(m):
-    """The same top-3 with ``pyspark.ml`` block ALS on dense integer ids
-    (the library the reference calls; rows-only check)."""
-    return S.block_als_recommendations(m.gold_user_item_matrix)

@@ -3,7 +3,7 @@
 The library never hard-codes parallelism: AQE coalesces shuffle partitions
 and splits skewed join partitions at runtime.  The checkpoint folder is read
 from ``spark.checkpoint.dir`` (the shared folder the cluster names); only when
-it is unset (local tests) a fresh scratch folder is created.
+it is unset under a local master (tests) a fresh scratch folder is created.
 """
 
 from __future__ import annotations
@@ -50,8 +50,9 @@ def apply_tuning(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: ``spark.checkpoint.dir`` if the cluster set it.
 
-    Only when it is unset (local tests) a fresh scratch folder is made and
-    registered, so lineage cuts and written tables always land in one place.
+    Where it is unset, a scratch folder is made for a local master only (tests);
+    on a cluster a machine-local folder would not be seen by other executors,
+    so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,6 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="nextbest-ckpt-")
     sc.setCheckpointDir(configured)
     return (sc.getCheckpointDir() or configured).rstrip("/")
@@ -69,8 +72,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def default_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-__all__ = ["build_session", "apply_tuning", "checkpoint_dir", "scratch_path", "default_partitions"]
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table that is no longer needed, on whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

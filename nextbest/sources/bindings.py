@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 SOURCE_TABLES = ("region", "nation", "customer", "orders", "lineitem", "part")
 
 BRONZE_CUSTOMERS = """
-SELECT 'C_' || lpad(CAST(c_custkey + 1 AS STRING), 5, '0') AS customer_id,
+SELECT 'C_' || lpad(CAST(c_custkey + 1 AS STRING), CAST(greatest(5, length(CAST(c_custkey + 1 AS STRING))) AS INT), '0') AS customer_id,
        c_name AS name,
        CAST(22 + c_custkey % 48 AS STRING) AS age,
        'c' || CAST(c_custkey AS STRING) || '@example.com' AS email,
@@ -34,7 +34,7 @@ FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_re
 
 BRONZE_TRANSACTIONS = """
 SELECT CASE WHEN l_orderkey % 103 = 0 THEN NULL ELSE 'T_' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) END AS transaction_id,
-       CASE WHEN l_orderkey % 101 = 0 OR o_custkey % 50 = 7 THEN NULL ELSE 'C_' || lpad(CAST(o_custkey + 1 AS STRING), 5, '0') END AS customer_id,
+       CASE WHEN l_orderkey % 101 = 0 OR o_custkey % 50 = 7 THEN NULL ELSE 'C_' || lpad(CAST(o_custkey + 1 AS STRING), CAST(greatest(5, length(CAST(o_custkey + 1 AS STRING))) AS INT), '0') END AS customer_id,
        CASE WHEN l_orderkey % 89 = 0 THEN '2024-13-45' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS date,
        CASE p_size % 8 WHEN 0 THEN 'Travel' WHEN 1 THEN 'Dining' WHEN 2 THEN 'Groceries' WHEN 3 THEN 'RENT'
             WHEN 4 THEN 'entertainment' WHEN 5 THEN 'Utilities' WHEN 6 THEN 'healthcare' ELSE 'Shopping' END AS category,
@@ -43,15 +43,16 @@ SELECT CASE WHEN l_orderkey % 103 = 0 THEN NULL ELSE 'T_' || CAST(l_orderkey AS
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
 """
 
+# every line item is a holding; a customer's parts fall into one to four of the eight products
 BRONZE_PRODUCTS_HELD = """
-SELECT 'C_' || lpad(CAST(o_custkey + 1 AS STRING), 5, '0') AS customer_id,
-       'P00' || CAST(p_partkey % 8 + 1 AS STRING) AS product_id,
-       CASE p_partkey % 8 WHEN 0 THEN 'Checking_Account' WHEN 1 THEN 'Savings_Account' WHEN 2 THEN 'Travel_Credit_Card'
+SELECT 'C_' || lpad(CAST(o_custkey + 1 AS STRING), CAST(greatest(5, length(CAST(o_custkey + 1 AS STRING))) AS INT), '0') AS customer_id,
+       'P00' || CAST((o_custkey * 3 + l_partkey % (1 + o_custkey % 4)) % 8 + 1 AS STRING) AS product_id,
+       CASE (o_custkey * 3 + l_partkey % (1 + o_custkey % 4)) % 8
+            WHEN 0 THEN 'Checking_Account' WHEN 1 THEN 'Savings_Account' WHEN 2 THEN 'Travel_Credit_Card'
             WHEN 3 THEN 'Cashback_Credit_Card' WHEN 4 THEN 'Personal_Loan' WHEN 5 THEN 'Home_Loan'
             WHEN 6 THEN 'Investment_Fund' ELSE 'Fixed_Deposit' END AS product_name,
        CAST(CAST(o_orderdate AS DATE) AS STRING) AS opened_date
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
-WHERE l_quantity >= 47
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 """
 
 PROFILE_FORMS = """
@@ -75,39 +76,10 @@ BINDINGS = {
 }
 
 
-# tables big enough that their scan should occupy every core, with a
-# well-spread key to distribute them by
-FACT_TABLES = {"lineitem": "l_orderkey"}
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-distribute a scan that yields fewer splits than the cluster has
-    task slots (e.g. a single-row-group file).  Hashing on a key is
-    deterministic under retries without the pre-sort a round-robin needs.
-    Large inputs already split into many tasks and are returned untouched --
-    no extra shuffle at scale."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots, key)
-    return df
-
-
-# Lazy scans are immutable plans: resolve each table (file listing, footer
-# schema) once per application and folder, not once per statement.
-_SCANS: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def source_frame(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Lazy parquet scan of one driver table (column pruning and filter
     pushdown happen when the binding selects from it)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), table)
-    df = _SCANS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-        if table in FACT_TABLES:
-            df = spread(df, FACT_TABLES[table])
-        _SCANS[key] = df
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,10 +24,21 @@ BRONZE_SCHEMAS = {
 BRONZE_TABLES = ("customers", "transactions", "products_held", "product_catalog")
 
 
-def read_bronze_csv(spark: SparkSession, directory: str, table: str) -> DataFrame:
-    """CSV scan with a header line and the declared bronze schema."""
-    return (spark.read.option("header", True).option("mode", "PERMISSIVE")
-            .schema(BRONZE_SCHEMAS[table]).csv(f"{directory.rstrip('/')}/{table}"))
+def read_bronze_csv(spark: SparkSession, directory: str, table: str, bad_rows: str = "FAILFAST") -> DataFrame:
+    """CSV scan with a header line and the declared bronze schema: a file
+    ``<table>.csv`` or a folder ``<table>`` of files.
+
+    Fields may be quoted, hold doubled quotes, separators and line breaks.
+    Rows that do not fit the schema are errors; ``bad_rows="PERMISSIVE"`` keeps
+    them, with the text of the row in ``_corrupt_record``."""
+    base = f"{directory.rstrip('/')}/{table}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}.csv")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    schema = BRONZE_SCHEMAS[table]
+    if bad_rows == "PERMISSIVE":
+        schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", _TEXT)])
+    return (spark.read.option("header", True).option("mode", bad_rows).option("multiLine", True)
+            .option("quote", '"').option("escape", '"').schema(schema).csv(f"{base}.csv" if store.exists(path) else base))
 
 
 def read_table(spark: SparkSession, location: str, fmt: str = "parquet") -> DataFrame:

@@ -14,8 +14,9 @@ from nextbest.session import scratch_path
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """CSV with a header line, no index column, replacing what was there."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header line, no index column, replacing what was there; quotes
+    inside a field are doubled, and fields with line breaks are quoted."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 

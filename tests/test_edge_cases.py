@@ -254,10 +254,10 @@ def test_documents_are_json(spark):
 
 # -- insights ---------------------------------------------------------------------
 def test_histogram_edges(spark):
-    df = spark.createDataFrame([(1,), (2,), (7,)], "x int")
+    df = insights.value_weights(spark.createDataFrame([(1,), (2,), (7,)], "x int"), "x")
     h = [r["count"] for r in insights.histogram(df, "x", 8).collect()]
     assert h == [1, 1, 0, 0, 0, 0, 0, 1]
-    same = spark.createDataFrame([(3,), (3,)], "x int")
+    same = insights.value_weights(spark.createDataFrame([(3,), (3,)], "x int"), "x")
     h2 = insights.histogram(same, "x", 8).collect()
     assert [r["count"] for r in h2] == [0, 0, 0, 0, 2, 0, 0, 0] and h2[0].bin_start == 2.5
 
@@ -325,3 +325,38 @@ def test_owner_of_all_products_gets_no_hybrid_recs(spark):
     status = {r.customer_id: r.status for r in A.lookup_customers(req, feats, spark.createDataFrame(
         [(r.customer_id,) for r in recs], "customer_id string")).collect()}
     assert status == {"C_8": "no_recommendations", "C_1": "ok"}
+
+
+def test_hybrid_on_a_given_als_table(spark):
+    """The whole blend on a given collaborative table, against rows computed by hand."""
+    als = spark.createDataFrame([("C_1", "home_loan", 0.9), ("C_1", "savings_account", 0.5), ("C_2", "home_loan", 0.1)],
+                                "customer_id string, product_name string, als_score double")
+    cb = spark.createDataFrame([("C_1", "savings_account", 0.2), ("C_2", "fixed_deposit", 0.6)],
+                               "customer_id string, product_name string, cb_score double")
+    feats = _features(spark, [dict(customer_id="C_1", segment="family"), dict(customer_id="C_2", segment="mid_career")])
+    aff = spark.createDataFrame([("family", "savings_account", 0.5), ("mid_career", "fixed_deposit", 0.25)],
+                                "segment string, product_name string, conversion_rate double")
+    got = [(r.customer_id, r["rank"], r.product_name, round(r.als_score_norm, 6), round(r.cb_score_norm, 6),
+            round(r.affinity_score_norm, 6), round(r.hybrid_score, 6))
+           for r in signals.hybrid_recommendations(als, cb, feats, aff).orderBy("customer_id", "rank").collect()]
+    assert got == [
+        ("C_1", 1, "home_loan", 1.0, 0.0, 0.0, 0.4),
+        ("C_1", 2, "savings_account", 0.5, 0.0, 1.0, 0.4),
+        ("C_2", 1, "fixed_deposit", 0.0, 1.0, 0.5, 0.5),
+        ("C_2", 2, "home_loan", 0.0, 0.0, 0.0, 0.0)]
+
+
+def test_box_stats_interpolate_and_find_outliers(spark):
+    rows = [("a", v) for v in (1, 2, 3, 4, 100)] + [("b", 5), ("b", None), (None, 3)]
+    got = {r.g: r for r in insights.box_stats(spark.createDataFrame(rows, "g string, v int"), "v", "g").collect()}
+    assert (got["a"].q1, got["a"].median, got["a"].q3) == (2.0, 3.0, 4.0)
+    assert (got["a"].whisker_low, got["a"].whisker_high, got["a"].outliers) == (1.0, 4.0, 1)
+    assert (got["b"].q1, got["b"].q3, got["b"].outliers) == (5.0, 5.0, 0) and set(got) == {"a", "b"}
+
+
+def test_exact_money(spark):
+    """Sums, mean and shares do not depend on how rows are dealt out."""
+    rows = [(f"T{i}", "C_1", "2024-01-01", "Travel" if i % 3 else "Dining", "0.1", "m") for i in range(300)]
+    tx = silver.silver_transactions(txns(spark, rows))
+    one, many = (gold.transaction_stats(tx.repartition(n)).collect()[0] for n in (1, 17))
+    assert one == many and one.total_spend == 30.0 and one.dining_spend == 10.0 and float(one.avg_transaction) == 0.1

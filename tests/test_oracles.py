@@ -9,6 +9,7 @@ import pytest
 
 from conftest import SF_SMALL
 
+from nextbest.plans import registry
 from __spark_entry__ import oracle_sql, queries
 
 
@@ -53,6 +54,6 @@ def test_every_oracle_has_a_query():
 
 
 def test_rows_only_queries_are_the_non_sql_ones():
-    rows_only = set(queries()) - set(oracle_sql())
-    assert rows_only == {"als_top3", "als_top3_block", "hybrid_recs_als", "existing_customer_documents",
-                         "new_customer_documents"}
+    registry.load_all()
+    rows_only = set(registry.QUERIES) - set(registry.ORACLES)
+    assert rows_only == {"als_top3", "hybrid_recs_als"}
