@@ -2,15 +2,18 @@
 
 ``write_flat`` writes the ids of documents one after the other as
 little-endian unsigned 16-bit numbers, each document followed by a separator
-id; nothing else is in the files.  ``scan`` finds the documents again: it
-reads the files in blocks of fixed size, searches each block for the
-separator with one vectorised comparison, and stitches documents that cross
-blocks with a prefix scan over the blocks' summaries (separators so far, last
-separator so far).  The scan has two levels, so that no task takes the
-summaries of a whole large file.
+id; nothing else is in the files.  Each task writes the documents that it reads
+to a file of its own, so nothing is shuffled; what comes back are the names of
+the documents in the order of each file.  A file whose task failed is not named there.
 
-Blocks are read as byte ranges by ``pyarrow.fs``, which knows local, s3, gs and
-hdfs paths; the file sizes come from Spark's listing.
+``scan`` finds the documents again: it reads the files in blocks of fixed size,
+searches each block for the separator with one vectorised comparison, and
+stitches documents that cross blocks with a prefix scan over the blocks'
+summaries (separators so far, last separator so far).  The scan has two levels,
+so that no task takes the summaries of a whole large file.
+
+Files are written, and read as byte ranges, by ``pyarrow.fs``, which knows local,
+s3, gs and hdfs paths; the file sizes come from Spark's listing.
 
 Defined results: an empty document counts 0 tokens; ids after the last
 separator form a document with ``terminated`` false; an empty file has none.
@@ -19,6 +22,8 @@ Null texts count as empty; only the id and the text are read.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,39 +32,55 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nextbest.llm.bpe import encoder
-from nextbest.llm.common import id_and_text, number_within, slices, texts_of, written
+from nextbest.llm.common import id_and_text, slices, texts_of, written
 
 BLOCK_TOKENS = 1 << 20
 _SLICE = 2 << 20
 _GROUP = 1024
 
 
-def _flat(path: str, separator: int):
+def uri_of(path: str) -> str:
+    """A path with a scheme; Hadoop writes local ones with one slash."""
+    return re.sub("^file:/+", "file:///", path) if ":" in path else f"file://{path}"
+
+
+def _flat(path: str, separator: int, target: str):
+    end = np.array([separator], dtype="<u2").tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
         enc = encoder(path, specials_as_text=True)
+        # each attempt has a file of its own
+        uri = f"{target}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.bin"
+        store, place = fs.FileSystem.from_uri(uri)
+        out, ordinal = None, 0
         for whole in batches:
             for batch in slices(whole, "text", _SLICE):
-                ids = [np.frombuffer(x, dtype="<u4") for x in enc.encode_all(texts_of(batch.column("text")))]
-                if any((x >= 1 << 16).any() or (x == separator).any() for x in ids):
-                    raise ValueError("ids must fit 16 bits and differ from the separator")
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), batch.column("tie"), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())],
-                                                 names=["doc_id", "file", "tie", "ids"])
+                out = out or store.open_output_stream(place)
+                for ids in enc.encode_all(texts_of(batch.column("text"))):
+                    ids = np.frombuffer(ids, dtype="<u4")
+                    if (ids >= 1 << 16).any() or (ids == separator).any():
+                        raise ValueError("ids must fit 16 bits and differ from the separator")
+                    out.write(ids.astype("<u2").tobytes() + end)
+                numbers = np.arange(ordinal, ordinal + batch.num_rows)
+                ordinal += batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([uri] * batch.num_rows, pa.string()), pa.array(numbers, pa.int64())],
+                                                 names=["doc_id", "uri", "ordinal"])
+        if out:
+            out.close()
     return run
 
 
-def dealt(docs: DataFrame, files: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with the file each one goes to, and what orders rows of one id in it."""
-    base = id_and_text(docs, id_col, text_col)
-    return base.withColumn("tie", F.xxhash64("text")).withColumn("file", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(files)).cast("int"))
-
+def write_flat(docs: DataFrame, target: str, path: str, separator: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write flat files below ``target``, a folder that all executors share; (doc_id, uri, ordinal) of what they hold."""
+    from pyarrow import fs
 
-def write_flat(docs: DataFrame, target: str, path: str, separator: int, files: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write folders ``file=N`` with one flat file each, documents in the order of (id, hash of the text)."""
-    ids = dealt(docs, files, id_col, text_col).mapInArrow(_flat(path, separator), "doc_id long, file int, tie long, ids binary")
-    ordered = ids.repartition(files, "file").sortWithinPartitions("file", "doc_id", "tie")
-    # Spark's text writer puts the bytes of each row and then the line separator, here the separator id
-    end = np.array([separator], dtype="<u2").tobytes().decode("latin-1")
-    ordered.select("file", F.col("ids").cast("string").alias("value")).write.partitionBy("file").option("encoding", "ISO-8859-1").option("lineSep", end).text(target)
+    target = uri_of(target)
+    store, place = fs.FileSystem.from_uri(target)
+    store.create_dir(place, recursive=True)
+    return written(id_and_text(docs, id_col, text_col).mapInArrow(_flat(path, separator, target), "doc_id long, uri string, ordinal long"), "flat-names")
 
 
 def _blocks(separator: int, block_tokens: int):
@@ -108,9 +129,6 @@ def scan(spark: SparkSession, source: str, separator: int, block_tokens: int = B
     return found.unionByName(tail.select("uri", "ordinal", "start", (F.col("tokens") - F.col("start")).alias("n_tokens"), F.lit(False).alias("terminated")))
 
 
-def named(found: DataFrame, docs: DataFrame, files: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Give documents found in the files of ``write_flat`` their ids again, by their place in the file."""
-    rows = dealt(docs, files, id_col, text_col).select("doc_id", "file", "tie")
-    places = number_within(rows, ["file"], ["doc_id", "tie"], F.lit(0), "ordinal").select("file", "ordinal", "doc_id")
-    placed = found.withColumn("file", F.regexp_extract("uri", r"/file=(\d+)/", 1).cast("int"))
-    return placed.join(places, ["file", "ordinal"])
+def named(found: DataFrame, names: DataFrame) -> DataFrame:
+    """Documents found by ``scan`` with the ids that ``write_flat`` gave them."""
+    return found.join(names, ["uri", "ordinal"])

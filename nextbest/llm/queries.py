@@ -11,7 +11,6 @@ from nextbest.session import apply_tuning, scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SEPARATOR = 49407  # the tokenizer's end-of-document id; its string in a text is ordinary text here
-FLAT_FILE_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, file, ordinal, start) of every document, found in flat token files written from ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = 16 + int(size) // FLAT_FILE_BYTES
     target = scratch_path(spark, "flat-tokens")
-    flat.write_flat(docs, target, TOKENIZER, SEPARATOR, files)
-    found = flat.named(flat.scan(spark, target, SEPARATOR), docs, files)
-    return found.select("doc_id", "n_tokens", "file", "ordinal", "start")
+    names = flat.write_flat(table(spark, sf_dir, "documents"), target, TOKENIZER, SEPARATOR)
+    found = flat.named(flat.scan(spark, target, SEPARATOR), names)
+    return found.select("doc_id", "n_tokens", F.regexp_extract("uri", "part-(\\d+)-", 1).cast("int").alias("file"), "ordinal", "start")
 
 
 def op2_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

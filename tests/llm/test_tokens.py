@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from helpers import documents, empty, texts, words
+from helpers import documents, empty, odd_documents, texts, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -170,11 +170,11 @@ def test_plan_is_close_to_the_bound():
 # -- flat files --------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("block", [1 << 20, 7, 1])
 def test_flat_files(spark, tmp_path, block):
-    docs = documents(spark, [r for r in __import__("helpers").odd_documents() if r[0] not in (7, 8, 9)]) if block == 1 else documents(spark)
-    target = f"file://{tmp_path}/flat"
-    flat.write_flat(docs, target, PATH, 49407, 3)
+    docs = documents(spark, [r for r in odd_documents() if r[0] not in (7, 8, 9)]) if block == 1 else documents(spark)
+    target = f"{tmp_path}/flat"
+    names = flat.write_flat(docs.repartition(3), target, PATH, 49407)
     found = flat.scan(spark, target, 49407, block)
-    got = sorted((r.doc_id or -1, r.n_tokens) for r in flat.named(found, docs, 3).collect())
+    got = sorted((r.doc_id or -1, r.n_tokens) for r in flat.named(found, names).collect())
     assert got == sorted((r.doc_id or -1, len(ids_of(r.text))) for r in docs.collect())
     assert found.where("NOT terminated").count() == 0
 
@@ -189,6 +189,11 @@ def test_unterminated_and_empty_files(spark, tmp_path):
 
 
 def test_empty_table_of_documents(spark, tmp_path):
-    target = f"file://{tmp_path}/flat"
-    flat.write_flat(empty(spark), target, PATH, 49407, 2)
-    assert flat.scan(spark, target, 49407).count() == 0
+    assert flat.write_flat(empty(spark), f"{tmp_path}/flat", PATH, 49407).count() == 0
+    assert flat.scan(spark, f"{tmp_path}/flat", 49407).count() == 0
+
+
+def test_files_of_failed_tasks_are_not_named(spark, tmp_path):
+    names = flat.write_flat(texts(spark, [(1, "some words"), (2, "and more")]), f"{tmp_path}/flat", PATH, 49407)
+    np.array([5, 49407], dtype="<u2").tofile(tmp_path / "flat" / "part-00000-left.bin")
+    assert {r.doc_id for r in flat.named(flat.scan(spark, f"{tmp_path}/flat", 49407), names).collect()} == {1, 2}
