@@ -14,7 +14,7 @@ scoring needs one number for each bucket; whole texts are scored where they lie,
 with prefix sums instead of a loop over words.
 
 Defined results: a null or empty text, or one without words, gets the score of
-the bias alone; without labels of both classes every score is 0.  Rows with
+the bias alone; without labels of both classes every score is (all but) 0.  Rows with
 null or repeated ids come back one for one; only the id and the text are read.
 """
 
@@ -35,7 +35,7 @@ BUCKETS_LOG2 = 17
 BUCKETS = 1 << BUCKETS_LOG2
 GRAMS = (3, 4, 5)
 DIMENSIONS = 8
-MOST_LABELLED = 12_000
+MOST_LABELLED = 8_000
 LEAST_SHARE = 0.002
 CLASS_WEIGHT = 1.5
 STEPS = 60
@@ -214,22 +214,35 @@ def unlike(texts: list[bytes], coordinates: int = 4) -> list[int]:
 
 
 def _bags(texts: list[bytes]):
+    """Texts x common words and common words x subwords, as (row, column, weight) lists; the number of common words.
+
+    The first pass counts words, the second one takes the subwords of the common ones alone."""
     rows, keys, weights = [], [], []
-    sub_word, sub_bucket, sub_weight = [], [], []
-    known = np.zeros(0, dtype=np.uint64)
     for at in range(0, len(texts), 200):
         words = words_of(texts[at : at + 200])
         key = words.keys()
         owner = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first)) + at
         _, pair, count = np.unique(mix(key + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
         size = np.bincount(owner - at, minlength=200)
-        rows.append(owner[pair])
+        rows.append(owner[pair].astype(np.int32))
         keys.append(key[pair])
-        weights.append(count / size[rows[-1] - at])
-        fresh, where = np.unique(key, return_index=True)
-        unseen = ~np.isin(fresh, known)
-        fresh, where = fresh[unseen], where[unseen]
-        known = np.concatenate([known, fresh])
+        weights.append((count / size[rows[-1] - at]).astype(np.float32))
+    keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    known, count = np.unique(keys, return_counts=True)
+    known = known[count >= max(2, LEAST_SHARE * len(texts))]
+    column = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0)).astype(np.int32)
+    use = known[column] == keys if len(known) else np.zeros(len(keys), bool)
+    bags = tuple(x[use] for x in (np.concatenate(rows), column, np.concatenate(weights))) if len(keys) else (column, column, keys.astype(np.float32))
+
+    seen = np.zeros(len(known), dtype=bool)
+    subs: list[list[np.ndarray]] = [[], [], []]
+    for at in range(0, len(texts), 200):
+        words = words_of(texts[at : at + 200])
+        fresh, where = np.unique(words.keys(), return_index=True)
+        place = np.minimum(np.searchsorted(known, fresh), max(len(known) - 1, 0))
+        new = (known[place] == fresh) & ~seen[place] if len(known) else np.zeros(len(fresh), bool)
+        place, where = place[new], where[new]
+        seen[place] = True
         low, high = words.start[where] - 1, words.stop[where]
         buckets, owners = [words.whole()[where]], [np.arange(len(where))]
         for n in GRAMS:
@@ -237,20 +250,11 @@ def _bags(texts: list[bytes]):
             owners.append(np.repeat(np.arange(len(where)), count))
             begin = np.repeat(low, count)
             buckets.append(grams[begin + np.arange(len(begin)) - np.repeat(np.cumsum(count) - count, count)])
-        owners, buckets = np.concatenate(owners), np.concatenate(buckets)
-        sub_word.append(owners + len(known) - len(fresh))
-        sub_bucket.append(buckets)
-        sub_weight.append(1.0 / np.bincount(owners, minlength=len(where))[owners])
-    order = np.argsort(known)
-    column = order[np.searchsorted(known[order], np.concatenate(keys))]
-    common = np.bincount(column, minlength=len(known)) >= max(2, LEAST_SHARE * len(texts))
-    place = np.cumsum(common) - 1
-    use, sub_word = common[column], np.concatenate(sub_word)
-    of = common[sub_word]
-    small = [(np.concatenate(rows)[use], np.int32), (place[column[use]], np.int32), (np.concatenate(weights)[use], np.float32),
-             (place[sub_word[of]], np.int32), (np.concatenate(sub_bucket)[of], np.int32), (np.concatenate(sub_weight)[of], np.float32)]
-    small = [x.astype(kind) for x, kind in small]
-    return tuple(small[:3]), (*small[3:], int(common.sum()))
+        owners = np.concatenate(owners)
+        for out, x in zip(subs, (place[owners].astype(np.int32), np.concatenate(buckets).astype(np.int32),
+                                 (1.0 / np.bincount(owners, minlength=len(where))[owners]).astype(np.float32)), strict=True):
+            out.append(x)
+    return bags, (*[np.concatenate(x) if x else np.zeros(0, np.int32) for x in subs], len(known))
 
 
 def held_out(id_col: str = "doc_id"):

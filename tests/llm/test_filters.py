@@ -148,7 +148,7 @@ def test_toxicity_of_tables(spark):
     assert len(odd) == documents(spark).count() and all(0 <= r.score <= 1 for r in odd)
     assert toxicity.scored(empty(spark), model).count() == 0
     none = toxicity.fit(docs, labels.where("toxic = 0"))
-    assert {r.score for r in toxicity.scored(docs, none).collect()} == {0.0}
+    assert max(r.score for r in toxicity.scored(docs, none).collect()) < 1e-100
     assert toxicity.clean(documents(spark), none).count() == documents(spark).count()
 
 
