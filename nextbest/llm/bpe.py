@@ -84,6 +84,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         if specials_as_text:
             self.tokenizer.encode_special_tokens = True
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words, self.runs = Store(entries), Store(entries // 2)
         self.ends = np.array([x.endswith(b"</w>") for x in self.decode_table()])
         for parts in ((b"a", b"b", b"\xc3\xa9"), (b"Word", b"(other),", b"!!")):
@@ -106,7 +107,7 @@ class WordEncoder:
         parted, runs, odd = [], set(), []
         for word in words:
             text = word.decode("utf-8", "replace")
-            if m := _PLAIN.fullmatch(text):
+            if (m := _PLAIN.fullmatch(text)) and not any(x in text for x in self.specials):
                 parts = (m[1], m[2].lower(), m[3]) if m[1] else (m[2].lower(), m[3]) if m[3] else (m[2].lower(),)
                 parted.append((word, parts))
                 runs.update(parts)
