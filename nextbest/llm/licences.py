@@ -1,10 +1,15 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Each line of a text (long lines in windows that overlap by half) is a bag of
-distinct words, weighted by the inverse document frequency over all documents;
-words outside the templates weigh as unseen.  A line whose cosine with a
-template reaches ``least`` is a licence header of its document.  A document
-that mostly consists of such lines is a licence file and declares its licence for
+A text is a sequence of words, line ends included, and a bag holds distinct words
+weighted by the inverse document frequency over all documents, of words outside
+the templates too.  A window starts or ends at a word of a template and
+has as many words as the template at least, unless it is made of whole lines, and
+``WINDOW`` words or twice the template's at most: what stands around a header is not in its window.  A window
+whose cosine with its template reaches ``least`` is a licence header of its
+document.  First each document's windows that can reach ``least`` are found, with
+the least weight that a word can have for the words outside the templates; the
+frequencies of these words are then joined and the windows scored.  A document
+that mostly consists of such windows is a licence file and declares its licence for
 its directory.  A document without a header inherits from the nearest directory
 above it that has a declaration: distinct directories are joined with their
 ancestors' declarations by path, then documents with their directory.
@@ -19,7 +24,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +47,7 @@ LEAST = 0.75
 FILE_SHARE = 0.3
 WINDOW = 32
 _SLICE = 2 << 20
+_TERMS = 200_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() or c == 10 else 32 for c in range(256))
 
 
@@ -48,64 +55,193 @@ def _terms(text: str) -> frozenset[bytes]:
     return frozenset(text.encode().translate(_FOLD).split())
 
 
-def _frequency(vocabulary: frozenset[bytes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in batches:
-            for text in texts_of(batch.column("text")):
-                found.update(vocabulary.intersection(text.translate(_FOLD).split()))
-                found[b""] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k in found]), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
-    return run
+def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n): documents of a task with each word; the empty word counts all."""
+    found: Counter = Counter()
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], names=["term", "n"])
+
+    for batch in batches:
+        for text in texts_of(batch.column("text")):
+            found.update({b"", *text.translate(_FOLD).split()})
+            if len(found) > _TERMS:
+                yield rows()
+                found.clear()
+    yield rows()
 
 
 class Scorer:
     """Cosines of bags of words to the templates, from document frequencies."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]], frequency: dict[bytes, int], documents: int, least: float):
-        self.bags = [(name, _terms(t)) for name in sorted(templates) for t in templates[name]]
-        self.square = {w: (math.log((1 + documents) / (1 + frequency.get(w, 0))) + 1) ** 2 for _, bag in self.bags for w in bag}
-        self.unseen = (math.log(1 + documents) + 1) ** 2
-        self.size = [sum(self.square[w] for w in bag) for _, bag in self.bags]
+        self.documents = documents
+        texts = [(name, t) for name in sorted(templates) for t in templates[name]]
+        self.bags = [(name, _terms(t)) for name, t in texts]
+        self.square = {w: self.weight(frequency.get(w, 0)) for _, bag in self.bags for w in bag}
+        self.unseen = self.weight(0)
+        self.size = [sum(self.square[w] for w in sorted(bag)) for _, bag in self.bags]
         self.vocabulary = frozenset(self.square)
         self.least = least
+        self.length = [len(t.encode().translate(_FOLD).split()) for _, t in texts]
+        self.anchors = [self._anchors(bag, size) for (_, bag), size in zip(self.bags, self.size, strict=True)]
+
+    def weight(self, documents: int) -> float:
+        """Squared weight of a word that so many documents have."""
+        return (math.log((1 + self.documents) / (1 + documents)) + 1) ** 2
+
+    def _anchors(self, bag: frozenset[bytes], size: float) -> frozenset[bytes]:
+        """The rarest words, of which a window that reaches the threshold has one: all others together weigh too little."""
+        rare, rest = [], size
+        for w in sorted(bag, key=lambda w: (-self.square[w], w)):
+            if rest < 0.999 * self.least**2 * size:
+                break
+            rare.append(w)
+            rest -= self.square[w]
+        return frozenset(rare)
 
-    def best(self, words: list[bytes]) -> tuple[float, str] | None:
+    def best(self, words: Iterable[bytes], others: Mapping[bytes, float] = MappingProxyType({})) -> tuple[float, str] | None:
+        """The best cosine of a bag and its template; ``others`` are squared weights of words outside the templates."""
         distinct = set(words)
         shared = self.vocabulary & distinct
         own = sum(map(self.square.__getitem__, shared))
-        norm = own + (len(distinct) - len(shared)) * self.unseen
+        norm = own + sum(others.get(w, self.unseen) for w in distinct - shared)
         if own < self.least**2 * norm or not shared:  # no template can reach the threshold
             return None
         cosines = [(sum(self.square[w] for w in shared & bag) / math.sqrt(norm * size), name) for (name, bag), size in zip(self.bags, self.size, strict=True)]
         top = max(c for c, _ in cosines)
         return (top, min(n for c, n in cosines if c == top)) if top >= self.least else None
 
-    def headers(self, text: bytes) -> tuple[float, str | None, int, int]:
-        """(best cosine, its template, words in licence lines, all words) of a text."""
-        top, name, inside, total = 0.0, None, 0, 0
-        for line in text.translate(_FOLD).split(b"\n"):
-            words = line.split()
-            total += len(words)
-            for at in range(0, max(len(words) - WINDOW // 2, 1), WINDOW // 2):
-                if hit := self.best(words[at : at + WINDOW]):
-                    inside += min(len(words) - at, WINDOW)
-                    if hit[0] > top or (hit[0] == top and hit[1] < name):
-                        top, name = hit
-        return top, name, min(inside, total), total
+    def windows(self, tokens: list[bytes], breaks: set[int], others: Mapping[bytes, float] | None) -> Iterator[tuple[float, str, int, int, int]]:
+        """(cosine, template, start, end, last end) of the best window from each start that reaches the threshold, and the end
+        of the longest one; without ``others``, words outside the templates have the least weight possible."""
+        distinct = self.vocabulary.intersection(tokens)
+        for (name, bag), size, length, anchors in zip(self.bags, self.size, self.length, self.anchors, strict=True):
+            if sum(self.square[w] for w in bag & distinct) < 0.999 * self.least**2 * size:
+                continue
+            reach = max(WINDOW, 2 * length)
+            after = -1  # windows from here and before have been scored
+            for anchor in [i for i, w in enumerate(tokens) if w in anchors]:
+                for start in range(max(after + 1, anchor - reach + 1), anchor + 1):
+                    lines = start in breaks
+                    if not lines and tokens[start] not in bag and (start + length > len(tokens) or tokens[start + length - 1] not in bag):
+                        continue
+                    seen: set[bytes] = set()
+                    own = norm = top = 0.0
+                    end = last = start
+                    for i in range(start, min(start + reach, len(tokens))):
+                        w = tokens[i]
+                        ends = i + 1 - start == length or (lines and i + 1 - start < length and i + 1 in breaks)
+                        if w not in seen:
+                            seen.add(w)
+                            square = self.square.get(w)
+                            if square is None:
+                                square = 1.0 if others is None else others.get(w, self.unseen)
+                            norm += square
+                            if w in bag:
+                                own += square
+                                ends = ends or i + 1 - start > length
+                        if ends:
+                            cosine = round(own / math.sqrt(norm * size), 12)
+                            if cosine >= self.least:
+                                last = i + 1
+                                if cosine > top:
+                                    top, end = cosine, i + 1
+                    if last > start:
+                        yield top, name, start, end, last
+                after = anchor
 
+    def regions(self, text: bytes) -> list[bytes]:
+        """The parts of a text, line ends included, in which all its windows lie that can reach the threshold."""
+        tokens, breaks = _lines(b"\n" + text + b"\n")
+        spans = _merged((start, last) for _, _, start, _, last in self.windows(tokens, breaks, None))
+        return [b"".join((b"\n" if i in breaks else b" ") + tokens[i] for i in range(a, b)) + (b"\n" if b in breaks else b"") for a, b in spans]
 
-def _score(scorer):
+    def headers(self, region: bytes, others: Mapping[bytes, float]) -> tuple[float, str | None, int]:
+        """(best cosine, its template, words in windows that reach the threshold)."""
+        found = list(self.windows(*_lines(region), others))
+        top = max((x[0] for x in found), default=0.0)
+        return top, min((x[1] for x in found if x[0] == top), default=None), sum(b - a for a, b in _merged((x[2], x[3]) for x in found))
+
+
+def _lines(text: bytes) -> tuple[list[bytes], set[int]]:
+    """The words of a folded text, and the places between words at which a line ends."""
+    tokens: list[bytes] = []
+    breaks = set()
+    for k, line in enumerate(text.split(b"\n")):
+        if k:
+            breaks.add(len(tokens))
+        tokens += line.split()
+    return tokens, breaks
+
+
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+_FOUND = "doc_id long, dir string, total long, regions array<string>, others array<string>"
+_ROWS = "doc_id long, dir string, header string, cosine double, share double"
+
+
+def _find(scorer):
+    """Of each document: the parts that its windows lie in, and the words outside the templates in them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", _SLICE):
-                rows = [scorer.value.headers(t) for t in texts_of(batch.column("text"))]
+                total, regions, others = [], [], []
+                for text in texts_of(batch.column("text")):
+                    folded = text.translate(_FOLD)
+                    parts = scorer.value.regions(folded)
+                    total.append(len(folded.split()))
+                    regions.append([p.decode() for p in parts])
+                    others.append(sorted(w.decode() for w in {w for p in parts for w in p.split()} - scorer.value.vocabulary))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("dir"), pa.array([r[1] for r in rows], pa.string()), pa.array([r[0] for r in rows], pa.float64()),
-                     pa.array([r[2] / r[3] if r[3] else 0.0 for r in rows], pa.float64())], names=["doc_id", "dir", "header", "cosine", "share"])
+                    [batch.column("doc_id"), batch.column("dir"), pa.array(total, pa.int64()), pa.array(regions, pa.list_(pa.string())), pa.array(others, pa.list_(pa.string()))],
+                    names=["doc_id", "dir", "total", "regions", "others"])
     return run
 
 
+def _score(scorer):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for regions, total, known in zip(*(batch.column(c).to_pylist() for c in ("regions", "total", "known")), strict=True):
+                others = {x["word"].encode(): scorer.value.weight(x["n"]) for x in known or ()}
+                parts = [scorer.value.headers(r.encode(), others) for r in regions]
+                top = max(p[0] for p in parts)
+                rows.append((top, min((p[1] for p in parts if p[0] == top and p[1]), default=None), sum(p[2] for p in parts) / total))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("dir"), pa.array([r[1] for r in rows], pa.string()), pa.array([r[0] for r in rows], pa.float64()),
+                 pa.array([r[2] for r in rows], pa.float64())], names=["doc_id", "dir", "header", "cosine", "share"])
+    return run
+
+
+def _frequencies(base: DataFrame, words: Iterable[bytes]) -> tuple[DataFrame, dict[bytes, int], int]:
+    """(term, n) of all words by their hash, written; those of ``words``; the number of documents."""
+    spark = base.sparkSession
+    table = written(base.select("text").mapInArrow(_frequency, "term string, n long").select(F.xxhash64("term").alias("term"), "n").groupBy("term").agg(
+        F.sum("n").alias("n")), "licence-frequencies")
+    asked = spark.createDataFrame([(w.decode(),) for w in sorted({b"", *words})], "word string").withColumn("term", F.xxhash64("word"))
+    counts = {r["word"].encode(): r["n"] for r in table.join(F.broadcast(asked), "term").select("word", "n").collect()}  # a row for each template word
+    return table, counts, counts.pop(b"", 0)
+
+
+def _scored(found: DataFrame, frequencies: DataFrame, scorer) -> DataFrame:
+    """(doc_id, dir, header, cosine, share) of all documents; those with windows are joined with the frequencies of their other words."""
+    some = F.size("regions") > 0
+    asked = found.where(some).select("row", F.explode("others").alias("word")).withColumn("term", F.xxhash64("word"))
+    known = asked.join(frequencies, "term").groupBy("row").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    scored = found.where(some).join(known, "row", "left").select("doc_id", "dir", "total", "regions", "known").mapInArrow(_score(scorer), _ROWS)
+    none = found.where(~some).select("doc_id", "dir", F.lit(None).cast("string").alias("header"), F.lit(0.0).alias("cosine"), F.lit(0.0).alias("share"))
+    return scored.unionByName(none)
+
+
 def licences(docs: DataFrame, directory: Column, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None,
              least: float = LEAST, file_share: float = FILE_SHARE) -> DataFrame:
     """(doc_id, dir, header, cosine, declares, licence, declared_in): own header, whether the document is a licence file,
@@ -114,11 +250,10 @@ def licences(docs: DataFrame, directory: Column, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(directory, F.lit("")).alias("dir"))
     vocabulary = frozenset().union(*(_terms(t) for ts in templates.values() for t in ts))
-    counts = {r["term"].encode(): r["n"] for r in base.select("text").mapInArrow(_frequency(vocabulary), "term string, n long").groupBy("term").agg(
-        F.sum("n").alias("n")).collect()}  # a row for each template word
-    documents = counts.pop(b"", 0)
+    frequencies, counts, documents = _frequencies(base, vocabulary)
     scorer = spark.sparkContext.broadcast(Scorer(templates, counts, documents, least))
-    rows = written(base.mapInArrow(_score(scorer), "doc_id long, dir string, header string, cosine double, share double"), "licence-headers")
+    found = written(base.mapInArrow(_find(scorer), _FOUND).withColumn("row", F.monotonically_increasing_id()), "licence-windows")
+    rows = written(_scored(found, frequencies, scorer), "licence-headers")
 
     files = rows.where((F.col("share") >= file_share) & F.col("header").isNotNull())
     declared = files.groupBy("dir").agg(F.min(F.struct(-F.col("cosine"), F.col("header"))).alias("x")).select(

@@ -241,5 +241,40 @@ def test_cosines_against_plain_vectors():
         assert (got[0] if got else 0.0) == pytest.approx(best, abs=1e-12)
 
 
+def test_words_around_a_header_do_not_hide_it(spark):
+    lines = {"Project released under the MIT License.": ("MIT", 1.0), "Copyright 2020 Foo Bar. Released under the MIT License.": ("MIT", 1.0),
+             "This file is licensed under the Apache License, Version 2.0.": ("Apache-2.0", 1.0), "# Released under\n# the MIT License": ("MIT", 1.0),
+             f"{' '.join(words(50, 3))} Licensed under CC BY-NC 4.0. {' '.join(words(50, 4))}": ("CC-BY-NC-4.0", 1.0),
+             "Released under this license.": (None, 0.0)}
+    for copies in (1, 20):  # equal proportions
+        rows = [(t, "p") for t in [*lines, *[" ".join(words(30, 10 + k)) for k in range(40)]] for _ in range(copies)]
+        got = {r.text: (r.header, round(r.cosine, 9)) for r in _with_text(spark, rows)}
+        assert {t: got[t] for t in lines} == lines
+
+
+def test_a_part_of_a_template_is_diluted_by_its_neighbours(spark):
+    """Where nearly all documents say "the license", "MIT" alone in a sentence is no header; as a line of its own it is scored alone."""
+    rows = [(f"the license {' '.join(words(20, k))}", "p") for k in range(40)] + [(f"{' '.join(words(9, 90))} at MIT {' '.join(words(9, 91))}", "p"), ("one two\nMIT License\nthree four", "p")]
+    got = {r.text: r.header for r in _with_text(spark, rows)}
+    assert got[rows[-2][0]] is None and got[rows[-1][0]] == "MIT"
+
+
+def _with_text(spark, rows):
+    docs = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(rows)], "doc_id long, text string, path string")
+    return licences.licences(docs, F.col("path")).join(docs.select("doc_id", "text"), "doc_id").collect()
+
+
+def test_other_words_weigh_by_their_frequency(spark):
+    """A word inside a header lowers the cosine by its own document frequency."""
+    lines = ["Released under the zebra MIT License.", "Released under the of MIT License."]
+    rows = [(t, "p") for t in [*lines, *["of and"] * 38]]
+    got = {r.text: r.cosine for r in _with_text(spark, rows)}
+    n = Counter(w for t, _ in rows for w in {*re.findall(r"\w+", t.lower())})
+    square = {w: (np.log(41 / (1 + n[w])) + 1) ** 2 for w in n}
+    own = sum(square[w] for w in "released under the mit license".split())
+    for t, w in zip(lines, ("zebra", "of"), strict=True):
+        assert got[t] == pytest.approx((own / (own + square[w])) ** 0.5, abs=1e-9)
+
+
 def test_all_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
