@@ -9,8 +9,10 @@ whose cosine with its template reaches ``least`` is a licence header of its
 document.  First each document's windows that can reach ``least`` are found, with
 the least weight that a word can have for the words outside the templates; the
 frequencies of these words are then joined and the windows scored.  A document
-that mostly consists of such windows is a licence file and declares its licence for
-its directory.  A document without a header inherits from the nearest directory
+is a licence file and declares its licence for its directory if the bag of all its
+words reaches ``least`` with a whole licence text (``licence_texts``, related
+licences among them, so that each file goes to the text most like it), or if it mostly
+consists of headers; a whole text goes before headers.  A document without a header inherits from the nearest directory
 above it that has a declaration: distinct directories are joined with their
 ancestors' declarations by path, then documents with their directory.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
+from pathlib import Path
 from types import MappingProxyType
 
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from nextbest.llm.common import slices, texts_of, written
 
-#: Usual header statements and the first words of licence files.
+#: Usual header statements and the first words of licence files; the whole texts are in ``licence_texts``.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause"),
@@ -51,6 +54,11 @@ _TERMS = 200_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() or c == 10 else 32 for c in range(256))
 
 
+def whole_texts() -> dict[str, tuple[str, ...]]:
+    """Whole licence texts by name."""
+    return {p.name.removesuffix(".txt"): (p.read_text(encoding="utf-8"),) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
+
 def _terms(text: str) -> frozenset[bytes]:
     return frozenset(text.encode().translate(_FOLD).split())
 
@@ -112,6 +120,15 @@ class Scorer:
         top = max(c for c, _ in cosines)
         return (top, min(n for c, n in cosines if c == top)) if top >= self.least else None
 
+    def may_reach(self, distinct: set[bytes]) -> bool:
+        """Whether a bag can reach the threshold, if words outside the templates have the least weight possible."""
+        shared = self.vocabulary & distinct
+        own = sum(map(self.square.__getitem__, shared))
+        if own < 0.999 * self.least**2 * min(self.size, default=math.inf):
+            return False
+        norm = own + len(distinct) - len(shared)
+        return any(sum(self.square[w] for w in shared & bag) >= 0.999 * self.least * math.sqrt(norm * size) for (_, bag), size in zip(self.bags, self.size, strict=True))
+
     def windows(self, tokens: list[bytes], breaks: set[int], others: Mapping[bytes, float] | None) -> Iterator[tuple[float, str, int, int, int]]:
         """(cosine, template, start, end, last end) of the best window from each start that reaches the threshold, and the end
         of the longest one; without ``others``, words outside the templates have the least weight possible."""
@@ -185,40 +202,51 @@ def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_FOUND = "doc_id long, dir string, total long, regions array<string>, others array<string>"
-_ROWS = "doc_id long, dir string, header string, cosine double, share double"
+_FOUND = "doc_id long, dir string, total long, regions array<string>, words array<string>, others array<string>"
+_ROWS = "doc_id long, dir string, header string, cosine double, file boolean"
 
 
-def _find(scorer):
-    """Of each document: the parts that its windows lie in, and the words outside the templates in them."""
+def _find(scorers):
+    """Of each document: the parts that its windows lie in, all its words if they may reach a whole text, and those words
+    of both that are outside the templates or texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        headers, texts = scorers.value
         for whole in batches:
             for batch in slices(whole, "text", _SLICE):
-                total, regions, others = [], [], []
+                total, regions, words, others = [], [], [], []
                 for text in texts_of(batch.column("text")):
                     folded = text.translate(_FOLD)
-                    parts = scorer.value.regions(folded)
-                    total.append(len(folded.split()))
+                    tokens = folded.split()
+                    distinct = set(tokens)
+                    parts = headers.regions(folded)
+                    bag = distinct if texts.may_reach(distinct) else set()
+                    total.append(len(tokens))
                     regions.append([p.decode() for p in parts])
-                    others.append(sorted(w.decode() for w in {w for p in parts for w in p.split()} - scorer.value.vocabulary))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("dir"), pa.array(total, pa.int64()), pa.array(regions, pa.list_(pa.string())), pa.array(others, pa.list_(pa.string()))],
-                    names=["doc_id", "dir", "total", "regions", "others"])
+                    words.append(sorted(w.decode() for w in bag))
+                    others.append(sorted(w.decode() for w in ({w for p in parts for w in p.split()} - headers.vocabulary) | (bag - texts.vocabulary)))
+                strings = [pa.array(x, pa.list_(pa.string())) for x in (regions, words, others)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("dir"), pa.array(total, pa.int64()), *strings],
+                                                 names=["doc_id", "dir", "total", "regions", "words", "others"])
     return run
 
 
-def _score(scorer):
+def _score(scorers, file_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        headers, texts = scorers.value
         for batch in batches:
             rows = []
-            for regions, total, known in zip(*(batch.column(c).to_pylist() for c in ("regions", "total", "known")), strict=True):
-                others = {x["word"].encode(): scorer.value.weight(x["n"]) for x in known or ()}
-                parts = [scorer.value.headers(r.encode(), others) for r in regions]
-                top = max(p[0] for p in parts)
-                rows.append((top, min((p[1] for p in parts if p[0] == top and p[1]), default=None), sum(p[2] for p in parts) / total))
+            for regions, words, total, known in zip(*(batch.column(c).to_pylist() for c in ("regions", "words", "total", "known")), strict=True):
+                others = {x["word"].encode(): headers.weight(x["n"]) for x in known or ()}
+                if hit := texts.best([w.encode() for w in words], others):
+                    rows.append((*hit, True))
+                    continue
+                parts = [headers.headers(r.encode(), others) for r in regions]
+                top = max((p[0] for p in parts), default=0.0)
+                name = min((p[1] for p in parts if p[0] == top and p[1]), default=None)
+                rows.append((top, name, name is not None and sum(p[2] for p in parts) / total >= file_share))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("dir"), pa.array([r[1] for r in rows], pa.string()), pa.array([r[0] for r in rows], pa.float64()),
-                 pa.array([r[2] for r in rows], pa.float64())], names=["doc_id", "dir", "header", "cosine", "share"])
+                 pa.array([r[2] for r in rows], pa.bool_())], names=["doc_id", "dir", "header", "cosine", "file"])
     return run
 
 
@@ -228,34 +256,36 @@ def _frequencies(base: DataFrame, words: Iterable[bytes]) -> tuple[DataFrame, di
     table = written(base.select("text").mapInArrow(_frequency, "term string, n long").select(F.xxhash64("term").alias("term"), "n").groupBy("term").agg(
         F.sum("n").alias("n")), "licence-frequencies")
     asked = spark.createDataFrame([(w.decode(),) for w in sorted({b"", *words})], "word string").withColumn("term", F.xxhash64("word"))
-    counts = {r["word"].encode(): r["n"] for r in table.join(F.broadcast(asked), "term").select("word", "n").collect()}  # a row for each template word
+    counts = {r["word"].encode(): r["n"] for r in table.join(F.broadcast(asked), "term").select("word", "n").collect()}  # a row for each word of the templates and texts
     return table, counts, counts.pop(b"", 0)
 
 
-def _scored(found: DataFrame, frequencies: DataFrame, scorer) -> DataFrame:
-    """(doc_id, dir, header, cosine, share) of all documents; those with windows are joined with the frequencies of their other words."""
-    some = F.size("regions") > 0
+def _scored(found: DataFrame, frequencies: DataFrame, scorers, file_share: float) -> DataFrame:
+    """(doc_id, dir, header, cosine, file) of all documents; those that may have a licence are joined with the frequencies of
+    their other words."""
+    some = (F.size("regions") > 0) | (F.size("words") > 0)
     asked = found.where(some).select("row", F.explode("others").alias("word")).withColumn("term", F.xxhash64("word"))
     known = asked.join(frequencies, "term").groupBy("row").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    scored = found.where(some).join(known, "row", "left").select("doc_id", "dir", "total", "regions", "known").mapInArrow(_score(scorer), _ROWS)
-    none = found.where(~some).select("doc_id", "dir", F.lit(None).cast("string").alias("header"), F.lit(0.0).alias("cosine"), F.lit(0.0).alias("share"))
+    scored = found.where(some).join(known, "row", "left").select("doc_id", "dir", "total", "regions", "words", "known").mapInArrow(_score(scorers, file_share), _ROWS)
+    none = found.where(~some).select("doc_id", "dir", F.lit(None).cast("string").alias("header"), F.lit(0.0).alias("cosine"), F.lit(False).alias("file"))
     return scored.unionByName(none)
 
 
 def licences(docs: DataFrame, directory: Column, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None,
-             least: float = LEAST, file_share: float = FILE_SHARE) -> DataFrame:
+             least: float = LEAST, file_share: float = FILE_SHARE, texts: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(doc_id, dir, header, cosine, declares, licence, declared_in): own header, whether the document is a licence file,
     the licence that holds for it, and the directory it was inherited from (null for an own header)."""
     templates = templates or TEMPLATES
+    texts = whole_texts() if texts is None else texts
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(directory, F.lit("")).alias("dir"))
-    vocabulary = frozenset().union(*(_terms(t) for ts in templates.values() for t in ts))
+    vocabulary = frozenset().union(*(_terms(t) for ts in (*templates.values(), *texts.values()) for t in ts))
     frequencies, counts, documents = _frequencies(base, vocabulary)
-    scorer = spark.sparkContext.broadcast(Scorer(templates, counts, documents, least))
-    found = written(base.mapInArrow(_find(scorer), _FOUND).withColumn("row", F.monotonically_increasing_id()), "licence-windows")
-    rows = written(_scored(found, frequencies, scorer), "licence-headers")
+    scorers = spark.sparkContext.broadcast((Scorer(templates, counts, documents, least), Scorer(texts, counts, documents, least)))
+    found = written(base.mapInArrow(_find(scorers), _FOUND).withColumn("row", F.monotonically_increasing_id()), "licence-windows")
+    rows = written(_scored(found, frequencies, scorers, file_share), "licence-headers")
 
-    files = rows.where((F.col("share") >= file_share) & F.col("header").isNotNull())
+    files = rows.where("file")
     declared = files.groupBy("dir").agg(F.min(F.struct(-F.col("cosine"), F.col("header"))).alias("x")).select(
         F.col("dir").alias("declared_in"), F.col("x.header").alias("declared"))
     dirs = rows.select("dir").distinct()
@@ -265,5 +295,5 @@ def licences(docs: DataFrame, directory: Column, id_col: str = "doc_id", text_co
         "dir", F.col("x.declared").alias("declared"), F.col("x.declared_in").alias("declared_in"))
     own = F.col("header").isNotNull()
     return rows.join(nearest, "dir", "left").select(
-        "doc_id", "dir", "header", "cosine", (own & (F.col("share") >= file_share)).alias("declares"),
+        "doc_id", "dir", "header", "cosine", F.col("file").alias("declares"),
         F.coalesce("header", "declared").alias("licence"), F.when(~own, F.col("declared_in")).alias("declared_in"))

@@ -276,5 +276,42 @@ def test_other_words_weigh_by_their_frequency(spark):
         assert got[t] == pytest.approx((own / (own + square[w])) ** 0.5, abs=1e-9)
 
 
+MIT_FILE = """Copyright (c) 2019 Jane Doe and the project's authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this
+software and associated documentation files (the "Software"), to deal in the Software
+without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons
+to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or
+substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""
+
+
+def _below(name):
+    return " ".join(words(5, sum(name.encode())))
+
+
+def test_whole_licence_files_declare(spark):
+    body = " ".join(words(200, 1))
+    files = {"MIT": MIT_FILE} | {n: f"Copyright 2021 Foo Bar\n{t}" for n, (t,) in licences.whole_texts().items() if n != "MIT"}
+    assert set(licences.TEMPLATES) <= set(files)
+    rows = [x for n, t in files.items() for x in ((t, f"root/{n}"), (f"{body} {_below(n)}", f"root/{n}/src"))]
+    rows += [(f"{body}\n{MIT_FILE[:200]}", "other"), (f"{body} child", "other/src")]
+    got = {(r.dir, r.text): r for r in _with_text(spark, rows)}
+    for n, t in files.items():
+        own, below = got[f"root/{n}", t], got[f"root/{n}/src", f"{body} {_below(n)}"]
+        assert (own.header, own.declares, own.licence, own.declared_in) == (n, True, n, None)
+        assert (below.header, below.declares, below.licence, below.declared_in) == (None, False, n, f"root/{n}")
+    assert not got["other", rows[-2][0]].declares and got["other/src", f"{body} child"].licence is None
+
+
 def test_all_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
