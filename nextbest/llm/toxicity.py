@@ -8,8 +8,9 @@ that gives the two classes.  A misspelling that was never seen shares most of it
 n-grams with the word it stands for.
 
 Embeddings and softmax are trained together by gradient descent on at most
-``MOST_LABELLED`` labelled documents (those with the smallest hash of the id),
-on the driver.  The class score is linear in the averaged embeddings, so
+``MOST_LABELLED`` labelled documents of the table (those with the smallest hash of the id),
+on the driver.  Tasks turn their texts into bags of words; only the common words, the
+bags of these and a few MinHash values of each text reach the driver, no text does.  The class score is linear in the averaged embeddings, so
 scoring needs one number for each bucket; whole texts are scored where they lie,
 with prefix sums instead of a loop over words.
 
@@ -28,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nextbest.llm.common import id_and_text, slices, texts_of
+from nextbest.llm.common import id_and_text, slices, texts_of, written
 from nextbest.llm.shingles import LOWER, mix, powers, shingle_sets
 
 BUCKETS_LOG2 = 17
 BUCKETS = 1 << BUCKETS_LOG2
 GRAMS = (3, 4, 5)
 DIMENSIONS = 8
-MOST_LABELLED = 8_000
+MOST_LABELLED = 12_000
 LEAST_SHARE = 0.002
 CLASS_WEIGHT = 1.5
 STEPS = 60
@@ -119,6 +120,11 @@ def scores(texts: list[bytes], margins: np.ndarray, bias: float) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 1) -> Model:
+    """A model from whole texts."""
+    return learn(bags_of(texts), labels, steps, seed)
+
+
+def learn(bags: Bags, labels: np.ndarray, steps: int = STEPS, seed: int = 1) -> Model:
     """Embeddings and softmax, jointly by gradient descent on all rows; a step that raises the loss is halved, the next
     one after a good step is longer.  Each step shortens every embedding by the same amount, down to zero: what does not
     divide the classes clearly, as the words of single texts, stays at zero.  The amounts in ``SPARSITY`` are tried.
@@ -134,7 +140,7 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int
     weight = np.where(labels > 0, CLASS_WEIGHT, 1.0) / len(labels)
     bias = np.log([(weight * (1 - labels)).sum(), (weight * labels).sum()]).astype(np.float32)
     learns = rng.random(len(labels)) >= 0.2
-    (row, column, share), (word, bucket, part, n) = _bags(texts)  # texts x words, words x subwords
+    (row, column, share), (word, bucket, part), n = bags.words, bags.subwords, bags.n  # texts x words, words x subwords
     share = SCALE * share
     used, bucket = np.unique(bucket, return_inverse=True)  # only buckets that occur move
     # a bucket's root mean square in a text, so that the descent sees frequent and rare subwords alike
@@ -196,65 +202,76 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int
     return Model(table, softmax, bias)
 
 
-def unlike(texts: list[bytes], coordinates: int = 4) -> list[int]:
-    """Texts to learn from: of near copies only the first.  A text goes if one of a few MinHash coordinates has been
+def minima(hashes: np.ndarray, coordinates: int = 4) -> list[int]:
+    """A few MinHash coordinates of a set of shingles; none of an empty one."""
+    return [int(mix(hashes ^ np.uint64(k + 1)).min()) for k in range(coordinates)] if len(hashes) else []
+
+
+def unlike(signatures: list[list[int]], coordinates: int = 4) -> list[int]:
+    """Texts to learn from, by their ``minima``: of near copies only the first.  A text goes if one of a few MinHash coordinates has been
     seen before; else a large group of copies would teach its own words as signs of its label."""
     seen: list[set[int]] = [set() for _ in range(coordinates)]
     keep = []
-    for at in range(0, len(texts), 50):
-        for i, hashes in enumerate(shingle_sets(texts[at : at + 50]), at):
-            if not len(hashes):
-                continue
-            least = [int(mix(hashes ^ np.uint64(k + 1)).min()) for k in range(coordinates)]
-            if not any(x in s for x, s in zip(least, seen, strict=True)):
-                keep.append(i)
-            for x, s in zip(least, seen, strict=True):
-                s.add(x)
+    for i, least in enumerate(signatures):
+        if not least:
+            continue
+        if not any(x in s for x, s in zip(least, seen, strict=True)):
+            keep.append(i)
+        for x, s in zip(least, seen, strict=True):
+            s.add(x)
     return keep
 
 
-def _bags(texts: list[bytes]):
-    """Texts x common words and common words x subwords, as (row, column, weight) lists; the number of common words.
-
-    The first pass counts words, the second one takes the subwords of the common ones alone."""
-    rows, keys, weights = [], [], []
-    for at in range(0, len(texts), 200):
-        words = words_of(texts[at : at + 200])
-        key = words.keys()
-        owner = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first)) + at
-        _, pair, count = np.unique(mix(key + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
-        size = np.bincount(owner - at, minlength=200)
-        rows.append(owner[pair].astype(np.int32))
-        keys.append(key[pair])
-        weights.append((count / size[rows[-1] - at]).astype(np.float32))
-    keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+@dataclass
+class Bags:
+    """Texts x common words and common words x subwords, as (row, column, weight) lists; the number of common words."""
+
+    words: tuple[np.ndarray, np.ndarray, np.ndarray]
+    subwords: tuple[np.ndarray, np.ndarray, np.ndarray]
+    n: int
+
+
+def counted(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Of each text: its distinct words' keys, their shares of its words, and the folded words."""
+    for text in texts:
+        words = words_of([text])
+        key, first, count = np.unique(words.keys(), return_index=True, return_counts=True)
+        data = _FOLD[np.frombuffer(b" " + text + b" ", dtype=np.uint8)].tobytes()
+        yield key, (count / max(len(words.start), 1)).astype(np.float32), [data[a:b] for a, b in zip(words.start[first], words.stop[first], strict=True)]
+
+
+def least_texts(n: int) -> int:
+    """Texts, of n, that a word must be in to be learned from."""
+    return int(np.ceil(max(2, LEAST_SHARE * n)))
+
+
+def bags_of(texts: list[bytes]) -> Bags:
+    rows, keys, shares, spelled = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)], {}
+    for i, (key, share, words) in enumerate(counted(texts)):
+        rows.append(np.full(len(key), i, np.int32))
+        keys.append(key)
+        shares.append(share)
+        spelled.update(zip(key.tolist(), words, strict=True))
+    keys = np.concatenate(keys)
     known, count = np.unique(keys, return_counts=True)
-    known = known[count >= max(2, LEAST_SHARE * len(texts))]
-    column = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0)).astype(np.int32)
-    use = known[column] == keys if len(known) else np.zeros(len(keys), bool)
-    bags = tuple(x[use] for x in (np.concatenate(rows), column, np.concatenate(weights))) if len(keys) else (column, column, keys.astype(np.float32))
-
-    seen = np.zeros(len(known), dtype=bool)
-    subs: list[list[np.ndarray]] = [[], [], []]
-    for at in range(0, len(texts), 200):
-        words = words_of(texts[at : at + 200])
-        fresh, where = np.unique(words.keys(), return_index=True)
-        place = np.minimum(np.searchsorted(known, fresh), max(len(known) - 1, 0))
-        new = (known[place] == fresh) & ~seen[place] if len(known) else np.zeros(len(fresh), bool)
-        place, where = place[new], where[new]
-        seen[place] = True
-        low, high = words.start[where] - 1, words.stop[where]
-        buckets, owners = [words.whole()[where]], [np.arange(len(where))]
-        for n in GRAMS:
-            grams, count = words.grams(n), np.maximum(high + 2 - n - low, 0)
-            owners.append(np.repeat(np.arange(len(where)), count))
-            begin = np.repeat(low, count)
-            buckets.append(grams[begin + np.arange(len(begin)) - np.repeat(np.cumsum(count) - count, count)])
-        owners = np.concatenate(owners)
-        for out, x in zip(subs, (place[owners].astype(np.int32), np.concatenate(buckets).astype(np.int32),
-                                 (1.0 / np.bincount(owners, minlength=len(where))[owners]).astype(np.float32)), strict=True):
-            out.append(x)
-    return bags, (*[np.concatenate(x) if x else np.zeros(0, np.int32) for x in subs], len(known))
+    known = known[count >= least_texts(len(texts))]
+    use = np.isin(keys, known)
+    return joined(np.concatenate(rows)[use], keys[use], np.concatenate(shares)[use], known, [spelled[k] for k in known.tolist()])
+
+
+def joined(rows: np.ndarray, keys: np.ndarray, shares: np.ndarray, known: np.ndarray, spelled: list[bytes]) -> Bags:
+    """Bags of the words ``known``, which are sorted by key."""
+    words = words_of(spelled)
+    low, high = words.start - 1, words.stop
+    buckets, owners = [words.whole()], [np.arange(len(low))]
+    for n in GRAMS:
+        grams, count = words.grams(n), np.maximum(high + 2 - n - low, 0)
+        owners.append(np.repeat(np.arange(len(low)), count))
+        begin = np.repeat(low, count)
+        buckets.append(grams[begin + np.arange(len(begin)) - np.repeat(np.cumsum(count) - count, count)])
+    owner = np.concatenate(owners).astype(np.int32)
+    weight = (1.0 / np.maximum(np.bincount(owner, minlength=len(low)), 1)[owner]).astype(np.float32)
+    return Bags((rows, np.searchsorted(known, keys).astype(np.int32), shares), (owner, np.concatenate(buckets).astype(np.int32), weight), len(known))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -262,15 +279,62 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
+_BAGS = "doc_id long, toxic int, least array<long>, keys array<long>, shares array<float>, words array<string>"
+
+
+def _bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text", _SLICE):
+            texts = texts_of(batch.column("text"))
+            least = [np.array(minima(h), np.uint64).view(np.int64) for h in shingle_sets(texts)]
+            keys, shares, words = zip(*counted(texts), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(least, pa.list_(pa.int64())), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())),
+                 pa.array(shares, pa.list_(pa.float32())), pa.array([[w.decode() for w in ws] for ws in words], pa.list_(pa.string()))],
+                names=["doc_id", "toxic", "least", "keys", "shares", "words"])
+
+
+def _common(known):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, shares = [], []
+            for k, x in zip(batch.column("keys"), batch.column("shares"), strict=True):
+                k = np.asarray(k.values).view(np.uint64)
+                use = np.isin(k, known.value)
+                keys.append(k[use].view(np.int64))
+                shares.append(np.asarray(x.values)[use])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float32()))], names=["doc_id", "keys", "shares"])
+    return run
+
+
+def labelled_bags(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> tuple[Bags, np.ndarray]:
+    """Bags and labels of the labelled rows of ``docs`` that are not held out, at most ``most_rows``; of repeated ids, one row."""
+    spark = docs.sparkSession
+    rows = id_and_text(docs, id_col, text_col)
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    some = marked.where(~held_out()).join(rows.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(
+        F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most_rows)
+    one = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    bags = written(one.mapInArrow(_bag, _BAGS), "toxicity-bags")
+    marks = bags.select("doc_id", "toxic", "least").toPandas().sort_values("doc_id")
+    marks = marks.iloc[unlike([np.asarray(x, np.int64).view(np.uint64).tolist() for x in marks["least"]])]
+    ids = marks["doc_id"].to_numpy()
+    bags = bags.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "doc_id long")), "doc_id", "left_semi")
+    pairs = bags.select(F.explode(F.arrays_zip("keys", "words")).alias("x")).select("x.keys", "x.words")
+    common = pairs.groupBy("keys").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("word")).where(F.col("n") >= least_texts(len(ids))).select("keys", "word").toPandas()
+    known = common["keys"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    known, spelled = known[order], [common["word"].iloc[i].encode() for i in order]
+    got = bags.select("doc_id", "keys", "shares").mapInArrow(_common(spark.sparkContext.broadcast(known)), "doc_id long, keys array<long>, shares array<float>").toArrow()
+    got = got.sort_by("doc_id").combine_chunks()
+    keys, shares = (got.column(c).combine_chunks() for c in ("keys", "shares"))
+    row = np.searchsorted(ids, np.repeat(np.asarray(got.column("doc_id")), np.asarray(keys.value_lengths()))).astype(np.int32)
+    return joined(row, np.asarray(keys.flatten()).view(np.uint64), np.asarray(shares.flatten()), known, spelled), marks["toxic"].to_numpy()
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the labelled rows that are not held out, at most ``most_rows``."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    some = marked.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most_rows)
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")  # of repeated ids, one row is learned from
-    texts = [(t or "").encode() for t in rows["text"]]
-    keep = unlike(texts)
-    return train([texts[i] for i in keep], rows["toxic"].to_numpy()[keep])
+    return learn(*labelled_bags(docs, labels, most_rows, id_col, text_col))
 
 
 def _score(model):

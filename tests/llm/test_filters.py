@@ -162,6 +162,26 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert (one.embeddings == two.embeddings).all() and (one.bias == two.bias).all()
 
 
+def test_bags_of_tasks_are_those_of_the_texts(spark):
+    rows = toxic_texts(300, 7) + [("", 0), ("É ß one idiotic", 1), ("idiotic one É", 1)]
+    docs = texts(spark, [(i, t) for i, (t, _) in enumerate(rows)]).repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    bags, marks = toxicity.labelled_bags(docs, labels)
+    learned = [i for i in range(len(rows)) if __import__("zlib").crc32(str(i).encode()) % 5 and rows[i][0]]
+    plain = toxicity.bags_of([rows[i][0].encode() for i in learned])
+    assert bags.n == plain.n and marks.tolist() == [rows[i][1] for i in learned]
+    for got, want in zip((*bags.words, *bags.subwords), (*plain.words, *plain.subwords), strict=True):
+        assert (got == want).all()
+
+
+def test_labels_without_a_document_do_not_use_up_the_sample(spark):
+    rows = toxic_texts(60, 8)
+    docs = texts(spark, [(i, t) for i, (t, _) in enumerate(rows)])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    _, marks = toxicity.labelled_bags(docs, labels, most_rows=60)
+    assert len(marks) == sum(__import__("zlib").crc32(str(i).encode()) % 5 > 0 for i in range(60))
+
+
 # -- secrets -----------------------------------------------------------------------------------------------------------
 def plain_spans(text):
     rows = []
