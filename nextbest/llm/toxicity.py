@@ -37,7 +37,7 @@ BUCKETS = 1 << BUCKETS_LOG2
 GRAMS = (3, 4, 5)
 DIMENSIONS = 8
 MOST_LABELLED = 12_000
-LEAST_SHARE = 0.002
+LEAST_TEXTS = 2
 CLASS_WEIGHT = 1.5
 STEPS = 60
 RATE = 1.0
@@ -129,7 +129,8 @@ def learn(bags: Bags, labels: np.ndarray, steps: int = STEPS, seed: int = 1) ->
     one after a good step is longer.  Each step shortens every embedding by the same amount, down to zero: what does not
     divide the classes clearly, as the words of single texts, stays at zero.  The amounts in ``SPARSITY`` are tried.
 
-    One text of five is not learned from but tells when to stop: they also choose between the amounts.  Words in a smaller share of the texts than ``LEAST_SHARE`` are not learned from.  A row of class 1 weighs ``CLASS_WEIGHT``
+    One text of five is not learned from but tells when to stop: they also choose between the amounts.  Words in fewer texts than ``LEAST_TEXTS`` are not
+    learned from.  A row of class 1 weighs ``CLASS_WEIGHT``
     rows."""
     rng = np.random.default_rng(seed)
     table = np.zeros((BUCKETS, DIMENSIONS), dtype=np.float32)  # what no text moves adds nothing
@@ -240,11 +241,6 @@ def counted(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[b
         yield key, (count / max(len(words.start), 1)).astype(np.float32), [data[a:b] for a, b in zip(words.start[first], words.stop[first], strict=True)]
 
 
-def least_texts(n: int) -> int:
-    """Texts, of n, that a word must be in to be learned from."""
-    return int(np.ceil(max(2, LEAST_SHARE * n)))
-
-
 def bags_of(texts: list[bytes]) -> Bags:
     rows, keys, shares, spelled = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)], {}
     for i, (key, share, words) in enumerate(counted(texts)):
@@ -254,7 +250,7 @@ def bags_of(texts: list[bytes]) -> Bags:
         spelled.update(zip(key.tolist(), words, strict=True))
     keys = np.concatenate(keys)
     known, count = np.unique(keys, return_counts=True)
-    known = known[count >= least_texts(len(texts))]
+    known = known[count >= LEAST_TEXTS]
     use = np.isin(keys, known)
     return joined(np.concatenate(rows)[use], keys[use], np.concatenate(shares)[use], known, [spelled[k] for k in known.tolist()])
 
@@ -321,7 +317,7 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_LABE
     ids = marks["doc_id"].to_numpy()
     bags = bags.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "doc_id long")), "doc_id", "left_semi")
     pairs = bags.select(F.explode(F.arrays_zip("keys", "words")).alias("x")).select("x.keys", "x.words")
-    common = pairs.groupBy("keys").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("word")).where(F.col("n") >= least_texts(len(ids))).select("keys", "word").toPandas()
+    common = pairs.groupBy("keys").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("word")).where(F.col("n") >= LEAST_TEXTS).select("keys", "word").toPandas()
     known = common["keys"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
     known, spelled = known[order], [common["word"].iloc[i].encode() for i in order]

@@ -174,6 +174,20 @@ def test_bags_of_tasks_are_those_of_the_texts(spark):
         assert (got == want).all()
 
 
+def test_rare_insults_are_learned():
+    """Each insult is in 3 of 2,000 texts, far under a share of 0.2 %, and shares no n-gram with the others."""
+    rng = random.Random(12)
+    insults = ["".join(rng.choice("klmnopqrstuvwxyz") for _ in range(9)) for _ in range(120)]
+    rows = [(" ".join(words(rng.randint(15, 30), 500 + i)), 0) for i in range(1640)]
+    rows += [(f"{' '.join(words(12, 9000 + i))} {insults[i % 120]} {insults[i % 120]}", 1) for i in range(360)]
+    rng.shuffle(rows)
+    model = toxicity.train([t.encode() for t, _ in rows], np.array([y for _, y in rows]))
+    fresh = [f"{' '.join(words(12, 20_000 + i))} {w} {w}".encode() for i, w in enumerate(insults)]
+    found = toxicity.scores(fresh, model.margins(), float(model.bias[1] - model.bias[0])) >= 0.5
+    clean = toxicity.scores([" ".join(words(15, 30_000 + i)).encode() for i in range(200)], model.margins(), float(model.bias[1] - model.bias[0])) >= 0.5
+    assert found.mean() > 0.9 and clean.mean() < 0.05
+
+
 def test_labels_without_a_document_do_not_use_up_the_sample(spark):
     rows = toxic_texts(60, 8)
     docs = texts(spark, [(i, t) for i, (t, _) in enumerate(rows)])
