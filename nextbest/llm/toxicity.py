@@ -45,6 +45,8 @@ RATE = 1.0
 SPARSITY = (0.3, 0.15, 0.08)
 PATIENCE = 12
 SCALE = 30.0
+#: MinHash coordinates by which near copies are left out of the training rows, and how many of them agree in one.
+COORDINATES, MATCHES = 32, 20
 _SLICE = 1 << 17
 
 _FOLD = LOWER.copy()
@@ -203,23 +205,24 @@ def learn(bags: Bags, labels: np.ndarray, steps: int = STEPS, seed: int = 1) ->
     return Model(table, softmax, bias)
 
 
-def minima(hashes: np.ndarray, coordinates: int = 4) -> list[int]:
-    """A few MinHash coordinates of a set of shingles; none of an empty one."""
-    return [int(mix(hashes ^ np.uint64(k + 1)).min()) for k in range(coordinates)] if len(hashes) else []
+def minima(hashes: np.ndarray) -> list[int]:
+    """MinHash coordinates of a set of shingles; none of an empty one."""
+    return [int(mix(hashes ^ np.uint64(k + 1)).min()) for k in range(COORDINATES)] if len(hashes) else []
 
 
-def unlike(signatures: list[list[int]], coordinates: int = 4) -> list[int]:
-    """Texts to learn from, by their ``minima``: of near copies only the first.  A text goes if one of a few MinHash coordinates has been
-    seen before; else a large group of copies would teach its own words as signs of its label."""
-    seen: list[set[int]] = [set() for _ in range(coordinates)]
-    keep = []
+def unlike(signatures: list[list[int]]) -> list[int]:
+    """Texts to learn from, by their ``minima``: of near copies only the first, else a large group of copies would teach its
+    own words as signs of its label.  A text goes if ``MATCHES`` of the ``COORDINATES`` agree with one text that stays: at a
+    similarity of 0.75 with a chance of 0.96, at 0.5 of 0.11, at 0.3 of 1e-4."""
+    kept = np.zeros((len(signatures), COORDINATES), dtype=np.uint64)
+    keep: list[int] = []
     for i, least in enumerate(signatures):
         if not least:
             continue
-        if not any(x in s for x, s in zip(least, seen, strict=True)):
+        one = np.array(least, dtype=np.uint64)
+        if not ((kept[: len(keep)] == one).sum(axis=1) >= MATCHES).any():
+            kept[len(keep)] = one
             keep.append(i)
-        for x, s in zip(least, seen, strict=True):
-            s.add(x)
     return keep
 
 

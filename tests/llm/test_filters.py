@@ -188,6 +188,17 @@ def test_rare_insults_are_learned():
     assert found.mean() > 0.9 and clean.mean() < 0.05
 
 
+def test_only_near_copies_leave_the_training_rows(spark):
+    passage = words(20, 40)  # half of each text
+    own = [words(20, 600 + i) for i in range(60)]
+    rows = [" ".join(passage + w) for w in own] + [" ".join(words(60, 900)) + f" tail{k}" for k in range(20)]
+    docs = texts(spark, list(enumerate(rows)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(rows))], "doc_id long, toxic int")
+    learned = [i for i in range(len(rows)) if __import__("zlib").crc32(str(i).encode()) % 5]
+    _, marks = toxicity.labelled_bags(docs, labels)
+    assert len(marks) == sum(i < 60 for i in learned) + 1
+
+
 def test_labels_without_a_document_do_not_use_up_the_sample(spark):
     rows = toxic_texts(60, 8)
     docs = texts(spark, [(i, t) for i, (t, _) in enumerate(rows)])
