@@ -24,10 +24,14 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; of repeated rows, one."""
+    """One document of each group of near duplicates; of rows equal in id and text, the one with the smallest other columns.
+    Different texts of one id all stay."""
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
     rows = _those(docs, kept)
-    return rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id IS NULL"))
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    named = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("row"))
+    named = named.select(*[c if c in ("doc_id", "text") else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return named.unionByName(rows.where("doc_id IS NULL"))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

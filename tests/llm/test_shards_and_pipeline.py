@@ -82,3 +82,14 @@ def test_pipeline(spark, tmp_path):
     text = spark.read.parquet(f"{tmp_path}/secrets").where("doc_id = 3").first()
     assert "0123456789abcdef" not in text.text and text.n_chars == len(text.text)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_different_texts_of_one_id_all_stay(spark):
+    one, two, three = (" ".join(words(40, k)) for k in (1, 2, 3))
+    rows = [(1, one, "en", "b", 5), (1, one, "en", "a", 9), (1, two, "de", "c", 7), (2, three, None, None, None), (2, three, None, None, None), (3, one, "en", "a", 1), (None, "", "en", "x", 0)]
+    docs = documents(spark, rows, clashing=False)
+    for parts in (1, 5):
+        out = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), "")
+        assert out.columns == docs.columns
+        want = [rows[1], rows[2], rows[3], rows[6]]
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
