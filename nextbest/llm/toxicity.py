@@ -296,13 +296,14 @@ def _bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _common(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, shares = [], []
-            for k, x in zip(batch.column("keys"), batch.column("shares"), strict=True):
-                k = np.asarray(k.values).view(np.uint64)
-                use = np.isin(k, known.value)
-                keys.append(k[use].view(np.int64))
-                shares.append(np.asarray(x.values)[use])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float32()))], names=["doc_id", "keys", "shares"])
+            size = np.asarray(batch.column("keys").value_lengths())
+            keys, shares = (np.asarray(batch.column(c).flatten()) for c in ("keys", "shares"))
+            words = keys.view(np.uint64)
+            at = np.minimum(np.searchsorted(known.value, words), max(len(known.value) - 1, 0))
+            use = known.value[at] == words if len(known.value) else np.zeros(len(words), bool)
+            ends = np.concatenate([[0], np.cumsum(use)])[np.concatenate([[0], np.cumsum(size)])].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[use])) for x in (keys, shares)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "keys", "shares"])
     return run
 
 
