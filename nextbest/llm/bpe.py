@@ -1,16 +1,15 @@
 """BPE encoding and decoding of whole texts, with content-defined chunk reuse.
 
 ``WordEncoder`` encodes with a tokenizer whose pre-tokenizer drops white
-space: the ids of a text are those of its runs between ASCII white space, one
-after the other, and a run is encoded by the library the first time it comes.
+space: the ids of a text are those of its runs, one after the other, and a run
+is encoded by the library the first time it comes.
 
 ``encode_decode`` cuts texts into content-defined chunks (a rolling hash over
 32 bytes picks the cuts, so equal passages of different documents are cut
 alike).  Chunks that several documents share are encoded once.  A document is
-then put together from the ids of its shared chunks and of what lies between.
-A chunk's ids are used from its first to its last white space; the window
-around each join is encoded again, with words of both sides as context, and
-widened until the ids of the context agree exactly with those already there.
+then put together from the ids of its shared chunks and of what lies between, each encoded by itself.  A join
+may tear a word, so the window around it is encoded again and replaces the ids of both
+sides there; it is widened until the ids of the words at its ends, its context, agree exactly with those already there.
 
 Three passes read the documents; only counts of chunk hashes, the texts of
 shared chunks and the documents that hold one are shuffled.  Which documents
@@ -35,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nextbest.llm.common import id_and_text, slices, texts_of, written
+from nextbest.llm.runs import DIGIT, LETTER, OTHER, SPACE, classes, distinct, gather
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -42,9 +42,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 AVERAGE, LEAST, MOST = 512, 128, 8192
 FILTER_BITS = 1 << 24
 _PROBES = 4
-_SLICE = 2 << 20
+_SLICE = 4 << 20
 _GEAR = np.random.default_rng(4).integers(0, 2**32, 256, dtype=np.uint32)
-_SPACE = b" \t\n\r\x0b\x0c"
 
 
 class Store:
@@ -68,15 +67,18 @@ class Store:
         return list(fresh.difference(kept))
 
 
-#: A word of plain letters, with punctuation before and after it.  Its ids are those of the three parts.
-_PLAIN = re.compile(r"([!-/:-@\[-`{-~]*)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
+#: A run of letters, one digit or a run of punctuation: one piece of the tokenizer's pattern.
+_PURE = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 class WordEncoder:
     """Encode UTF-8 texts to little-endian unsigned 32-bit ids, for tokenizers that drop white space, keep runs of
-    letters and of punctuation apart, fold case and end each run with ``</w>`` (checked on samples when loaded)."""
+    letters, single digits and runs of punctuation apart, fold case and end each run with ``</w>`` (checked on samples when loaded).
 
-    def __init__(self, path: str, specials_as_text: bool = False, entries: int = 1_200_000):
+    Texts are cut at white space and between letters, digits and punctuation of ASCII and U+00C0 to U+00FF, not
+    beside other characters, which may combine, nor between an apostrophe and a letter, which may be a contraction."""
+
+    def __init__(self, path: str, specials_as_text: bool = False, entries: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -84,52 +86,68 @@ class WordEncoder:
         self.tokenizer.no_padding()
         if specials_as_text:
             self.tokenizer.encode_special_tokens = True
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = [] if specials_as_text else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words, self.runs = Store(entries), Store(entries // 2)
         self.ends = np.array([x.endswith(b"</w>") for x in self.decode_table()])
         for parts in ((b"a", b"b", b"\xc3\xa9"), (b"Word", b"(other),", b"!!")):
             if self.plain(b" \n".join(parts)) != b"".join(map(self.plain, parts)):
                 raise ValueError("the tokenizer's pre-tokenizer must drop white space")
-        if self.plain(b"(Other),") != b"".join(map(self.plain, (b"(", b"other", b"),"))):
-            raise ValueError("the tokenizer must fold case and keep letters and punctuation apart")
+        if self.plain(b"(Other),12x") != b"".join(map(self.plain, (b"(", b"other", b"),", b"1", b"2", b"x"))):
+            raise ValueError("the tokenizer must fold case and keep letters, digits and punctuation apart")
 
     def plain(self, text: bytes) -> bytes:
         """The library's own encoding, nothing reused."""
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def encode(self, text: bytes) -> bytes:
+        """Ids of one short text."""
+        words = text.split()
+        self._learn(self.words.lacking(set(words)))
+        return b"".join(map(self.words.young.__getitem__, words))
+
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        self._learn(self.words.lacking(set().union(*words)))
-        ids = self.words.young.__getitem__
-        return [b"".join(map(ids, w)) for w in words]
+        whole = {i: self.plain(t) for i, t in enumerate(texts) if any(x in t for x in self.specials)}
+        data = b" ".join([b"" if i in whole else t for i, t in enumerate(texts)]) + b" "
+        raw = np.frombuffer(data, dtype=np.uint8)
+        kind = classes(raw)
+        left, right = kind[:-1], kind[1:]
+        apart = (left != SPACE) & (left != OTHER) & (right != SPACE) & (right != OTHER) & ((left != right) | (left == DIGIT))
+        apart &= (raw[:-1] != ord("'")) | (right != LETTER)
+        begins = np.concatenate([[kind[0] != SPACE], apart | ((left == SPACE) & (right != SPACE))])
+        starts, letters = np.flatnonzero(begins), kind != SPACE
+        index, runs = distinct(raw[letters], np.flatnonzero(begins[letters]))
+        self._learn(self.words.lacking(set(runs)))
+        got = list(map(self.words.young.__getitem__, runs))
+        edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4)])
+        ids, at = gather(index, np.frombuffer(b"".join(got), dtype="<u4"), edges)
+        flat = ids.tobytes()
+        begin = np.concatenate([[0], np.cumsum(np.fromiter((0 if i in whole else len(t) for i, t in enumerate(texts)), np.int64, len(texts)) + 1)])
+        cut = (4 * at[np.searchsorted(starts, begin)]).tolist()
+        return [whole[i] if i in whole else flat[a:b] for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
 
     def _learn(self, words: list[bytes]) -> None:
-        parted, runs, odd = [], set(), []
+        kept = self.words.young
+        pure: list[tuple[bytes, bytes]] = []
         for word in words:
-            text = word.decode("utf-8", "replace")
-            if (m := _PLAIN.fullmatch(text)) and not any(x in text for x in self.specials):
-                parts = (m[1], m[2].lower(), m[3]) if m[1] else (m[2].lower(), m[3]) if m[3] else (m[2].lower(),)
-                parted.append((word, parts))
-                runs.update(parts)
+            run = word.lower()
+            if _PURE.fullmatch(run):
+                pure.append((word, run))
             else:
-                odd.append((word, text))
-        runs.discard("")
-        fresh = self.runs.lacking(runs)
+                kept[word] = self.plain(word)
+        fresh = self.runs.lacking({run for _, run in pure})
+        known = self.runs.young
         for i in range(0, len(fresh), 1000):
             some = fresh[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.frombuffer(self.plain(b" ".join(some)), dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 raise ValueError("the tokenizer must end each run with </w>")
             flat, at = ids.tobytes(), 0
             for run, stop in zip(some, (4 * stops).tolist(), strict=True):
-                self.runs.young[run] = flat[at:stop]
+                known[run] = flat[at:stop]
                 at = stop
-        known, kept = self.runs.young, self.words.young
-        for word, parts in parted:
-            kept[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts if x])
-        for word, text in odd:
-            kept[word] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        for word, run in pure:
+            kept[word] = known[run]
 
     def decode_table(self) -> list[bytes]:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -232,23 +250,13 @@ def _shared_texts(words):
     return run
 
 
-def inner(chunk: bytes) -> tuple[int, int]:
-    """Where the first and the last white space of a chunk end and begin: the part whose ids do not depend on what
-    surrounds the chunk.  (0, 0) without white space."""
-    head = len(chunk) - len(chunk.split(None, 1)[-1]) if chunk[:1] in (b"", *[bytes([c]) for c in _SPACE]) else -1
-    if head < 0:
-        head = min((i for i in (chunk.find(bytes([c])) for c in _SPACE) if i >= 0), default=-1)
-    tail = max(chunk.rfind(bytes([c])) for c in _SPACE)
-    return (0, 0) if head < 0 or tail < 0 else (min(head, tail + 1), tail + 1)
-
-
 def _encode_chunks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for whole in batches:
             for batch in slices(whole, "chunk", _SLICE):
                 chunks = batch.column("chunk").to_pylist()
-                ids = enc.encode_all([c[a:b] for c in chunks for a, b in [inner(c)]])
+                ids = enc.encode_all(chunks)
                 yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(ids, pa.binary())], names=["k1", "k2", "ids"])
     return run
 
@@ -303,52 +311,72 @@ def _holders(words):
     return run
 
 
-def assemble(text: bytes, shared: list[tuple[int, int, bytes]], enc: WordEncoder) -> bytes:
-    """Ids of a text from the ids of some of its chunks (start, stop, ids of the inner part), in order."""
-    known, at = [], 0
-    for start, stop, ids in shared:
-        a, b = inner(text[start:stop])
-        if b > a:
-            known.append((start + a, start + b, ids))
-    spans = []
-    for a, b, _ in known:
-        spans.append((at, a))
-        at = b
-    spans.append((at, len(text)))
-    out = []
-    for i, (a, b) in enumerate(spans):
-        if b > a:
-            out.append(repair(text, a, b, enc, a > 0, b < len(text)))
-        if i < len(known):
-            out.append(known[i][2])
-    return b"".join(out)
+_WORD = re.compile(rb"\S+")
 
 
-def repair(text: bytes, a: int, b: int, enc: WordEncoder, left: bool, right: bool) -> bytes:
-    """Ids of text[a:b] as they stand in the whole text.
+def _last_words(text: bytes, a: int, b: int, k: int) -> list[tuple[int, int]]:
+    """Where the last k words of text[a:b] start and stop."""
+    size = 32 * k
+    while True:
+        low = max(a, b - size)
+        found = [m.span() for m in _WORD.finditer(text, low, b)][1 if low > a else 0 :]
+        if len(found) >= k or low == a:
+            return found[-k:]
+        size *= 2
+
+
+def _first_words(text: bytes, a: int, b: int, k: int) -> list[tuple[int, int]]:
+    """Where the first k words of text[a:b] start and stop."""
+    return [m.span() for m, _ in zip(_WORD.finditer(text, a, b), range(k), strict=False)]
 
-    The window is encoded with ``context`` words of either side; its ids must
-    begin and end with exactly the ids that those words have by themselves
-    in the chunks around it.  Otherwise the context is widened, in the end to the
-    whole text on that side.
+
+def assemble(text: bytes, shared: list[tuple[int, int, bytes]], enc: WordEncoder) -> bytes:
+    """Ids of a text from the ids of some of its chunks (start, stop, ids of the chunk by itself), in order."""
+    parts, at = [], 0
+    for start, stop, ids in shared:
+        if len(_first_words(text, start, stop, 3)) < 3:
+            continue  # a chunk of so few words may be torn on both sides
+        if start > at:
+            parts.append((at, start, None))
+        parts.append((start, stop, ids))
+        at = stop
+    if at < len(text):
+        parts.append((at, len(text), None))
+    fresh = iter(enc.encode_all([text[a:b] for a, b, ids in parts if ids is None]))
+    out: list[bytes] = []
+    begin, known = 0, b""
+    for a, b, ids in parts:
+        ids = next(fresh) if ids is None else ids
+        if a:
+            repaired = repair(text, begin, a, known, b, ids, enc)
+            if repaired is None:
+                return enc.plain(text)
+            done, begin, ids = repaired
+            out.append(done)
+        known = ids
+    return b"".join([*out, known])
+
+
+def repair(text: bytes, a: int, at: int, left: bytes, b: int, right: bytes, enc: WordEncoder) -> tuple[bytes, int, bytes] | None:
+    """Join ``left``, the ids of text[a:at], and ``right``, those of text[at:b], each encoded by itself.
+
+    The words around the join are encoded again as they stand in the text, which replaces what the two sides had
+    there.  The window's first and last words are context: their new ids must be exactly the old ones, else the
+    window is widened.  Gives the ids before the window, where the window starts, and the ids from there on; None
+    if they do not agree over all of both sides.
     """
-    [middle] = enc.encode_all([text[a:b]])
-    if not (left or right):
-        return middle
-    context = 1
+    k = 2
     while True:
-        before = text[max(0, a - 64 * context) : a].split()[1 if a > 64 * context else 0 :][-context:] if left else []
-        after = text[b : b + 64 * context].split()
-        after = (after[:-1] if b + 64 * context < len(text) else after)[:context] if right else []
-        edge = text[a:b].split()
-        head, tail = edge[:1], edge[1:][-1:]
-        front, back, first, last = enc.encode_all([b" ".join(x) for x in (before, after, head, tail)])
-        agrees = enc.plain(b" ".join(before + head)) == front + first and enc.plain(b" ".join((tail or head) + after)) == (last or first) + back
-        if agrees:
-            return middle
-        if 64 * context >= len(text):
-            raise ValueError("the tokenizer's ids depend on more than the words between white space")
-        context *= 2
+        before, after = _last_words(text, a, at, k), _first_words(text, at, b, k)
+        low, high = before[0][0] if before else at, after[-1][1] if after else at
+        tail, head, window = enc.encode(text[low:at]), enc.encode(text[at:high]), enc.encode(text[low:high])
+        front = enc.encode(text[slice(*before[0])]) if len(before) > 1 else b""
+        back = enc.encode(text[slice(*after[-1])]) if len(after) > 1 else b""
+        if left.endswith(tail) and right.startswith(head) and window.startswith(front) and window.endswith(back):
+            return left[: len(left) - len(tail)], low, window + right[len(head) :]
+        if len(before) < k and len(after) < k:
+            return None
+        k *= 2
 
 
 def _join_chunks(path: str, finish):
@@ -375,15 +403,11 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     counts = base.mapInArrow(_count_chunks, "k1 long, k2 long").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
     shared = written(counts.where("n > 1").select("k1", "k2"), "bpe-shared")
-    probes = [(F.col("k1") + F.lit(k) * F.col("k2").bitwiseOR(F.lit(1))).bitwiseAND(F.lit(filter_bits - 1)) for k in range(_PROBES)]
-    ansi = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")  # the sums wrap, as they do in _probes
-    try:
-        bit = F.explode(F.array(*probes)).alias("bit")
-        marks = shared.select(bit).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("m"))
-        found = marks.groupBy("word").agg(F.bit_or("m").alias("m")).toPandas()  # filter_bits / 64 rows at most
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", ansi)
+    mask = F.lit(filter_bits - 1)
+    one, two = F.col("k1").bitwiseAND(mask), F.col("k2").bitwiseOR(F.lit(1)).bitwiseAND(mask)  # as in _probes; small, so that no sum overflows
+    bit = F.explode(F.array(*[(one + F.lit(k) * two).bitwiseAND(mask) for k in range(_PROBES)])).alias("bit")
+    marks = shared.select(bit).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("m"))
+    found = marks.groupBy("word").agg(F.bit_or("m").alias("m")).toPandas()  # filter_bits / 64 rows at most
     words = np.zeros(filter_bits // 64, dtype=np.uint64)
     words[found["word"].to_numpy(dtype=np.int64)] = found["m"].to_numpy(dtype=np.int64).astype(np.uint64)
     words = spark.sparkContext.broadcast(words)

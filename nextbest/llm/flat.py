@@ -35,7 +35,7 @@ from nextbest.llm.bpe import encoder
 from nextbest.llm.common import id_and_text, slices, texts_of, written
 
 BLOCK_TOKENS = 1 << 20
-_SLICE = 2 << 20
+_SLICE = 4 << 20
 _GROUP = 1024
 
 

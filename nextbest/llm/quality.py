@@ -223,8 +223,10 @@ def judged(stats: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_LABELLED) -> DataFrame:
-    """Statistics of the labelled documents (at most ``most_rows``, those with the smallest hash), ``bad`` from ``quality``."""
-    some = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    """Statistics of the labelled documents (at most ``most_rows``, those with the smallest hash), ``bad`` from ``quality``.
+    Labels without a document count for nothing."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").join(docs.select("doc_id"), "doc_id", "left_semi")
+    some = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most_rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")  # most_rows longs
     return statistics(chosen).join(F.broadcast(some), "doc_id").withColumn("bad", 1 - F.col("quality"))

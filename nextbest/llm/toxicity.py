@@ -9,10 +9,10 @@ n-grams with the word it stands for.
 
 Embeddings and softmax are trained together by gradient descent on at most
 ``MOST_LABELLED`` labelled documents of the table (those with the smallest hash of the id),
-on the driver.  Tasks turn their texts into bags of words; only the common words, the
-bags of these and a few MinHash values of each text reach the driver, no text does.  The class score is linear in the averaged embeddings, so
+in one task: tasks turn their texts into bags of distinct words, one task learns from these bags, and
+only the model (``BUCKETS`` x ``DIMENSIONS`` numbers) reaches the driver.  The class score is linear in the averaged embeddings, so
 scoring needs one number for each bucket; whole texts are scored where they lie,
-with prefix sums instead of a loop over words.
+with prefix sums instead of a loop over words.  A very long text adds its distinct words to that task, some 30 bytes each.
 
 Defined results: a null or empty text, or one without words, gets the score of
 the bias alone; without labels of both classes every score is (all but) 0.  Rows with
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +95,8 @@ class Words:
 
 
 def words_of(texts: list[bytes]) -> Words:
-    data = _FOLD[np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)]
+    # behind the last word stands room for the longest n-gram from the mark before it
+    data = _FOLD[np.frombuffer(b" " + b" ".join(texts) + b" " * (1 + max(GRAMS)), dtype=np.uint8)]
     edge = np.diff((data != 0x20).astype(np.int8))
     start, stop = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
     up, down = powers(len(data))
@@ -210,14 +212,14 @@ def minima(hashes: np.ndarray) -> list[int]:
     return [int(mix(hashes ^ np.uint64(k + 1)).min()) for k in range(COORDINATES)] if len(hashes) else []
 
 
-def unlike(signatures: list[list[int]]) -> list[int]:
+def unlike(signatures: list) -> list[int]:
     """Texts to learn from, by their ``minima``: of near copies only the first, else a large group of copies would teach its
     own words as signs of its label.  A text goes if ``MATCHES`` of the ``COORDINATES`` agree with one text that stays: at a
     similarity of 0.75 with a chance of 0.96, at 0.5 of 0.11, at 0.3 of 1e-4."""
     kept = np.zeros((len(signatures), COORDINATES), dtype=np.uint64)
     keep: list[int] = []
     for i, least in enumerate(signatures):
-        if not least:
+        if not len(least):
             continue
         one = np.array(least, dtype=np.uint64)
         if not ((kept[: len(keep)] == one).sum(axis=1) >= MATCHES).any():
@@ -293,48 +295,51 @@ def _bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "toxic", "least", "keys", "shares", "words"])
 
 
-def _common(known):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.asarray(batch.column("keys").value_lengths())
-            keys, shares = (np.asarray(batch.column(c).flatten()) for c in ("keys", "shares"))
-            words = keys.view(np.uint64)
-            at = np.minimum(np.searchsorted(known.value, words), max(len(known.value) - 1, 0))
-            use = known.value[at] == words if len(known.value) else np.zeros(len(words), bool)
-            ends = np.concatenate([[0], np.cumsum(use)])[np.concatenate([[0], np.cumsum(size)])].astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[use])) for x in (keys, shares)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "keys", "shares"])
-    return run
-
-
-def labelled_bags(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> tuple[Bags, np.ndarray]:
-    """Bags and labels of the labelled rows of ``docs`` that are not held out, at most ``most_rows``; of repeated ids, one row."""
-    spark = docs.sparkSession
+def labelled_bags(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Bags of words of the labelled rows of ``docs`` that are not held out, at most ``most_rows``; of repeated ids, one row."""
     rows = id_and_text(docs, id_col, text_col)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     some = marked.where(~held_out()).join(rows.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(
         F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most_rows)
     one = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    bags = written(one.mapInArrow(_bag, _BAGS), "toxicity-bags")
-    marks = bags.select("doc_id", "toxic", "least").toPandas().sort_values("doc_id")
-    marks = marks.iloc[unlike([np.asarray(x, np.int64).view(np.uint64).tolist() for x in marks["least"]])]
-    ids = marks["doc_id"].to_numpy()
-    bags = bags.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "doc_id long")), "doc_id", "left_semi")
-    pairs = bags.select(F.explode(F.arrays_zip("keys", "words")).alias("x")).select("x.keys", "x.words")
-    common = pairs.groupBy("keys").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("word")).where(F.col("n") >= LEAST_TEXTS).select("keys", "word").toPandas()
-    known = common["keys"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(known)
-    known, spelled = known[order], [common["word"].iloc[i].encode() for i in order]
-    got = bags.select("doc_id", "keys", "shares").mapInArrow(_common(spark.sparkContext.broadcast(known)), "doc_id long, keys array<long>, shares array<float>").toArrow()
-    got = got.sort_by("doc_id").combine_chunks()
-    keys, shares = (got.column(c).combine_chunks() for c in ("keys", "shares"))
-    row = np.searchsorted(ids, np.repeat(np.asarray(got.column("doc_id")), np.asarray(keys.value_lengths()))).astype(np.int32)
-    return joined(row, np.asarray(keys.flatten()).view(np.uint64), np.asarray(shares.flatten()), known, spelled), marks["toxic"].to_numpy()
+    return written(one.mapInArrow(_bag, _BAGS), "toxicity-bags")
+
+
+def gathered(bags: pa.Table) -> tuple[Bags, np.ndarray]:
+    """Bags of the common words and labels of the rows to learn from, in the order of their ids."""
+    ids = np.asarray(bags.column("doc_id"))
+    order = np.argsort(ids)
+    least = [np.asarray(x.values).view(np.uint64) for x in bags.column("least").take(pa.array(order))]
+    rows = bags.select(["toxic", "keys", "shares", "words"]).take(pa.array(order[unlike(least)])).combine_chunks()
+    del bags, least
+    size = np.asarray(pc.list_value_length(rows.column("keys")))
+    keys, shares = (np.asarray(pc.list_flatten(rows.column(c))) for c in ("keys", "shares"))
+    keys = keys.view(np.uint64)
+    known, first, count = np.unique(keys, return_index=True, return_counts=True)
+    common = count >= LEAST_TEXTS
+    spelled = pc.list_flatten(rows.column("words")).take(pa.array(first[common])).cast(pa.binary()).to_pylist()
+    known = known[common]
+    at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+    use = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    return joined(row[use], keys[use], shares[use], known, spelled), np.asarray(rows.column("toxic"))
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    batches = list(batches)
+    if batches:
+        model = learn(*gathered(pa.Table.from_batches(batches)))
+        parts = (model.embeddings.astype("<f4"), model.softmax.astype("<f4"), model.bias.astype("<f8"))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["embeddings", "softmax", "bias"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from the labelled rows that are not held out, at most ``most_rows``."""
-    return learn(*labelled_bags(docs, labels, most_rows, id_col, text_col))
+    """A model from the labelled rows that are not held out, at most ``most_rows``, learned in one task."""
+    bags = labelled_bags(docs, labels, most_rows, id_col, text_col)
+    got = bags.coalesce(1).mapInArrow(_learn, "embeddings binary, softmax binary, bias binary").first()
+    if got is None:
+        return learn(bags_of([]), np.zeros(0))
+    return Model(np.frombuffer(got["embeddings"], "<f4").reshape(BUCKETS, DIMENSIONS), np.frombuffer(got["softmax"], "<f4").reshape(2, DIMENSIONS), np.frombuffer(got["bias"], "<f8"))
 
 
 def _score(model):

@@ -76,6 +76,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> It
 
 def _pack(frame: pd.DataFrame) -> np.ndarray:
     x = np.stack(frame["embedding"].to_numpy()).astype(np.float64) if len(frame) else np.zeros((0, 1))
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # else the squares of tiny or huge components are lost
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -135,6 +135,24 @@ def test_scores_are_the_model_s():
         assert got == pytest.approx(1 / (1 + np.exp(-(toxicity.SCALE * mean - 0.3))), abs=1e-9)
 
 
+def test_short_texts_score_anywhere_in_a_batch():
+    """Every kind of text of 0 to 6 bytes, alone and last in a batch, scores as between longer texts."""
+    rng = np.random.default_rng(4)
+    margins = rng.normal(size=toxicity.BUCKETS)
+    for text in (bytes(x) for n in range(7) for x in __import__("itertools").product(b"a ", repeat=n)):
+        [alone] = toxicity.scores([text], margins, 0.1)
+        assert toxicity.scores([b"some words", text], margins, 0.1)[1] == pytest.approx(alone)
+        assert toxicity.scores([b"x", text, b"some more words"], margins, 0.1)[1] == pytest.approx(alone)
+    assert len(toxicity.scores([], margins, 0.1)) == 0
+    for texts_ in ([b"hello a"], [b"it is a"], [b""], [b"", b""]):
+        assert len(toxicity.scores(texts_, margins, 0.1)) == len(texts_)
+
+
+def test_a_table_without_labels_gives_a_model(spark):
+    model = toxicity.fit(empty(spark), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.scored(texts(spark, [(1, "a"), (2, "")]), model).where("score < 1e-9").count() == 2
+
+
 def test_toxicity_of_tables(spark):
     rows = toxic_texts(600, 5)
     docs = texts(spark, [(i, t) for i, (t, _) in enumerate(rows)])
@@ -166,7 +184,7 @@ def test_bags_of_tasks_are_those_of_the_texts(spark):
     rows = toxic_texts(300, 7) + [("", 0), ("É ß one idiotic", 1), ("idiotic one É", 1)]
     docs = texts(spark, [(i, t) for i, (t, _) in enumerate(rows)]).repartition(5)
     labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
-    bags, marks = toxicity.labelled_bags(docs, labels)
+    bags, marks = toxicity.gathered(toxicity.labelled_bags(docs, labels).toArrow())
     learned = [i for i in range(len(rows)) if __import__("zlib").crc32(str(i).encode()) % 5 and rows[i][0]]
     plain = toxicity.bags_of([rows[i][0].encode() for i in learned])
     assert bags.n == plain.n and marks.tolist() == [rows[i][1] for i in learned]
@@ -195,7 +213,7 @@ def test_only_near_copies_leave_the_training_rows(spark):
     docs = texts(spark, list(enumerate(rows)))
     labels = spark.createDataFrame([(i, i % 2) for i in range(len(rows))], "doc_id long, toxic int")
     learned = [i for i in range(len(rows)) if __import__("zlib").crc32(str(i).encode()) % 5]
-    _, marks = toxicity.labelled_bags(docs, labels)
+    _, marks = toxicity.gathered(toxicity.labelled_bags(docs, labels).toArrow())
     assert len(marks) == sum(i < 60 for i in learned) + 1
 
 
@@ -203,7 +221,7 @@ def test_labels_without_a_document_do_not_use_up_the_sample(spark):
     rows = toxic_texts(60, 8)
     docs = texts(spark, [(i, t) for i, (t, _) in enumerate(rows)])
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(3000)], "doc_id long, toxic int")
-    _, marks = toxicity.labelled_bags(docs, labels, most_rows=60)
+    _, marks = toxicity.gathered(toxicity.labelled_bags(docs, labels, most_rows=60).toArrow())
     assert len(marks) == sum(__import__("zlib").crc32(str(i).encode()) % 5 > 0 for i in range(60))
 
 
