@@ -118,8 +118,8 @@ class WordEncoder:
         index, runs = distinct(raw[letters], np.flatnonzero(begins[letters]))
         self._learn(self.words.lacking(set(runs)))
         got = list(map(self.words.young.__getitem__, runs))
-        edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4)])
-        ids, at = gather(index, np.frombuffer(b"".join(got), dtype="<u4"), edges)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        ids, at = gather(index, np.frombuffer(b"".join(got), dtype="<u4"), np.cumsum(size) - size, size)
         flat = ids.tobytes()
         begin = np.concatenate([[0], np.cumsum(np.fromiter((0 if i in whole else len(t) for i, t in enumerate(texts)), np.int64, len(texts)) + 1)])
         cut = (4 * at[np.searchsorted(starts, begin)]).tolist()

@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nextbest.llm import bpe, flat, licences, minhash, pack, quality, secrets, shard, toxicity, vectors
+from nextbest.llm import bpe, flat, licences, minhash, online, pack, quality, secrets, shard, toxicity, vectors
 from nextbest.session import apply_tuning, scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER, BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 SEPARATOR = 49407  # the tokenizer's end-of-document id; its string in a text is ordinary text here
 
 
@@ -87,8 +88,13 @@ def op10_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[of(k) for k in secrets.BASE], F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op13_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)"""
+    return online.packed(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, BYTE_RANKS, with_ids=False)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_separator_scan, op2_vector_near_duplicates, op3_vector_best_fit, op4_chunk_bpe, op5_licence_scan, op6_toxicity, op7_decision_list,
-    op8_minhash_lists, op9_vector_shards, op10_secret_automaton)}
+    op8_minhash_lists, op9_vector_shards, op10_secret_automaton, op13_bounded_space_packing)}
 
 ORACLES: dict[str, str] = {}

@@ -38,9 +38,9 @@ def distinct(data: bytes | np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
     return np.asarray(runs.indices), [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def gather(index: np.ndarray, ids: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gather(index: np.ndarray, ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the runs ``index``, one after the other, and where each run's begin (one more entry than runs);
-    run k has the ids from ``edges[k]`` to ``edges[k + 1]``."""
-    size = np.diff(edges)[index]
+    run k has ``size[k]`` ids from ``begin[k]`` on."""
+    size = size[index]
     stop = np.concatenate([[0], np.cumsum(size)])
-    return ids[np.arange(stop[-1]) + np.repeat(edges[index] - stop[:-1], size)], stop
+    return ids[np.arange(stop[-1]) + np.repeat(begin[index] - stop[:-1], size)], stop
