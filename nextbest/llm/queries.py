@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nextbest.llm import bpe, flat, licences, minhash, online, pack, quality, secrets, shard, toxicity, vectors
+from nextbest.llm import bpe, flat, licences, minhash, online, pack, periodic, quality, secrets, shard, toxicity, vectors
 from nextbest.session import apply_tuning, scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -88,6 +91,25 @@ def op10_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[of(k) for k in secrets.BASE], F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def respliced(doc_id: int | None, n: int) -> np.ndarray | None:
+    """One id in ten, by the checksum of its decimal digits, reads part of its words over and over from some word on."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g, i = h // 10, np.arange(n)
+    a = g % n
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256)"""
+    rows = periodic.periodic_runs(table(spark, sf_dir, "documents"), reorder=respliced)
+    rows = rows.withColumn("top", F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+                       F.expr("1000 * top.length div -top.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)"""
     return online.packed(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, BYTE_RANKS, with_ids=False)
@@ -95,6 +117,6 @@ def op13_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_separator_scan, op2_vector_near_duplicates, op3_vector_best_fit, op4_chunk_bpe, op5_licence_scan, op6_toxicity, op7_decision_list,
-    op8_minhash_lists, op9_vector_shards, op10_secret_automaton, op13_bounded_space_packing)}
+    op8_minhash_lists, op9_vector_shards, op10_secret_automaton, op11_periodic_runs, op13_bounded_space_packing)}
 
 ORACLES: dict[str, str] = {}

@@ -29,10 +29,15 @@ def classes(data: np.ndarray) -> np.ndarray:
     return kind
 
 
-def distinct(data: bytes | np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The distinct runs, and for each run that starts in ``starts`` its number among them."""
+def numbered(data: bytes | np.ndarray, starts: np.ndarray) -> pa.DictionaryArray:
+    """The runs that start in ``starts``, each up to the next, as numbers of distinct ones."""
     edges = np.append(starts, len(data)).astype(np.int64)
-    runs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+
+
+def distinct(data: bytes | np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each run its number among the distinct runs, and these."""
+    runs = numbered(data, starts)
     _, edges, flat = runs.dictionary.buffers()
     flat, edges = flat.to_pybytes() if flat else b"", np.frombuffer(edges, dtype=np.int64)[: len(runs.dictionary) + 1].tolist()
     return np.asarray(runs.indices), [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
