@@ -17,7 +17,10 @@ _INVERSE = 1.0 / PRIME
 
 def reduced(x: np.ndarray) -> np.ndarray:
     """``x`` less a multiple of the prime, in place: between -PRIME and 2 * PRIME."""
-    x -= np.floor(x * _INVERSE) * PRIME
+    parts = x * _INVERSE
+    np.floor(parts, out=parts)
+    parts *= PRIME
+    x -= parts
     return x
 
 

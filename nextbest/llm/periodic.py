@@ -45,15 +45,27 @@ def scales(longest: int, largest: int = ntt.LARGEST // 4) -> Iterator[tuple[int,
         many = 2 * block if block > 2 else 8
 
 
-def occurrences(code: np.ndarray, first: np.ndarray, stop: np.ndarray, block: int, least: int, many: int) -> tuple[np.ndarray, np.ndarray]:
+def gaps(code: np.ndarray) -> np.ndarray:
+    """How many words later each word comes again; more than there are words if it does not."""
+    order = np.argsort(code, kind="stable")
+    out = np.full(len(code), len(code) + 1, dtype=np.int64)
+    again = np.flatnonzero(code[order[1:]] == code[order[:-1]])
+    out[order[again]] = order[again + 1] - order[again]
+    return out
+
+
+def occurrences(code: np.ndarray, gap: np.ndarray, first: np.ndarray, stop: np.ndarray, block: int, least: int, many: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, distance) of blocks that occur again ``least`` to ``least + many - 1`` words later in the same text.
 
-    ``code`` numbers the words; ``first`` and ``stop`` say of each word where its text starts and stops."""
+    ``code`` numbers the words; ``first`` and ``stop`` say of each word where its text starts and stops.  A block with
+    a word that does not come again within the window (``gap``) is not there either and is left out beforehand."""
     at = np.arange(0, len(code) - block + 1, block)
-    at = at[(at + least + block <= stop[at]) & (stop[at] - first[at] >= max(LEAST_LENGTH, 2 * least))]
+    near = gap[: len(at) * block].reshape(-1, block).max(axis=1, initial=0) < least + many
+    at = at[near & (at + least + block <= stop[at]) & (stop[at] - first[at] >= max(LEAST_LENGTH, 2 * least))]
     size = 1 << (many + block - 2).bit_length()
     value = np.concatenate([code % ntt.PRIME, np.zeros(least + size, dtype=np.int64)])
     square = np.concatenate([[0], np.cumsum(value * value % ntt.PRIME)])
+    norm = (square[block:] - square[:-block]).astype(np.float64)  # of each place of a block
     value = value.astype(np.float64)
     positions, distances = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     rows = max(1, _VALUES // size)
@@ -65,8 +77,7 @@ def occurrences(code: np.ndarray, first: np.ndarray, stop: np.ndarray, block: in
         window[: len(used)] = value[j + least + used]
         products = ntt.correlate(value[j + inside], window)[:many]
         place = j + least + shift
-        sums = (square[j + block] - square[j]) + (square[np.minimum(place + block, len(square) - 1)] - square[place])
-        rest = sums - 2.0 * products
+        rest = norm[j] + norm[np.minimum(place, len(norm) - 1)] - 2.0 * products
         rest -= np.rint(rest / ntt.PRIME) * ntt.PRIME
         i, column = np.nonzero((rest == 0) & (place + block <= stop[j]))
         positions.append(j[column])
@@ -113,8 +124,9 @@ def runs_of(code: np.ndarray, edges: np.ndarray, largest: int = ntt.LARGEST // 4
     size = np.diff(edges)
     first, stop = np.repeat(edges[:-1], size), np.repeat(edges[1:], size)
     found = [np.zeros((3, 0), dtype=np.int64)]
+    gap = gaps(code)
     for block, least, many in scales(int(size.max(initial=0)) // 2, largest):
-        low, high, d = stretches(code, first, stop, block, *occurrences(code, first, stop, block, least, many))
+        low, high, d = stretches(code, first, stop, block, *occurrences(code, gap, first, stop, block, least, many))
         long = high - low >= np.maximum(LEAST_LENGTH, 2 * d)
         found.append(np.stack([low[long], high[long], d[long]]))
     low, high, d = np.concatenate(found, axis=1)
