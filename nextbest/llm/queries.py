@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nextbest.llm import bpe, flat, licences, minhash, online, pack, periodic, quality, secrets, shard, toxicity, vectors
+from nextbest.llm import bpe, flat, licences, minhash, online, pack, periodic, phrases, quality, secrets, shard, toxicity, vectors
 from nextbest.session import apply_tuning, scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -110,6 +110,35 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.expr("1000 * top.length div -top.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, rank, phrase, a, l, r, n, score)"""
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, top=2000, percent=80)
+
+
+#: The phrases again, from the words of every piece and all their sequences.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS row,
+         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(unnest(pieces), '[ \t]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT lang, k, w[i : i + k - 1] AS g FROM (
+        SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS t(k) WHERE len(w) >= k)),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g HAVING count(*) >= 30),
+c AS (SELECT f.lang, f.k, f.g, f.f AS a, x.f AS l, y.f AS r, cut, (2000000::HUGEINT * f.f) // (x.f + y.f) AS score
+      FROM f, (VALUES (1), (2), (3)) AS t(cut), f AS x, f AS y
+      WHERE cut < f.k AND x.lang = f.lang AND y.lang = f.lang AND x.g = f.g[1 : cut] AND y.g = f.g[cut + 1 : f.k]),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+s AS (SELECT lang, sub, max(f) AS f FROM (
+        SELECT lang, f, g[i : i + m - 1] AS sub FROM f, (VALUES (2), (3)) AS t(m), (VALUES (1), (2), (3)) AS u(i) WHERE m < k AND i + m - 1 <= k)
+      GROUP BY lang, sub),
+z AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN s ON s.lang = b.lang AND s.sub = b.g WHERE s.f IS NULL OR 100 * s.f < 80 * a),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+SELECT q.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM q JOIN n ON n.lang = q.lang WHERE rank <= 2000
+"""
+
+
 def op13_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)"""
     return online.packed(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, BYTE_RANKS, with_ids=False)
@@ -117,6 +146,6 @@ def op13_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_separator_scan, op2_vector_near_duplicates, op3_vector_best_fit, op4_chunk_bpe, op5_licence_scan, op6_toxicity, op7_decision_list,
-    op8_minhash_lists, op9_vector_shards, op10_secret_automaton, op11_periodic_runs, op13_bounded_space_packing)}
+    op8_minhash_lists, op9_vector_shards, op10_secret_automaton, op11_periodic_runs, op12_phrase_index, op13_bounded_space_packing)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_phrase_index": OP12_SQL}
