@@ -9,6 +9,7 @@ reversed phrase in the index of the reversed text follows along, so that phrases
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,10 +17,10 @@ import numpy as np
 
 def _ranked(order: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Dense ranks of sorted keys, from 1 on, back in place."""
-    new = np.ones(len(key), dtype=np.int64)
+    new = np.ones(len(key), dtype=np.int32)
     new[1:] = np.diff(key[order]) != 0
-    rank = np.empty(len(key), dtype=np.int64)
-    rank[order] = np.cumsum(new)
+    rank = np.empty(len(key), dtype=np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32)
     return rank
 
 
@@ -28,16 +29,18 @@ class Index:
     first suffix that begins with c."""
 
     def __init__(self, text: np.ndarray, depth: int):
-        rank, reach = text.astype(np.int64), 1
+        rank, reach = text.astype(np.int32), 1
         while reach < depth:
-            later = np.concatenate([rank[reach:], np.zeros(min(reach, len(rank)), dtype=np.int64)])[: len(rank)]
-            key = rank * (rank.max(initial=0) + 1) + later
-            order = np.argsort(key, kind="stable")
+            key = rank.astype(np.int64) * (int(rank.max(initial=0)) + 1)
+            key[: max(len(rank) - reach, 0)] += rank[reach:]
+            order = np.argsort(key, kind="stable").astype(np.int32)
             rank, reach = _ranked(order, key), 2 * reach
-        suffixes = np.argsort(rank, kind="stable")
-        self.before = text[suffixes - 1].astype(np.int64)  # 0 stands before the first suffix too, at the end of the text
-        self.step = np.empty(len(text), dtype=np.int64)
-        self.step[np.argsort(self.before, kind="stable")] = np.arange(len(text))
+        del key
+        suffixes = np.argsort(rank, kind="stable").astype(np.int32)
+        self.before = text[suffixes - 1].astype(np.int32)  # 0 stands before the first suffix too, at the end of the text
+        del rank, suffixes
+        self.step = np.empty(len(text), dtype=np.int32)
+        self.step[np.argsort(self.before, kind="stable")] = np.arange(len(text), dtype=np.int32)
         self.start = np.concatenate([[0], np.cumsum(np.bincount(text))])
 
 
@@ -55,15 +58,16 @@ class Phrases:
 def _extended(index: Index, low: np.ndarray, size: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
     """Each interval by each word before it: (interval, word, low, size, low in the other index)."""
     stop = np.cumsum(size)
-    owner = np.repeat(np.arange(len(size)), size)
-    at = np.arange(len(owner)) - np.repeat(stop - size, size) + low[owner]
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    at = np.arange(len(owner), dtype=np.int32) + np.repeat((low - stop + size).astype(np.int32), size)
     word = index.before[at]
-    width = len(index.start)
-    order = np.argsort(owner * width + word, kind="stable")
-    key = (owner * width + word)[order]
-    head = np.flatnonzero(np.diff(key, prepend=-1) != 0)
+    key = owner.astype(np.int64) * len(index.start) + word
+    order = np.argsort(key, kind="stable")
+    head = np.flatnonzero(np.diff(key[order], prepend=-1) != 0)
     many = np.diff(np.append(head, len(key)))
-    owner, word, at = owner[order[head]], word[order[head]], at[order[head]]
+    first = order[head]
+    del key, order
+    owner, word, at = owner[first], word[first], at[first]
     real = word > 0  # the phrase's other places have nothing before them
     into = head - (stop - size)[owner]
     return owner[real], word[real], index.step[at][real], many[real], (other[owner] + into)[real]
@@ -71,7 +75,13 @@ def _extended(index: Index, low: np.ndarray, size: np.ndarray, other: np.ndarray
 
 class Bidirectional:
     def __init__(self, text: np.ndarray, depth: int):
-        self.ahead, self.back = Index(text, depth), Index(text[::-1], depth)
+        self.text, self.depth = text, depth
+        self.ahead = Index(text, depth)
+
+    @functools.cached_property
+    def back(self) -> Index:
+        """The index of the reversed text, made when a phrase is first extended to the right."""
+        return Index(self.text[::-1], self.depth)
 
     def single(self) -> Phrases:
         """All words."""

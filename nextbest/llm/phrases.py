@@ -30,10 +30,13 @@ from nextbest.llm.common import texts_of, written
 from nextbest.llm.fmindex import Bidirectional
 from nextbest.llm.runs import numbered
 
-SHARD_BYTES, TASK_BYTES = 8 << 20, 48 << 20
+SHARD_BYTES, TASK_BYTES = 6 << 20, 32 << 20
 #: Letters A-Z in lower case, what ends a piece as a line end, a tab as a blank.
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _GROUPS = 64
+#: Pairs of one row, and the columns of a shard's row (its text and the numbers of its words) and its rows of pairs.
+_ROW = 1 << 16
+_PAIRS = ["shard", "ids", "word", "one", "other", "c"]
 
 
 def numbers(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -113,10 +116,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = chains(own[text], 2)
             index = Bidirectional(text, 2)
             two = index.left(index.single())
-            one, other = (word[two.words[:, k] - 1] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shard.as_py()], pa.int64()), pa.array([text.astype(np.int32).tobytes()], pa.binary()), *[pa.array([x], pa.list_(pa.int64())) for x in (word, one, other, two.size)]],
-                names=["shard", "ids", "word", "one", "other", "c"])
+            none = pa.array([None], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int64()), pa.array([text.astype(np.int32).tobytes()], pa.binary()), pa.array([word], pa.list_(pa.int64())), none, none, none], names=_PAIRS)
+            for k in range(0, len(two.size), _ROW):
+                one, other = (word[two.words[k : k + _ROW, c] - 1] for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int64()), pa.array([None], pa.binary()), none, *[pa.array([x], pa.list_(pa.int64())) for x in (one, other, two.size[k : k + _ROW])]], names=_PAIRS)
 
 
 def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +160,16 @@ def frequencies(docs: DataFrame, least: int, lang_col: str = "lang", text_col: s
     marks = marks.select("shard", F.col("x.at").alias("at"), F.col("x.w").alias("word"))  # a row for each shard, of its own words
     pairs = shards.select("shard", "ids").join(marks, "shard").mapInArrow(_pairs, "shard long, ids binary, word array<long>, one array<long>, other array<long>, c array<long>")
     pairs = written(pairs, "phrase-pairs")
-    each = pairs.select("shard", F.explode(F.arrays_zip("one", "other", "c")).alias("x")).select(
+    each = pairs.where("ids IS NULL").select("shard", F.explode(F.arrays_zip("one", "other", "c")).alias("x")).select(
         "shard", F.col("x.one").alias("w1"), F.col("x.other").alias("w2"), F.col("x.c").alias("c"))
-    twos = written(each.groupBy("w1", "w2").agg(F.sum("c").alias("f")).where(F.col("f") >= least), "phrase-twos")
-    marks = each.join(twos.select("w1", "w2"), ["w1", "w2"]).groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("x"))
+    # a pair has one row of each shard that holds it, so one shuffle sums its counts and tells every shard
+    same = Window.partitionBy("w1", "w2")
+    often = each.withColumn("f", F.sum("c").over(same)).withColumn("head", F.min("shard").over(same)).where(F.col("f") >= least)
+    often = written(often.select("w1", "w2", "shard", "f", (F.col("shard") == F.col("head")).alias("head")), "phrase-twos")
+    twos = often.where("head").select("w1", "w2", "f")
+    marks = often.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("x"))
     marks = marks.select("shard", F.col("x.w1").alias("one"), F.col("x.w2").alias("other"))
-    more = pairs.select("shard", "ids", "word").join(marks, "shard").mapInArrow(_longer, "w1 long, w2 long, w3 long, w4 long, c long")
+    more = pairs.where("ids IS NOT NULL").select("shard", "ids", "word").join(marks, "shard").mapInArrow(_longer, "w1 long, w2 long, w3 long, w4 long, c long")
     more = more.groupBy("w1", "w2", "w3", "w4").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     key = F.filter(F.array("w1", "w2", "w3", "w4"), lambda x: x.isNotNull()).alias("key")
     counts = words.select(F.array("w").alias("key"), "f").unionByName(twos.select(F.array("w1", "w2").alias("key"), "f")).unionByName(more.select(key, "f"))
