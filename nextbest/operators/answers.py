@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from nextbest import constants as C
 from nextbest.functions import scalars as X
 from nextbest.operators import signals as S
+from nextbest.sources.published import rows_of
 
 _GIVEN = ["travel", "dining", "groceries", "rent", "shopping"]
 
@@ -109,6 +110,12 @@ def lookup_customers(requests: DataFrame, features: DataFrame, answers: DataFram
                       F.coalesce(F.col("recommendations"), F.lit(0)).cast("bigint").alias("recommendations"))
 
 
+def lookup_published(requests: DataFrame, features: DataFrame, answers: DataFrame) -> DataFrame:
+    """``lookup_customers`` over published tables that are partitioned by the prefix of ``customer_id``: rows of other
+    customers are left out before anything is counted, and their partitions are not read."""
+    return lookup_customers(requests, rows_of(features, requests, "customer_id"), rows_of(answers, requests, "customer_id"))
+
+
 def existing_customer_documents(features: DataFrame, answers: DataFrame) -> DataFrame:
     """Nested answer document per customer (profile, spending, current
     products, ordered recommendations) and its JSON text."""

@@ -268,6 +268,25 @@ def q_batch_lookup(m):
     return A.lookup_customers(requests, m.gold_customer_features, _existing(m))
 
 
+_ASKED_SQL = """SELECT customer_id FROM silver_customers WHERE customer_id LIKE '%77'
+UNION SELECT replace(customer_id, 'C_', 'X_') FROM silver_customers WHERE customer_id LIKE '%77'"""
+
+
+@query("pruned_lookup", ans(f"""
+SELECT r.customer_id,
+       CASE WHEN k.customer_id IS NULL THEN 'customer_not_found'
+            WHEN c.n IS NULL THEN 'no_recommendations' ELSE 'ok' END AS status,
+       CAST(COALESCE(c.n, 0) AS BIGINT) AS recommendations
+FROM ({_ASKED_SQL}) r
+LEFT JOIN (SELECT DISTINCT customer_id FROM gold_customer_features) k ON k.customer_id = r.customer_id
+LEFT JOIN (SELECT customer_id, COUNT(*) AS n FROM o_existing GROUP BY customer_id) c ON c.customer_id = r.customer_id"""))
+def q_pruned_lookup(m):
+    """A hundredth of the customers, and as many ids that nobody has, looked up in the published tables."""
+    some = m.silver_customers.where(F.col("customer_id").like("%77")).select("customer_id")
+    requests = some.unionByName(some.select(F.replace("customer_id", F.lit("C_"), F.lit("X_")).alias("customer_id")))
+    return A.lookup_published(requests, m.published_features, m.published_answers)
+
+
 _REC_STRUCT = "{'rank': rank, 'product': product, 'emoji': emoji, 'score': score, 'type': type, 'reason': reason}"
 _LABELS = "list_filter([" + ", ".join(
     f"CASE WHEN {fl} = 1 THEN {_q(C.PRODUCT_EMOJIS[n] + ' ' + n.replace('_', ' ').title())} END"

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from nextbest.operators import gold, signals, silver
 from nextbest.session import remove_path, scratch_path
 from nextbest.sources import bindings, catalog, sinks
+from nextbest.sources.published import PublishedTable
 
 
 class Models:
@@ -130,6 +131,24 @@ class Models:
         """Dense customer ids, computed once and written: several frames refer to them."""
         return self.written("customer_index", lambda: signals.dense_index(self.gold_user_item_matrix, "customer_id"))
 
+    @cached_property
+    def published_features(self) -> DataFrame:
+        """Customer features, partitioned by the prefix of the id for lookups."""
+        return self.published("published_features", self.gold_customer_features)
+
+    @cached_property
+    def published_answers(self) -> DataFrame:
+        """Answer rows on the deterministic collaborative stand-in, partitioned by the prefix of the id for lookups."""
+        from nextbest.operators import answers
+
+        return self.published("published_answers", answers.existing_customer_recs(
+            self.gold_customer_features, self.checked_hybrid_recommendations, self.gold_product_affinity))
+
+    def published(self, name: str, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        self._paths.append(path)
+        return PublishedTable(self.spark, path).replace(df, prefix_of="customer_id")
+
     def written(self, name: str, build, bucket_by: str | None = None) -> DataFrame:
         """Build a model once as a parquet table in the shared checkpoint
         folder and read it back: later references scan the table (and a lost

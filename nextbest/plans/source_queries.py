@@ -17,7 +17,7 @@ from nextbest.plans.oracles import with_prelude
 from nextbest.plans.registry import query
 from nextbest.plans.signal_queries import SIGNAL_CTES
 from nextbest.session import scratch_path
-from nextbest.sources import catalog, dims, sinks
+from nextbest.sources import catalog, dims, published, sinks
 
 
 @query("csv_roundtrip", with_prelude(select="SELECT * FROM bronze_transactions"))
@@ -37,10 +37,11 @@ def q_csv_roundtrip(m):
            for c in _FEATURE_COLS)
        + " FROM gold_customer_features"))
 def q_scan_table(m):
-    """gold_customer_features rebuilt as a table, then ``SELECT *`` from it."""
+    """gold_customer_features rebuilt as a table, declared as GOLD.CUSTOMER_FEATURES, then ``SELECT *`` from it by name."""
     path = scratch_path(m.spark, "gold_customer_features")
     sinks.write_parquet(m.gold_customer_features, path)
-    return without_stamp(catalog.read_table(m.spark, path))
+    published.declare(m.spark, "GOLD.CUSTOMER_FEATURES", path, m.gold_customer_features.schema)
+    return without_stamp(catalog.read_table(m.spark, "GOLD.CUSTOMER_FEATURES"))
 
 
 @query("bronze_row_counts", with_prelude(select=" UNION ALL ".join(
@@ -49,7 +50,7 @@ def q_scan_table(m):
 def q_bronze_row_counts(m):
     """Bronze sources resolved by name through the declared source catalog."""
     spark = m.spark
-    catalog.register_bronze(spark, m.sf_dir, prefix="bronze_")
+    catalog.register(m.bronze, prefix="bronze_")
     parts = [spark.table(f"bronze_{t}").agg(F.count(F.lit(1)).alias("row_count"))
              .select(F.lit(t).alias("table_name"), "row_count") for t in catalog.BRONZE_TABLES]
     out = parts[0]

@@ -41,9 +41,10 @@ def read_bronze_csv(spark: SparkSession, directory: str, table: str, bad_rows: s
             .option("quote", '"').option("escape", '"').schema(schema).csv(f"{base}.csv" if store.exists(path) else base))
 
 
-def read_table(spark: SparkSession, location: str, fmt: str = "parquet") -> DataFrame:
-    """``SELECT * FROM table``: a lazy scan; Catalyst prunes columns later."""
-    return spark.read.format(fmt).load(location)
+def read_table(spark: SparkSession, table: str, fmt: str = "parquet") -> DataFrame:
+    """``SELECT * FROM SCHEMA.TABLE`` of a declared table (``published.declare``), or the table at a path: a lazy scan;
+    Catalyst prunes columns later."""
+    return spark.read.format(fmt).load(table) if "/" in table else spark.table(table)
 
 
 def bronze_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -56,9 +57,14 @@ def bronze_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def register(frames: dict[str, DataFrame], prefix: str = "bronze_") -> None:
+    """Name each source: one temp view per declared source."""
+    for name, df in frames.items():
+        df.createOrReplaceTempView(f"{prefix}{name}")
+
+
 def register_bronze(spark: SparkSession, sf_dir: str, prefix: str = "bronze_") -> dict[str, DataFrame]:
     """Resolve bronze tables by name: one temp view per declared source."""
     frames = bronze_frames(spark, sf_dir)
-    for name, df in frames.items():
-        df.createOrReplaceTempView(f"{prefix}{name}")
+    register(frames, prefix)
     return frames

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nextbest.session import scratch_path
+from nextbest.sources.published import PublishedTable
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -68,8 +69,6 @@ def publish_layout(recs: DataFrame) -> DataFrame:
 
 
 def publish_hybrid(recs: DataFrame, path: str | None = None) -> DataFrame:
-    """CREATE OR REPLACE the published table and bulk-load the final recs."""
+    """CREATE OR REPLACE the published table with the final recs: readers see the rows before or all new ones."""
     spark = recs.sparkSession
-    target = path or scratch_path(spark, "hybrid_recommendations")
-    write_parquet(publish_layout(recs), target)
-    return spark.read.parquet(target)
+    return PublishedTable(spark, path or scratch_path(spark, "hybrid_recommendations")).replace(publish_layout(recs))

@@ -66,8 +66,8 @@ def test_building_frames_starts_no_job(spark):
                 started.add(name)
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
-    # these three are about writing tables and reading them back
-    assert started <= {"csv_roundtrip", "gold_roundtrip", "ref_chain"}
+    # these are about writing tables and reading them back
+    assert started <= {"csv_roundtrip", "gold_roundtrip", "ref_chain", "scan_table"}
 
 
 def test_suites_read_each_model_once(spark):
@@ -83,3 +83,26 @@ def test_no_python_udfs_in_headline_plans(spark):
     for name in ("gold_customer_features", "hybrid_top3", "existing_customer_recs", "new_customer_recs"):
         plan = plan_of(qs[name](spark, SF_SMALL))
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_lookups_read_only_the_partitions_asked_for(spark, tmp_path):
+    from nextbest.sources.published import PREFIX, PublishedTable, key_prefix, rows_of
+
+    people = spark.range(4000).selectExpr("concat('C_', id) AS customer_id", "id AS v")
+    table = PublishedTable(spark, f"{tmp_path}/people").replace(people, prefix_of="customer_id", prefixes=64)
+    requests = spark.createDataFrame([("C_7",), ("C_7",), ("C_99",), ("nobody",), (None,)], "customer_id string")
+    found = rows_of(table, requests, "customer_id", prefixes=64)
+    assert "dynamicpruning" in plan_of(found)
+    assert {r.v for r in found.collect()} == {7, 99}
+    metrics = []
+
+    def scans(plan):
+        if "Scan parquet" in plan.nodeName() and plan.metrics().contains("numPartitions"):
+            metrics.append(plan.metrics().apply("numPartitions").value())
+        for k in range(plan.children().size()):
+            scans(plan.children().apply(k))
+
+    scans(found._jdf.queryExecution().executedPlan().executedPlan() if hasattr(found._jdf.queryExecution().executedPlan(), "executedPlan") else found._jdf.queryExecution().executedPlan())
+    asked = requests.where("customer_id IS NOT NULL").select(key_prefix("customer_id", 64).alias(PREFIX)).distinct().count()
+    assert asked <= 3 and table.select(PREFIX).distinct().count() == 64
+    assert not metrics or max(metrics) <= asked

@@ -83,3 +83,50 @@ def test_a_cluster_must_name_its_checkpoint_folder(monkeypatch):
 
     with pytest.raises(ValueError):
         session.checkpoint_dir(Session())
+
+
+def test_a_failed_publish_leaves_the_rows_before_it(spark, tmp_path):
+    from nextbest.sources.published import PublishedTable
+
+    table = PublishedTable(spark, f"{tmp_path}/recs")
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    assert table.replace(spark.range(10)).count() == 10
+    # half of the tasks write their rows, then one fails
+    broken = spark.range(0, 1000, 1, 8).select(F.when(F.col("id") == 900, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        table.replace(broken)
+    assert table.read().count() == 10 and len(table.versions()) == 1
+    planned = table.read()
+    assert table.replace(spark.range(25)).count() == 25 and planned.count() == 10
+    table.replace(spark.range(3))
+    assert len(table.versions()) == 2 and table.read().count() == 3
+
+
+def test_pointers_that_are_not_complete_do_not_count(spark, tmp_path):
+    from nextbest.sources.published import PublishedTable
+
+    table = PublishedTable(spark, f"{tmp_path}/t")
+    table.replace(spark.range(4))
+    (tmp_path / "t" / "_pointers" / f"{2:020d}").write_text("")
+    (tmp_path / "t" / "_pointers" / f"{3:020d}").write_text("v-half")
+    assert table.read().count() == 4
+    assert table.replace(spark.range(5)).count() == 5
+
+
+def test_tables_by_name_hold_what_is_declared(spark, tmp_path):
+    from nextbest.sources.published import SchemaMismatch, declare
+
+    spark.range(5).selectExpr("id", "cast(id AS string) AS name").write.parquet(f"{tmp_path}/a")
+    frame = spark.read.parquet(f"{tmp_path}/a")
+    declare(spark, "GOLD.PEOPLE", f"{tmp_path}/a", frame.schema)
+    assert catalog.read_table(spark, "gold.people").count() == 5
+    for wrong in (frame.selectExpr("cast(id AS int) AS id").schema, frame.selectExpr("id AS other").schema):
+        with pytest.raises(SchemaMismatch):
+            declare(spark, "GOLD.PEOPLE", f"{tmp_path}/a", wrong)
+    with pytest.raises(ValueError):
+        declare(spark, "PEOPLE", f"{tmp_path}/a", frame.schema)
+    frame.unionByName(frame).write.parquet(f"{tmp_path}/b")
+    declare(spark, "GOLD.PEOPLE", f"{tmp_path}/b", frame.schema)
+    assert catalog.read_table(spark, "GOLD.PEOPLE").count() == 10 and frame.count() == 5
+    spark.sql("DROP DATABASE gold CASCADE")
