@@ -300,6 +300,66 @@ def decode_recommendations(recs: DataFrame, customer_index: DataFrame) -> DataFr
             .select("customer_id", "product_name", round_half_up(F.col("rating").cast("double"), 4).alias("als_score")))
 
 
+#: Item factors up to this many numbers go into the plan as literals.
+MOST_FACTORS = 4096
+
+
+def item_factors(model) -> dict[int, list[float]] | None:
+    """The factors of every item, or None where they are more numbers than ``MOST_FACTORS``."""
+    room = MOST_FACTORS // model.rank
+    rows = model.itemFactors.limit(room + 1).collect()
+    return None if len(rows) > room else {r["id"]: list(r["features"]) for r in sorted(rows, key=lambda r: r["id"])}
+
+
+def _vector(values) -> Column:
+    return F.array(*[F.lit(float(v)).cast("float") for v in values])
+
+
+def _dot(one: Column, two: Column, kind: str = "float") -> Column:
+    return F.aggregate(F.zip_with(one, two, lambda x, y: x.cast(kind) * y.cast(kind)), F.lit(0.0).cast(kind), lambda total, x: total + x)
+
+
+def als_top_items(model, k: int = C.TOP_K) -> DataFrame:
+    """(user_id, recommendations): the k best items of every user, as the library's ``recommendForAllUsers`` gives them.
+
+    With few items their factors are literals: a user's scores are computed inside its row, so users are neither
+    shuffled nor paired with blocks of items.  Ties go to the smaller item.  Beyond ``MOST_FACTORS`` the library does it."""
+    factors = item_factors(model)
+    if factors is None:
+        return model.recommendForAllUsers(k)
+    scores = F.array(*[F.struct(_dot(F.col("features"), _vector(f)).alias("rating"), F.lit(-i).alias("behind")) for i, f in factors.items()])
+    best = F.slice(F.sort_array(scores, asc=False), 1, k)
+    return model.userFactors.select(F.col("id").alias("user_id"), F.transform(
+        best, lambda s: F.struct((-s["behind"]).cast("int").alias("item_id"), s["rating"].alias("rating"))).alias("recommendations"))
+
+
+def als_residuals(model, train: DataFrame, reg: float = C.ALS_REG_PARAM, alpha: float = 1.0) -> DataFrame:
+    """(user_id, residual): how far each user's factors are from solving the normal equations of the implicit model.
+
+    For a user with the items ``O`` of rating r and all item factors Y, the last half-step of the fit solves
+    (Y'Y + sum over O of c y y' + reg |O| I) x = sum over O of (1 + c) y with c = alpha |r|.  The residual is the largest
+    component of the difference of both sides.  One aggregate by user gathers its ratings, at most one an item."""
+    factors = item_factors(model)
+    if factors is None:
+        raise ValueError("the check needs the item factors as literals")
+    rank = model.rank
+    gram = [[sum(f[a] * f[b] for f in factors.values()) for b in range(rank)] for a in range(rank)]
+    by_item = F.create_map(*[x for i, f in factors.items() for x in (F.lit(i), F.array(*[F.lit(float(v)) for v in f]))])
+    owned = train.where("rating > 0").groupBy("user_id").agg(F.collect_list(F.struct("item_id", F.col("rating").cast("double").alias("rating"))).alias("owned"))
+    rows = owned.join(model.userFactors.select(F.col("id").alias("user_id"), F.col("features").cast("array<double>").alias("x")), "user_id")
+    rows = rows.withColumn("owned", F.transform("owned", lambda o: F.struct((o["rating"] * alpha).alias("c"), F.element_at(by_item, o["item_id"]).alias("y"))))
+    rows = rows.withColumn("owned", F.transform("owned", lambda o: F.struct((o["c"] * _dot(o["y"], F.col("x"), "double") - (1 + o["c"])).alias("weight"), o["y"].alias("y"))))
+    def own_part(a: int) -> Column:
+        return F.aggregate("owned", F.lit(0.0), lambda total, o: total + o["weight"] * o["y"][a])
+
+    parts = []
+    for a in range(rank):
+        own = own_part(a)
+        whole = _dot(F.array(*[F.lit(float(v)) for v in gram[a]]), F.col("x"), "double")
+        parts.append(F.abs(whole + own + F.lit(float(reg)) * F.size("owned") * F.col("x")[a]))
+    return rows.select("user_id", F.array_max(F.array(*parts)).alias("residual"))
+
+
 def als_recommendations(matrix: DataFrame, customer_index: DataFrame, k: int = C.TOP_K,
                         user_blocks: int = 10, item_blocks: int = 10) -> DataFrame:
     """Implicit ALS over owned pairs (train split), top k per trained user.
@@ -308,4 +368,4 @@ def als_recommendations(matrix: DataFrame, customer_index: DataFrame, k: int = C
     train = pairs.where(split_flag()).select("user_id", "item_id", "rating").persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_als(train, user_blocks, item_blocks)
     train.unpersist()
-    return decode_recommendations(model.recommendForAllUsers(k), customer_index)
+    return decode_recommendations(als_top_items(model, k), customer_index)

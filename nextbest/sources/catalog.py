@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from nextbest.sources import bindings, dims
+from nextbest.sources import bindings, dims, splitcsv
 
 # Explicit bronze schemas: raw text columns, no inference (inference is a full
 # extra pass over the files and guesses types per file).
@@ -28,7 +28,7 @@ def read_bronze_csv(spark: SparkSession, directory: str, table: str, bad_rows: s
     """CSV scan with a header line and the declared bronze schema: a file
     ``<table>.csv`` or a folder ``<table>`` of files.
 
-    Fields may be quoted, hold doubled quotes, separators and line breaks.
+    Fields may be quoted, hold doubled quotes, separators and line breaks; files are read in splits (``splitcsv``).
     Rows that do not fit the schema are errors; ``bad_rows="PERMISSIVE"`` keeps
     them, with the text of the row in ``_corrupt_record``."""
     base = f"{directory.rstrip('/')}/{table}"
@@ -37,8 +37,7 @@ def read_bronze_csv(spark: SparkSession, directory: str, table: str, bad_rows: s
     schema = BRONZE_SCHEMAS[table]
     if bad_rows == "PERMISSIVE":
         schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", _TEXT)])
-    return (spark.read.option("header", True).option("mode", bad_rows).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').schema(schema).csv(f"{base}.csv" if store.exists(path) else base))
+    return splitcsv.read_csv(spark, f"{base}.csv" if store.exists(path) else base, schema, bad_rows)
 
 
 def read_table(spark: SparkSession, table: str, fmt: str = "parquet") -> DataFrame:

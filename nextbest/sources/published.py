@@ -102,10 +102,13 @@ def key_prefix(key: str, prefixes: int = PREFIXES) -> Column:
 
 
 def rows_of(table: DataFrame, asked: DataFrame, key: str, prefixes: int = PREFIXES) -> DataFrame:
-    """The rows of a table partitioned by ``key``'s prefix whose key is asked for.  Where the asked keys are few enough to
-    be broadcast, only the partitions of their prefixes are read (dynamic partition pruning)."""
-    keys = asked.select(key).where(F.length(key) > 0).distinct().withColumn(PREFIX, key_prefix(key, prefixes))
-    return table.join(keys, [PREFIX, key], "left_semi").drop(PREFIX)
+    """The rows of a table partitioned by ``key``'s prefix whose key is asked for.
+
+    The prefixes that occur among the asked keys, at most ``prefixes`` numbers, are read when the frame is made, so that
+    the scan opens only their partitions, however the join is run."""
+    keys = asked.select(key).where(F.col(key).isNotNull()).distinct().withColumn(PREFIX, key_prefix(key, prefixes))
+    some = sorted(r[PREFIX] for r in keys.select(PREFIX).distinct().collect())
+    return table.where(F.col(PREFIX).isin(some)).join(keys, [PREFIX, key], "left_semi").drop(PREFIX)
 
 
 # -- tables by name ------------------------------------------------------------
