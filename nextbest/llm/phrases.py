@@ -30,7 +30,7 @@ from nextbest.llm.common import texts_of, written
 from nextbest.llm.fmindex import Bidirectional
 from nextbest.llm.runs import numbered
 
-SHARD_BYTES, TASK_BYTES = 6 << 20, 32 << 20
+SHARD_BYTES, TASK_BYTES = 3 << 20, 16 << 20
 #: Letters A-Z in lower case, what ends a piece as a line end, a tab as a blank.
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _GROUPS = 64
