@@ -3,7 +3,7 @@
 The tokenizer's pattern takes contractions, runs of letters, digits and marks, each with one space before it, and
 runs of white space but for the last one before a word.  Texts are cut where these pieces certainly end, the distinct
 runs are encoded in one call of ``tiktoken`` over the same vocabulary (its ids are those of the ``tokenizers``
-library, which tests compare over all characters), and the ids of the texts are gathered from them.
+library: compared over all characters, and by tests on random texts), and the ids of the texts are gathered from them.
 
 Texts that the library itself encodes: those that hold a special token's string, white space outside ASCII, or
 bytes that are not UTF-8.
