@@ -57,19 +57,17 @@ def current_products(features: DataFrame) -> DataFrame:
 
 
 def existing_customer_recs(features: DataFrame, recs: DataFrame, affinity: DataFrame,
-                           k: int = C.TOP_K) -> DataFrame:
+                           k: int = C.TOP_K, pairs: int | None = None) -> DataFrame:
     """Flat answer rows: up to k recs per customer with rank, display name,
     emoji, score (percent, 1 dp), type and reason.
 
     ``recs`` is the published hybrid table; the features join is on
-    customer_id (both sides keyed by it), the affinity rate lookup is a small
-    (segment, product) dimension."""
+    customer_id (both sides keyed by it), the affinity rates are looked up by
+    ``signals.with_rates``; ``pairs`` is their number, if known."""
     ranked = recs.where(F.col("rank") <= k) if "rank" in recs.columns else S.top_k(recs, "hybrid_score", k)
     cust = features.select("customer_id", F.col("segment").alias("customer_segment"), "num_products",
                            *C.SHARE_COLUMNS)
-    rates = affinity.select(F.col("segment").alias("customer_segment"), "product_name",
-                            F.col("conversion_rate").alias("affinity_rate"))
-    j = ranked.join(cust, "customer_id", "inner").join(rates, ["customer_segment", "product_name"], "left")
+    j = S.with_rates(ranked.join(cust, "customer_id", "inner"), affinity, pairs, "customer_segment")
     score = X.percent_number("hybrid_score")
     shares = {c: F.col(c) for c in C.SHARE_COLUMNS}
     return j.select(
@@ -84,13 +82,11 @@ def existing_customer_recs(features: DataFrame, recs: DataFrame, affinity: DataF
                            "affinity_score_norm", "affinity_rate").alias("reason"))
 
 
-def signal_reasons(recs: DataFrame, features: DataFrame, affinity: DataFrame) -> DataFrame:
+def signal_reasons(recs: DataFrame, features: DataFrame, affinity: DataFrame, pairs: int | None = None) -> DataFrame:
     """The signal-dominance reason of every recommendation (the sentence used
     for products without a product template)."""
     cust = features.select("customer_id", F.col("segment").alias("customer_segment"))
-    rates = affinity.select(F.col("segment").alias("customer_segment"), "product_name",
-                            F.col("conversion_rate").alias("affinity_rate"))
-    j = recs.join(cust, "customer_id", "left").join(rates, ["customer_segment", "product_name"], "left")
+    j = S.with_rates(recs.join(cust, "customer_id", "left"), affinity, pairs, "customer_segment")
     reason = X.signal_reason("customer_segment", "als_score_norm", "cb_score_norm", "affinity_score_norm", "affinity_rate")
     return j.select("customer_id", "product_name", reason.alias("reason"))
 

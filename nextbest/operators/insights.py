@@ -74,34 +74,64 @@ def histogram(weights: DataFrame, col: str, bins: int = 8) -> DataFrame:
             .orderBy("bin"))
 
 
+def ranged_weights(df: DataFrame, value: str, by: str) -> DataFrame:
+    """(by, value, weight, part): ``value_weights`` in ranges of (by, value).  To be written: the parts must not change
+    between two reads."""
+    x = F.col(value).cast("double").alias(value)
+    return value_weights(df.where(F.col(by).isNotNull()).select(by, x), value, by).repartitionByRange(by, value).withColumn("part", F.spark_partition_id())
+
+
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
-    """Box-plot numbers per group: quartiles (linear interpolation), whiskers
-    at the furthest points within 1.5 IQR, and the outlier count.
-
-    Rows are counted by value first; ranks are running sums over the distinct
-    values of a group (a sorted window that spills), so no group's values are
-    held in memory and the input is read once."""
-    weights = value_weights(df.where(F.col(by).isNotNull()).select(by, F.col(value).cast("double").alias("_x")), "_x", by)
-    group = Window.partitionBy(by)
-    before = group.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = weights.select(by, "_x", "weight", F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("_before"),
-                            F.sum("weight").over(group).alias("_total"))
-
-    def at(rank):
-        here = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("weight"))
-        return F.max(F.when(here, F.col("_x"))).over(group)
-
-    def quantile(q: float):
-        place = (F.col("_total") - 1) * q
-        return at(F.floor(place)) + (place - F.floor(place)) * (at(F.ceil(place)) - at(F.floor(place)))
-
-    q = ranked.select(by, "_x", "weight", quantile(0.25).alias("q1"), quantile(0.5).alias("median"), quantile(0.75).alias("q3"))
+    """Box-plot numbers per group of ``df``; see ``box_of``."""
+    return box_of(ranged_weights(df, value, by).checkpoint(), value, by)
+
+
+def box_of(ranged: DataFrame, value: str, by: str) -> DataFrame:
+    """Box-plot numbers per group from written ``ranged_weights``: quartiles (linear interpolation), whiskers at the
+    furthest points within 1.5 IQR, and the outlier count.
+
+    A rank is looked for in two steps.  The totals of a group's parts, one number a part, tell which part holds it;
+    only those parts are sorted, each by itself.  So a group with most rows, or with all values different, is never
+    in one task."""
+    totals = ranged.groupBy(by, "part").agg(F.sum("weight").alias("weight"))
+    groups = totals.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("part", "weight"))).alias("parts"), F.sum("weight").alias("total"))
+    quarters = (0.25, 0.5, 0.75)
+
+    def place(q: float):
+        return (F.col("total") - 1) * q
+
+    def found(rank):
+        """The part that holds a rank, and how many rows of the group lie before that part."""
+        nowhere = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("bigint").alias("before"))
+        return F.aggregate("parts", nowhere, lambda at, p: F.struct(
+            (at["seen"] + p["weight"]).alias("seen"),
+            F.when(at["part"].isNull() & (rank < at["seen"] + p["weight"]), p["part"]).otherwise(at["part"]).alias("part"),
+            F.when(at["part"].isNull() & (rank < at["seen"] + p["weight"]), at["seen"]).otherwise(at["before"]).alias("before")))
+
+    ranks = [f(place(q)).cast("bigint") for q in quarters for f in (F.floor, F.ceil)]
+    asked = groups.select(by, "total", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), r.alias("rank"), found(r).alias("at")) for i, r in enumerate(ranks)])).alias("x"))
+    asked = asked.groupBy(by, F.col("x.at.part").alias("part")).agg(
+        F.max("total").alias("total"), F.collect_list(F.struct("x.i", (F.col("x.rank") - F.col("x.at.before")).alias("rank"))).alias("asked"))
+    inside = ranged.join(asked, [by, "part"])
+    before = F.coalesce(F.sum("weight").over(Window.partitionBy(by, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hits = inside.withColumn("_before", before).withColumn(
+        "hit", F.explode(F.filter("asked", lambda r: (F.col("_before") <= r["rank"]) & (r["rank"] < F.col("_before") + F.col("weight")))))
+    at = hits.groupBy(by).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("hit.i") == i, F.col(value))).alias(f"_{i}") for i in range(len(ranks))])
+
+    def quantile(k: int):
+        low, high = F.col(f"_{2 * k}"), F.col(f"_{2 * k + 1}")
+        return low + (place(quarters[k]) - F.floor(place(quarters[k]))) * (high - low)
+
+    box = at.select(by, *[quantile(k).alias(n) for k, n in enumerate(("q1", "median", "q3"))])
+    # back to the rows by part, so that the group alone is no join key of theirs
+    by_part = box.join(groups.select(by, "parts"), by).select(by, "q1", "median", "q3", F.explode("parts.part").alias("part"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = (F.col("_x") >= F.col("q1") - reach) & (F.col("_x") <= F.col("q3") + reach)
-    return (q.groupBy(by, "q1", "median", "q3")
-            .agg(F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
-                 F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
-                 F.sum(F.when(inside, 0).otherwise(F.col("weight"))).cast("bigint").alias("outliers"))
+    near = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
+    return (ranged.join(by_part, [by, "part"]).groupBy(by, "q1", "median", "q3")
+            .agg(F.min(F.when(near, F.col(value))).alias("whisker_low"),
+                 F.max(F.when(near, F.col(value))).alias("whisker_high"),
+                 F.sum(F.when(near, 0).otherwise(F.col("weight"))).cast("bigint").alias("outliers"))
             .orderBy(by))
 
 

@@ -116,19 +116,25 @@ def content_recommendations(features: DataFrame, k: int = C.TOP_K) -> DataFrame:
 # ---------------------------------------------------------------------------
 # collaborative stand-in (deterministic, SQL-checkable)
 # ---------------------------------------------------------------------------
-def segment_popularity_signal(features: DataFrame, affinity: DataFrame, k: int = C.TOP_K) -> DataFrame:
+def segment_popularity_signal(features: DataFrame, affinity: DataFrame, k: int = C.TOP_K, pairs: int | None = None) -> DataFrame:
     """Stand-in for the collaborative signal, used where results must be
     checked exactly: per customer the k products most adopted in its segment
     (ties: product name), score = adopters / segment size rounded to 4 dp.
-    Like ALS output it does not exclude owned products."""
+    Like ALS output it does not exclude owned products.  Lists of segments reach
+    the customers as rates do (``with_rates``)."""
     w = Window.partitionBy("segment").orderBy(F.col("customers_with_product").desc(), F.col("product_name"))
     top = (affinity.select("segment", "product_name", "customers_with_product", "total_customers")
            .withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
            .select("segment", "product_name",
                    round_half_up(F.col("customers_with_product") / F.col("total_customers"), 4).alias("als_score")))
-    # k rows per segment: no hint, the side's size at run time picks the join
-    return (features.select("customer_id", "segment").join(top, "segment", "inner")
-            .select("customer_id", "product_name", "als_score"))
+    top = top.where(F.col("segment").isNotNull())
+    customers = features.select("customer_id", "segment")
+    if pairs is not None and pairs <= MOST_RATES:
+        lists = top.groupBy("segment").agg(F.collect_list(F.struct("product_name", "als_score")).alias("items"))
+        by_segment = lists.select(F.map_from_entries(F.collect_list(F.struct("segment", "items")))).scalar()
+        return customers.select("customer_id", F.explode(F.try_element_at(by_segment, F.col("segment"))).alias("item")).select("customer_id", "item.*")
+    customers = customers.withColumn("_salt", _salt())
+    return customers.join(_salted(top), ["segment", "_salt"]).select("customer_id", "product_name", "als_score")
 
 
 # ---------------------------------------------------------------------------
@@ -158,17 +164,47 @@ def merge_signals(als: DataFrame, cb: DataFrame) -> DataFrame:
             .agg(F.max("als_score").alias("als_score"), F.max("cb_score").alias("cb_score")))
 
 
-def attach_context(merged: DataFrame, features: DataFrame, affinity: DataFrame) -> DataFrame:
+#: Rates of so many pairs at most are looked up inside the row; more are joined with a salt.
+MOST_RATES, RATE_SALTS = 400, 32
+
+
+def _pair_key(segment: str) -> Column:
+    """A (segment, product) pair as one string, NULL if a part is; the length keeps different pairs apart."""
+    return F.concat(F.length(segment).cast("string"), F.lit(":"), F.col(segment), F.col("product_name"))
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("customer_id"), F.lit(RATE_SALTS)).cast("int")
+
+
+def _salted(few: DataFrame) -> DataFrame:
+    return few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(RATE_SALTS - 1))))
+
+
+def with_rates(rows: DataFrame, affinity: DataFrame, pairs: int | None, segment: str = "segment") -> DataFrame:
+    """``rows`` with the ``affinity_rate`` of their (segment, product), NULL where there is none; one row of ``affinity``
+    a pair, ``pairs`` of them if their number is known.
+
+    A few segments hold all customers, so a join on the pair would send a third of the rows to one task.  A table of
+    proven size is one map in a scalar subquery, read inside the row; else each rate goes to ``RATE_SALTS`` places."""
+    rates = affinity.select(F.col("segment").alias(segment), "product_name", F.col("conversion_rate").alias("affinity_rate"))
+    if pairs is not None and pairs <= MOST_RATES:
+        known = rates.select(_pair_key(segment).alias("key"), "affinity_rate").where(F.col("key").isNotNull())
+        by_pair = known.select(F.map_from_entries(F.collect_list(F.struct("key", "affinity_rate")))).scalar()
+        return rows.withColumn("affinity_rate", F.try_element_at(by_pair, _pair_key(segment)))
+    return rows.withColumn("_salt", _salt()).join(_salted(rates), [segment, "product_name", "_salt"], "left").drop("_salt")
+
+
+def attach_context(merged: DataFrame, features: DataFrame, affinity: DataFrame, pairs: int | None = None) -> DataFrame:
     """Customer segment and ownership flags (left join on customer_id), then
     the (segment, product) conversion rate, default 0.0."""
     ctx = features.select("customer_id", "segment", *C.FLAG_COLUMNS)
-    rates = affinity.select("segment", "product_name", F.col("conversion_rate").alias("affinity_rate"))
     owned = None
     for name, flag in zip(C.PRODUCT_NAMES, C.FLAG_COLUMNS):
         cond = (F.col("product_name") == name) & (F.col(flag) == 1)
         owned = F.when(cond, F.lit(True)) if owned is None else owned.when(cond, F.lit(True))
     joined = merged.join(ctx, "customer_id", "left")
-    return (joined.join(rates, ["segment", "product_name"], "left")
+    return (with_rates(joined, affinity, pairs)
             .withColumn("affinity_score", F.coalesce(F.col("affinity_rate"), F.lit(0.0)))
             .withColumn("is_owned", owned.otherwise(F.lit(False)))
             .drop(*C.FLAG_COLUMNS))
@@ -200,12 +236,13 @@ def blend(df: DataFrame) -> DataFrame:
         + F.lit(C.AFFINITY_WEIGHT) * F.col("affinity_score_norm"))
 
 
-def hybrid_scores(als: DataFrame, cb: DataFrame, features: DataFrame, affinity: DataFrame) -> DataFrame:
+def hybrid_scores(als: DataFrame, cb: DataFrame, features: DataFrame, affinity: DataFrame, pairs: int | None = None) -> DataFrame:
     """Every candidate (ALS u CB rows) with normalised signals, blend and
     ownership flag -- before the owned filter.  Not cached: the bounds
     subquery and the scoring pass share the candidate exchange in one plan,
-    and a cached relation would hide its partitioning from the top-k."""
-    return blend(normalise(attach_context(merge_signals(als, cb), features, affinity)))
+    and a cached relation would hide its partitioning from the top-k.
+    ``pairs`` is the number of rows of ``affinity``, if known."""
+    return blend(normalise(attach_context(merge_signals(als, cb), features, affinity, pairs)))
 
 
 PUBLISHED = ["customer_id", "product_name", "als_score_norm", "cb_score_norm", "segment",
@@ -219,9 +256,9 @@ def top_k(scored: DataFrame, score: str, k: int = C.TOP_K, name: str = "product_
 
 
 def hybrid_recommendations(als: DataFrame, cb: DataFrame, features: DataFrame, affinity: DataFrame,
-                           k: int = C.TOP_K) -> DataFrame:
+                           k: int = C.TOP_K, pairs: int | None = None) -> DataFrame:
     """Final recs: drop owned products, keep the top k per customer."""
-    scored = hybrid_scores(als, cb, features, affinity)
+    scored = hybrid_scores(als, cb, features, affinity, pairs)
     return top_k(scored.where(~F.col("is_owned")), "hybrid_score", k).select(*PUBLISHED, "rank")
 
 
@@ -294,10 +331,10 @@ def decode_recommendations(recs: DataFrame, customer_index: DataFrame) -> DataFr
     """ALS (user_id, [(item_id, rating)]) -> (customer_id, product_name, als_score 4 dp)."""
     items = dims.small(dims.product_index(recs.sparkSession))
     return (recs.select("user_id", F.posexplode("recommendations").alias("pos", "r"))
-            .select("user_id", F.col("r.item_id").alias("item_id"), F.col("r.rating").alias("rating"))
+            .select("user_id", (F.col("pos") + 1).alias("rank"), F.col("r.item_id").alias("item_id"), F.col("r.rating").alias("rating"))
             .join(items, "item_id")
             .join(customer_index, "user_id")
-            .select("customer_id", "product_name", round_half_up(F.col("rating").cast("double"), 4).alias("als_score")))
+            .select("customer_id", "product_name", round_half_up(F.col("rating").cast("double"), 4).alias("als_score"), "rank"))
 
 
 #: Item factors up to this many numbers go into the plan as literals.
@@ -361,11 +398,12 @@ def als_residuals(model, train: DataFrame, reg: float = C.ALS_REG_PARAM, alpha:
 
 
 def als_recommendations(matrix: DataFrame, customer_index: DataFrame, k: int = C.TOP_K,
-                        user_blocks: int = 10, item_blocks: int = 10) -> DataFrame:
-    """Implicit ALS over owned pairs (train split), top k per trained user.
+                        user_blocks: int = 10, item_blocks: int = 10, ranked: bool = False) -> DataFrame:
+    """Implicit ALS over owned pairs (train split), top k per trained user, with its ``rank`` if asked for.
     Owned products are not excluded here (the hybrid step does that)."""
     pairs = interactions(matrix, customer_index)
     train = pairs.where(split_flag()).select("user_id", "item_id", "rating").persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_als(train, user_blocks, item_blocks)
     train.unpersist()
-    return decode_recommendations(als_top_items(model, k), customer_index)
+    recs = decode_recommendations(als_top_items(model, k), customer_index)
+    return recs if ranked else recs.drop("rank")

@@ -167,7 +167,7 @@ def _hybrid(m):
 
 
 def _existing(m):
-    return A.existing_customer_recs(m.gold_customer_features, _hybrid(m), m.gold_product_affinity)
+    return A.existing_customer_recs(m.gold_customer_features, _hybrid(m), m.gold_product_affinity, pairs=m.affinity_pairs)
 
 
 def _profiles(m):
@@ -235,7 +235,7 @@ LEFT JOIN gold_customer_features f ON f.customer_id = h.customer_id
 LEFT JOIN gold_product_affinity af ON af.segment = f.segment AND af.product_name = h.product_name"""))
 def q_explain_fallback(m):
     """Signal-dominance sentence of every recommendation (the fallback text)."""
-    return A.signal_reasons(_hybrid(m), m.gold_customer_features, m.gold_product_affinity)
+    return A.signal_reasons(_hybrid(m), m.gold_customer_features, m.gold_product_affinity, m.affinity_pairs)
 
 
 @query("score_bands", ans(f"""

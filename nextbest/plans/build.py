@@ -35,7 +35,7 @@ def build_all(spark: SparkSession, sf_dir: str, use_als: bool = True, buckets: i
     if use_als:
         out["als_recommendations"] = m.als_recommendations
     out["hybrid_recommendations"] = recs
-    existing = answers.existing_customer_recs(m.gold_customer_features, recs, m.gold_product_affinity)
+    existing = answers.existing_customer_recs(m.gold_customer_features, recs, m.gold_product_affinity, pairs=m.affinity_pairs)
     profiles = answers.prepare_profiles(m.profile_forms)
     new = answers.new_customer_recs(profiles, m.gold_product_affinity)
     for name, df in (("existing_customer_recs", existing), ("new_customer_recs", new)):

@@ -92,7 +92,7 @@ SELECT f.segment, f.q1, f.median, f.q3,
 FROM silver_customers c JOIN f ON c.segment = f.segment WHERE c.age IS NOT NULL
 GROUP BY f.segment, f.q1, f.median, f.q3 ORDER BY f.segment"""))
 def q_age_box_by_segment(m):
-    return I.box_stats(m.silver_customers, "age", "segment")
+    return I.box_of(m.age_distribution, "age", "segment")
 
 
 _MISSING_SQL = """

@@ -99,7 +99,7 @@ def _als_standin(m):
 
 
 def _scored(m):
-    return S.hybrid_scores(_als_standin(m), _cb(m), m.gold_customer_features, m.gold_product_affinity)
+    return S.hybrid_scores(_als_standin(m), _cb(m), m.gold_customer_features, m.gold_product_affinity, m.affinity_pairs)
 
 
 # ---------------------------------------------------------------------------
@@ -219,9 +219,7 @@ def q_hybrid_top3(m):
 SELECT CAST(COUNT(*) AS BIGINT) AS total_recommendations,
        CAST(COUNT(DISTINCT customer_id) AS BIGINT) AS unique_customers FROM o_hybrid_top3"""))
 def q_hybrid_run_metrics(m):
-    recs = m.checked_hybrid_recommendations
-    return recs.agg(F.count(F.lit(1)).alias("total_recommendations"),
-                    F.countDistinct("customer_id").alias("unique_customers"))
+    return m.run_metrics("checked_hybrid_recommendations")
 
 
 @query("affinity_pairs", with_prelude(select="""
@@ -289,7 +287,5 @@ def q_als_run_metrics(m):
     trained customer gets k of the 8 products)."""
     pairs = S.owned_pairs(m.gold_user_item_matrix)
     train = pairs.where(S.split_flag()).agg(F.count(F.lit(1)).alias("training_rows"))
-    recs = m.als_recommendations
-    return train.select("training_rows",
-                        recs.select(F.count(F.lit(1))).scalar().alias("total_recommendations"),
-                        recs.select(F.countDistinct("customer_id")).scalar().alias("unique_customers"))
+    run = m.run_metrics("als_recommendations")
+    return train.select("training_rows", *[run.select(c).scalar().alias(c) for c in run.columns])

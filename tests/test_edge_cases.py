@@ -354,6 +354,37 @@ def test_box_stats_interpolate_and_find_outliers(spark):
     assert (got["b"].q1, got["b"].q3, got["b"].outliers) == (5.0, 5.0, 0) and set(got) == {"a", "b"}
 
 
+def test_box_stats_equal_numpy_over_many_parts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    values = {"a": np.round(rng.normal(0, 50, 3000), 2), "b": np.array([7.0] * 40), "c": np.round(rng.exponential(9, 11), 3), "d": np.array([1.0, 4.0])}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs], "g string, v double")
+    spread = insights.value_weights(rows, "v", "g").repartitionByRange(23, "g", "v").withColumn("part", F.spark_partition_id())
+    for got in (insights.box_of(spread.checkpoint(), "v", "g"), insights.box_stats(rows, "v", "g")):
+        found = {r.g: r for r in got.collect()}
+        assert set(found) == set(values)
+        for g, vs in values.items():
+            q1, median, q3 = np.quantile(vs, [0.25, 0.5, 0.75])
+            near = vs[(vs >= q1 - 1.5 * (q3 - q1)) & (vs <= q3 + 1.5 * (q3 - q1))]
+            r = found[g]
+            assert np.allclose([r.q1, r.median, r.q3, r.whisker_low, r.whisker_high], [q1, median, q3, near.min(), near.max()], atol=1e-9)
+            assert r.outliers == len(vs) - len(near)
+    assert insights.box_stats(rows.where("false"), "v", "g").count() == 0
+
+
+def test_rates_in_the_row_and_by_salted_join_agree(spark):
+    rates = spark.createDataFrame([("s1", "p", 0.5), ("s", "1p", 0.25), ("s2", "p", None), (None, "p", 0.9)], "segment string, product_name string, conversion_rate double")
+    rows = spark.createDataFrame([(f"C_{i}", s, p) for i, (s, p) in enumerate([("s1", "p"), ("s", "1p"), ("s2", "p"), (None, "p"), ("s1", None), ("s3", "p")] * 5)],
+                                 "customer_id string, segment string, product_name string")
+
+    def got(pairs):
+        return sorted((r.customer_id, r.affinity_rate) for r in signals.with_rates(rows, rates, pairs).select("customer_id", "affinity_rate").collect())
+
+    assert got(4) == got(None) == got(signals.MOST_RATES + 1)
+    assert dict(got(4))["C_0"] == 0.5 and dict(got(4))["C_1"] == 0.25 and sum(v is not None for _, v in got(4)) == 10
+
+
 def test_exact_money(spark):
     """Sums, mean and shares do not depend on how rows are dealt out."""
     rows = [(f"T{i}", "C_1", "2024-01-01", "Travel" if i % 3 else "Dining", "0.1", "m") for i in range(300)]

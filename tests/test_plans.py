@@ -112,3 +112,63 @@ def test_lookups_read_only_the_partitions_asked_for(spark, tmp_path):
     assert 1 < asked <= 3 and table.select(PREFIX).distinct().count() == 64
     assert max(partitions_read(found)) == asked
     assert rows_of(table, requests.where("customer_id IS NULL"), "customer_id", prefixes=64).count() == 0
+
+
+def test_rates_are_looked_up_without_a_shuffle_by_segment(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = queries()["affinity_lookup"](spark, SF_SMALL)
+        rows = found.count()
+        plan = plan_of(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert rows > 0 and "hashpartitioning(customer_id" in plan
+    # what is shuffled by segment are the few rates inside the subqueries; no customer is joined on it
+    assert "Join [segment" not in plan and "_salt" not in plan
+
+
+def test_box_numbers_sort_no_group_as_a_whole(spark):
+    from nextbest.operators import insights
+
+    rows = spark.range(2000).selectExpr("'a' AS g", "id / 7.0 AS v")
+    plan = plan_of(insights.box_stats(rows, "v", "g"))
+    windows = [line for line in plan.splitlines() if " Window [" in line]
+    assert windows and all("part#" in line for line in windows)
+
+
+def test_run_metrics_come_from_the_write(spark):
+    from nextbest.plans import registry
+
+    registry.load_all()
+    m = registry.models_for(spark, SF_SMALL)
+    for name in ("checked_hybrid_recommendations", "als_recommendations"):
+        recs = m.ref(name)
+        got = m.run_metrics(name)
+        assert got.inputFiles() and not set(got.inputFiles()) & set(recs.inputFiles())
+        assert tuple(got.first()) == (recs.count(), recs.select("customer_id").distinct().count())
+    lazy = Models(spark, SF_SMALL, materialize_models=False)
+    assert tuple(lazy.run_metrics("checked_hybrid_recommendations").first()) == tuple(m.run_metrics("checked_hybrid_recommendations").first())
+
+
+def test_changed_files_give_a_new_graph(spark, tmp_path):
+    import pathlib
+    import shutil
+
+    from nextbest.plans import registry
+
+    registry.load_all()
+    folder = f"{tmp_path}/tables"
+    shutil.copytree(SF_SMALL, folder)
+    run = registry.QUERIES["gold_user_item_matrix"]
+    first, before = registry.models_for(spark, folder), run(spark, folder).count()
+    assert registry.models_for(spark, folder) is first  # reading changes nothing
+    customers = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    one = orders.select("o_custkey").where("o_custkey IS NOT NULL").first()[0]
+    customers.where(customers.c_custkey == one).write.parquet(f"{tmp_path}/fewer")
+    part = next(pathlib.Path(tmp_path, "fewer").glob("part-*.parquet"))
+    shutil.copyfile(part, f"{folder}/customer.parquet")
+    assert registry.models_for(spark, folder) is not first
+    assert run(spark, folder).count() < before
+    registry.forget(spark, folder)
