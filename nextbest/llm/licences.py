@@ -5,8 +5,9 @@ weighted by the inverse document frequency over all documents, of words outside
 the templates too.  A window starts or ends at a word of a template and
 has as many words as the template at least, unless it is made of whole lines, and
 ``WINDOW`` words or twice the template's at most: what stands around a header is not in its window.  A window
-whose cosine with its template reaches ``least`` is a licence header of its
-document.  First each document's windows that can reach ``least`` are found, with
+whose cosine with its template reaches ``least``, and which holds the words of the licence's name that the template
+has (its version, or what an SPDX line names), is a licence header of its
+document; where two licences fit nearly alike (``MARGIN``), it is none.  First each document's windows that can reach ``least`` are found, with
 the least weight that a word can have for the words outside the templates; the
 frequencies of these words are then joined and the windows scored.  A document
 is a licence file and declares its licence for its directory if the bag of all its
@@ -25,6 +26,7 @@ path are read.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 from pathlib import Path
@@ -37,15 +39,51 @@ from pyspark.sql import functions as F
 from nextbest.llm.common import slices, texts_of, written
 
 #: Usual header statements and the first words of licence files; the whole texts are in ``licence_texts``.
-TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International", "SPDX-License-Identifier: CC-BY-4.0"),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International", "SPDX-License-Identifier: CC-BY-NC-4.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "GNU General Public License Version 3, 29 June 2007", "SPDX-License-Identifier: GPL-3.0"),
-    "MIT": ("Released under the MIT License.", "The MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
+# fixed values: names and statements as licences and their authors give them
+_GNU = {"GPL-2.0": ("General Public License", "2"), "GPL-3.0": ("General Public License", "3"), "LGPL-2.1": ("Lesser General Public License", "2.1"),
+        "LGPL-3.0": ("Lesser General Public License", "3"), "AGPL-3.0": ("Affero General Public License", "3")}
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+       "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_STATEMENTS = {
+    "0BSD": (),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004"),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", "BSD 2-Clause License"),
+    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "BSD 3-Clause License",
+                     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "CC0-1.0": ("CC0 1.0 Universal",),
+    "EPL-1.0": ("Eclipse Public License 1.0", "Eclipse Public License v1.0", "Eclipse Public License, Version 1.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License, Version 2.0"),
+    "GPL-3.0": ("GNU General Public License Version 3, 29 June 2007",),
+    "ISC": ("Released under the ISC License.", "The ISC License",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice"),
+    "MIT": ("Released under the MIT License.", "The MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    "MIT-0": (),
+    "MPL-1.1": ("The contents of this file are subject to the Mozilla Public License Version 1.1",),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Zlib": (),
 }
+
+
+def header_templates() -> dict[str, tuple[str, ...]]:
+    """Header statements by licence, and its SPDX lines."""
+    found = {name: list(texts) for name, texts in _STATEMENTS.items()}
+    for name, (full, version) in _GNU.items():
+        found.setdefault(name, []).extend((
+            f"This work is licensed under the GNU {full}, version {version}.", f"GNU {full} Version {version}",
+            f"under the terms of the GNU {full} as published by the Free Software Foundation; either version {version} of the License"))
+    for kind, full in _CC.items():
+        found[f"CC-{kind}-4.0"] = [f"Licensed under CC {kind} 4.0.", f"Creative Commons {full} 4.0 International"]
+        found[f"CC-{kind}-3.0"] = [f"Licensed under CC {kind} 3.0.", f"Creative Commons {full} 3.0 Unported"]
+    for name, texts in found.items():
+        texts += [f"SPDX-License-Identifier: {name}{more}" for more in (("", "-only", "-or-later", "+") if name in _GNU else ("",))]
+    return {name: tuple(texts) for name, texts in found.items()}
+
+
+TEMPLATES = header_templates()
+#: A window whose second licence is as near as this to the first is no header.
+MARGIN = 0.02
 LEAST = 0.75
 FILE_SHARE = 0.3
 WINDOW = 32
@@ -59,8 +97,32 @@ def whole_texts() -> dict[str, tuple[str, ...]]:
     return {p.name.removesuffix(".txt"): (p.read_text(encoding="utf-8"),) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 
 
+_SPDX = re.compile(rb"SPDX-License-Identifier:[ \t]*\(?([a-z0-9.+-]+(?:[ \t]+(?:AND|OR)[ \t]+\(?[a-z0-9.+-]+\)?)*)", re.IGNORECASE)
+
+
+def folded(text: bytes) -> bytes:
+    """Letters A-Z in lower case, marks as blanks; what an SPDX line names is one word, several licences together too."""
+    out = text.translate(_FOLD)
+    if b"SPDX-" not in text and b"spdx-" not in text:
+        return out
+    parts, end = [], 0
+    for found in _SPDX.finditer(text):
+        a, b = found.span(1)
+        parts += [out[end:a], b"&".join(text[a:b].lower().split())]
+        end = b
+    return b"".join(parts) + out[end:]
+
+
 def _terms(text: str) -> frozenset[bytes]:
-    return frozenset(text.encode().translate(_FOLD).split())
+    return frozenset(folded(text.encode()).split())
+
+
+def _needed(name: str, text: str) -> frozenset[bytes]:
+    """The words of a template without which a window is not its licence: those of the licence's name, its version among
+    them, and what an SPDX line names."""
+    words = _terms(text)
+    named = frozenset(name.encode().translate(_FOLD).split())
+    return frozenset(w for w in words if w in named or (w[:1] == b"v" and w[1:] in named) or not w.isalnum())
 
 
 def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +134,7 @@ def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in texts_of(batch.column("text")):
-            found.update({b"", *text.translate(_FOLD).split()})
+            found.update({b"", *folded(text).split()})
             if len(found) > _TERMS:
                 yield rows()
                 found.clear()
@@ -91,7 +153,8 @@ class Scorer:
         self.size = [sum(self.square[w] for w in sorted(bag)) for _, bag in self.bags]
         self.vocabulary = frozenset(self.square)
         self.least = least
-        self.length = [len(t.encode().translate(_FOLD).split()) for _, t in texts]
+        self.length = [len(folded(t.encode()).split()) for _, t in texts]
+        self.needed = [_needed(name, t) for name, t in texts]
         self.anchors = [self._anchors(bag, size) for (_, bag), size in zip(self.bags, self.size, strict=True)]
 
     def weight(self, documents: int) -> float:
@@ -133,8 +196,8 @@ class Scorer:
         """(cosine, template, start, end, last end) of the best window from each start that reaches the threshold, and the end
         of the longest one; without ``others``, words outside the templates have the least weight possible."""
         distinct = self.vocabulary.intersection(tokens)
-        for (name, bag), size, length, anchors in zip(self.bags, self.size, self.length, self.anchors, strict=True):
-            if sum(self.square[w] for w in bag & distinct) < 0.999 * self.least**2 * size:
+        for (name, bag), size, length, anchors, needed in zip(self.bags, self.size, self.length, self.anchors, self.needed, strict=True):
+            if not needed <= distinct or sum(self.square[w] for w in bag & distinct) < 0.999 * self.least**2 * size:
                 continue
             reach = max(WINDOW, 2 * length)
             after = -1  # windows from here and before have been scored
@@ -145,12 +208,14 @@ class Scorer:
                         continue
                     seen: set[bytes] = set()
                     own = norm = top = 0.0
+                    lacking = len(needed)
                     end = last = start
                     for i in range(start, min(start + reach, len(tokens))):
                         w = tokens[i]
                         ends = i + 1 - start == length or (lines and i + 1 - start < length and i + 1 in breaks)
                         if w not in seen:
                             seen.add(w)
+                            lacking -= w in needed
                             square = self.square.get(w)
                             if square is None:
                                 square = 1.0 if others is None else others.get(w, self.unseen)
@@ -158,7 +223,7 @@ class Scorer:
                             if w in bag:
                                 own += square
                                 ends = ends or i + 1 - start > length
-                        if ends:
+                        if ends and not lacking:
                             cosine = round(own / math.sqrt(norm * size), 12)
                             if cosine >= self.least:
                                 last = i + 1
@@ -177,6 +242,10 @@ class Scorer:
     def headers(self, region: bytes, others: Mapping[bytes, float]) -> tuple[float, str | None, int]:
         """(best cosine, its template, words in windows that reach the threshold)."""
         found = list(self.windows(*_lines(region), others))
+        # a window that two licences fit alike tells neither
+        best = max(found, default=None)
+        if best and any(x[1] != best[1] and x[0] > best[0] - MARGIN and x[2] < best[3] and best[2] < x[3] for x in found):
+            return 0.0, None, 0
         top = max((x[0] for x in found), default=0.0)
         return top, min((x[1] for x in found if x[0] == top), default=None), sum(b - a for a, b in _merged((x[2], x[3]) for x in found))
 
@@ -215,10 +284,10 @@ def _find(scorers):
             for batch in slices(whole, "text", _SLICE):
                 total, regions, words, others = [], [], [], []
                 for text in texts_of(batch.column("text")):
-                    folded = text.translate(_FOLD)
-                    tokens = folded.split()
+                    plain = folded(text)
+                    tokens = plain.split()
                     distinct = set(tokens)
-                    parts = headers.regions(folded)
+                    parts = headers.regions(plain)
                     bag = distinct if texts.may_reach(distinct) else set()
                     total.append(len(tokens))
                     regions.append([p.decode() for p in parts])
