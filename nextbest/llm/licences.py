@@ -87,6 +87,7 @@ MARGIN = 0.02
 LEAST = 0.75
 FILE_SHARE = 0.3
 WINDOW = 32
+_DEALS = 16
 _SLICE = 2 << 20
 _TERMS = 200_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() or c == 10 else 32 for c in range(256))
@@ -363,6 +364,9 @@ def licences(docs: DataFrame, directory: Column, id_col: str = "doc_id", text_co
     nearest = above.join(declared, "declared_in").groupBy("dir").agg(F.max_by(F.struct("declared", "declared_in"), "depth").alias("x")).select(
         "dir", F.col("x.declared").alias("declared"), F.col("x.declared_in").alias("declared_in"))
     own = F.col("header").isNotNull()
-    return rows.join(nearest, "dir", "left").select(
+    # a directory may hold a third of all rows: its rows go to several tasks
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(_DEALS)).cast("int"))
+    nearest = nearest.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(_DEALS - 1))))
+    return rows.join(nearest, ["dir", "deal"], "left").select(
         "doc_id", "dir", "header", "cosine", F.col("file").alias("declares"),
         F.coalesce("header", "declared").alias("licence"), F.when(~own, F.col("declared_in")).alias("declared_in"))
