@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nextbest.llm.common import texts_of, written
+from nextbest.llm.common import slices, texts_of, written
 from nextbest.llm.fmindex import Bidirectional
 from nextbest.llm.runs import numbered
 
@@ -34,6 +34,9 @@ SHARD_BYTES, TASK_BYTES = 3 << 20, 16 << 20
 #: Letters A-Z in lower case, what ends a piece as a line end, a tab as a blank.
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _GROUPS = 64
+_SLICE = 2 << 20
+#: Shards whose pairs make one part of their shuffle, on average: a sort of some hundred thousand rows for each.
+_SHARDS_A_PART = 4
 #: Pairs of one row, and the columns of a shard's row (its text and the numbers of its words) and its rows of pairs.
 _ROW = 1 << 16
 _PAIRS = ["shard", "ids", "word", "one", "other", "c"]
@@ -50,8 +53,8 @@ def numbers(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         return np.zeros(1, np.int32), pa.array([], pa.string()), np.zeros(0, np.int64)
     coded = numbered(raw[inside], np.flatnonzero(begins[inside]))
     number = np.asarray(coded.indices)
-    ends = np.concatenate([[0], np.cumsum(raw == 10)])[starts]
-    apart = np.diff(ends, prepend=-1) != 0
+    apart = np.diff(np.searchsorted(np.flatnonzero(raw == 10), starts), prepend=-1) != 0
+    del raw, inside, begins
     out = np.zeros(len(starts) + int(apart.sum()) + 1, dtype=np.int32)
     out[np.arange(len(starts)) + np.cumsum(apart)] = number + 1
     return out, coded.dictionary.cast(pa.large_string()).cast(pa.string()), np.bincount(number)
@@ -91,7 +94,7 @@ def _shards(shard_bytes: int, task_bytes: int):
                     names=["shard", "lang", "n", "ids", "words", "counts"])
                 shard += 1
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", _SLICE)):
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch.column("text")), strict=True):
                 lang = "und" if lang is None else lang
                 held[lang].append(text)
@@ -116,6 +119,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = chains(own[text], 2)
             index = Bidirectional(text, 2)
             two = index.left(index.single())
+            del index
             none = pa.array([None], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int64()), pa.array([text.astype(np.int32).tobytes()], pa.binary()), pa.array([word], pa.list_(pa.int64())), none, none, none], names=_PAIRS)
             for k in range(0, len(two.size), _ROW):
@@ -141,7 +145,10 @@ def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = chains(text, 3, apart=known[place] != key)
             index = Bidirectional(text, 4)
             three = index.right(index.left(index.single()))
-            for phrases in (three, index.left(three)):
+            found = [three, index.left(three)]
+            del index, three, text, key, place, known
+            while found:
+                phrases = found.pop()
                 columns = [pa.array(word[phrases.words[:, k] - 1]) for k in range(phrases.words.shape[1])]
                 columns += [pa.nulls(len(phrases.size), pa.int64())] * (4 - len(columns))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(phrases.size)], names=["w1", "w2", "w3", "w4", "c"])
@@ -164,7 +171,8 @@ def frequencies(docs: DataFrame, least: int, lang_col: str = "lang", text_col: s
         "shard", F.col("x.one").alias("w1"), F.col("x.other").alias("w2"), F.col("x.c").alias("c"))
     # a pair has one row of each shard that holds it, so one shuffle sums its counts and tells every shard
     same = Window.partitionBy("w1", "w2")
-    often = each.withColumn("f", F.sum("c").over(same)).withColumn("head", F.min("shard").over(same)).where(F.col("f") >= least)
+    parts = shards.count() // _SHARDS_A_PART + 1  # grows with the texts, so that no task sorts more
+    often = each.repartition(parts, "w1", "w2").withColumn("f", F.sum("c").over(same)).withColumn("head", F.min("shard").over(same)).where(F.col("f") >= least)
     often = written(often.select("w1", "w2", "shard", "f", (F.col("shard") == F.col("head")).alias("head")), "phrase-twos")
     twos = often.where("head").select("w1", "w2", "f")
     marks = often.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("x"))
