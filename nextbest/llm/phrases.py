@@ -37,9 +37,9 @@ _GROUPS = 64
 _SLICE = 2 << 20
 #: Shards whose pairs make one part of their shuffle, on average: a sort of some hundred thousand rows for each.
 _SHARDS_A_PART = 4
-#: Pairs of one row, and the columns of a shard's row (its text and the numbers of its words) and its rows of pairs.
-_ROW = 1 << 16
-_PAIRS = ["shard", "ids", "word", "one", "other", "c"]
+#: A shard's row (its text and the numbers of its words) and its rows of pairs; phrases of three and four words.
+_TWOS = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("word", pa.list_(pa.int64())), *[(c, pa.int64()) for c in ("w1", "w2", "c")]])
+_MORE = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "w3", "w4", "c")])
 
 
 def numbers(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -108,50 +108,55 @@ def _shards(shard_bytes: int, task_bytes: int):
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            shard, ids, at, word = (batch.column(c)[row] for c in ("shard", "ids", "at", "word"))
-            at, word = np.asarray(at.values), np.asarray(word.values)
-            text = np.frombuffer(ids.as_py(), dtype=np.int32)
-            own = np.zeros(int(text.max(initial=0)) + 1, dtype=np.int64)
-            own[at + 1] = np.arange(1, len(at) + 1)
-            text = chains(own[text], 2)
-            index = Bidirectional(text, 2)
-            two = index.left(index.single())
-            del index
-            none = pa.array([None], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int64()), pa.array([text.astype(np.int32).tobytes()], pa.binary()), pa.array([word], pa.list_(pa.int64())), none, none, none], names=_PAIRS)
-            for k in range(0, len(two.size), _ROW):
-                one, other = (word[two.words[k : k + _ROW, c] - 1] for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int64()), pa.array([None], pa.binary()), none, *[pa.array([x], pa.list_(pa.int64())) for x in (one, other, two.size[k : k + _ROW])]], names=_PAIRS)
-
-
-def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            ids, word, one, other = (batch.column(c)[row] for c in ("ids", "word", "one", "other"))
-            word, one, other = (np.asarray(x.values) for x in (word, one, other))
-            text = np.frombuffer(ids.as_py(), dtype=np.int32).astype(np.int64)
-            order = np.argsort(word)
-
-            def local(x, word=word, order=order):
-                return order[np.searchsorted(word, x, sorter=order)] + 1
-
-            width = len(word) + 1
-            known = np.sort(local(one) * width + local(other))
-            key = np.concatenate([[0], text[:-1] * width + text[1:]])
-            place = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            text = chains(text, 3, apart=known[place] != key)
-            index = Bidirectional(text, 4)
-            three = index.right(index.left(index.single()))
-            found = [three, index.left(three)]
-            del index, three, text, key, place, known
-            while found:
-                phrases = found.pop()
-                columns = [pa.array(word[phrases.words[:, k] - 1]) for k in range(phrases.words.shape[1])]
-                columns += [pa.nulls(len(phrases.size), pa.int64())] * (4 - len(columns))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(phrases.size)], names=["w1", "w2", "w3", "w4", "c"])
+def _pairs(shard: pa.Table, marks: pa.Table) -> pa.Table:
+    """Of one shard and the numbers ``w`` of its frequent words (``at``: its own): its text of these, and its pairs."""
+    if not marks.num_rows or not shard.num_rows:
+        return _TWOS.empty_table()
+    at, word = marks.column("at").to_numpy(), marks.column("w").to_numpy()
+    number = shard.column("shard")[0].as_py()
+    text = np.frombuffer(shard.column("ids")[0].as_py(), dtype=np.int32)
+    own = np.zeros(int(text.max(initial=0)) + 1, dtype=np.int32)
+    own[at + 1] = np.arange(1, len(at) + 1)
+    text = chains(own[text], 2)
+    index = Bidirectional(text, 2)
+    two = index.left(index.single())
+    del index
+    n = len(two.size)
+    head = pa.Table.from_arrays([pa.array([number], pa.int64()), pa.array([text.astype(np.int32).tobytes()], pa.binary()), pa.array([word], pa.list_(pa.int64())),
+                                 *[pa.nulls(1, pa.int64())] * 3], schema=_TWOS)
+    rest = pa.Table.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())),
+                                 *[pa.array(word[two.words[:, c] - 1]) for c in (0, 1)], pa.array(two.size.astype(np.int64))], schema=_TWOS)
+    return pa.concat_tables([head, rest])
+
+
+def _longer(shard: pa.Table, marks: pa.Table) -> pa.Table:
+    """Of one shard's text and its frequent pairs: its phrases of three and four words."""
+    if not marks.num_rows or not shard.num_rows:
+        return _MORE.empty_table()
+    word = np.asarray(shard.column("word")[0].values)
+    one, other = marks.column("w1").to_numpy(), marks.column("w2").to_numpy()
+    text = np.frombuffer(shard.column("ids")[0].as_py(), dtype=np.int32).astype(np.int64)
+    order = np.argsort(word)
+
+    def local(x: np.ndarray) -> np.ndarray:
+        return order[np.searchsorted(word, x, sorter=order)] + 1
+
+    width = len(word) + 1
+    known = np.sort(local(one) * width + local(other))
+    key = np.concatenate([[0], text[:-1] * width + text[1:]])
+    place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    text = chains(text, 3, apart=known[place] != key)
+    del key, place, known
+    index = Bidirectional(text, 4)
+    three = index.right(index.left(index.single()))
+    found = [three, index.left(three)]
+    del index, three, text
+    out = []
+    for phrases in found:
+        columns = [pa.array(word[phrases.words[:, k] - 1]) for k in range(phrases.words.shape[1])]
+        columns += [pa.nulls(len(phrases.size), pa.int64())] * (4 - len(columns))
+        out.append(pa.Table.from_arrays([*columns, pa.array(phrases.size.astype(np.int64))], schema=_MORE))
+    return pa.concat_tables(out)
 
 
 def frequencies(docs: DataFrame, least: int, lang_col: str = "lang", text_col: str = "text", shard_bytes: int = SHARD_BYTES, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -163,21 +168,20 @@ def frequencies(docs: DataFrame, least: int, lang_col: str = "lang", text_col: s
         "shard", "lang", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     often = each.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     words = written(often.withColumn("w", F.monotonically_increasing_id()), "phrase-words")
-    marks = each.join(words.select("lang", "word", "w"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("at", "w")).alias("x"))
-    marks = marks.select("shard", F.col("x.at").alias("at"), F.col("x.w").alias("word"))  # a row for each shard, of its own words
-    pairs = shards.select("shard", "ids").join(marks, "shard").mapInArrow(_pairs, "shard long, ids binary, word array<long>, one array<long>, other array<long>, c array<long>")
+    marks = each.join(words.select("lang", "word", "w"), ["lang", "word"]).select(F.col("shard").alias("home"), "at", "w")
+    # a shard and the rows about its own words meet as one group, so a task holds one shard at a time
+    pairs = shards.select("shard", "ids").groupBy("shard").cogroup(marks.groupBy("home")).applyInArrow(
+        _pairs, "shard long, ids binary, word array<long>, w1 long, w2 long, c long")
     pairs = written(pairs, "phrase-pairs")
-    each = pairs.where("ids IS NULL").select("shard", F.explode(F.arrays_zip("one", "other", "c")).alias("x")).select(
-        "shard", F.col("x.one").alias("w1"), F.col("x.other").alias("w2"), F.col("x.c").alias("c"))
+    each = pairs.where("ids IS NULL").select("shard", "w1", "w2", "c")
     # a pair has one row of each shard that holds it, so one shuffle sums its counts and tells every shard
     same = Window.partitionBy("w1", "w2")
     parts = shards.count() // _SHARDS_A_PART + 1  # grows with the texts, so that no task sorts more
     often = each.repartition(parts, "w1", "w2").withColumn("f", F.sum("c").over(same)).withColumn("head", F.min("shard").over(same)).where(F.col("f") >= least)
     often = written(often.select("w1", "w2", "shard", "f", (F.col("shard") == F.col("head")).alias("head")), "phrase-twos")
     twos = often.where("head").select("w1", "w2", "f")
-    marks = often.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("x"))
-    marks = marks.select("shard", F.col("x.w1").alias("one"), F.col("x.w2").alias("other"))
-    more = pairs.where("ids IS NOT NULL").select("shard", "ids", "word").join(marks, "shard").mapInArrow(_longer, "w1 long, w2 long, w3 long, w4 long, c long")
+    more = pairs.where("ids IS NOT NULL").select("shard", "ids", "word").groupBy("shard").cogroup(
+        often.select(F.col("shard").alias("home"), "w1", "w2").groupBy("home")).applyInArrow(_longer, "w1 long, w2 long, w3 long, w4 long, c long")
     more = more.groupBy("w1", "w2", "w3", "w4").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     key = F.filter(F.array("w1", "w2", "w3", "w4"), lambda x: x.isNotNull()).alias("key")
     counts = words.select(F.array("w").alias("key"), "f").unionByName(twos.select(F.array("w1", "w2").alias("key"), "f")).unionByName(more.select(key, "f"))
