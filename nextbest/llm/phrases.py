@@ -35,10 +35,12 @@ SHARD_BYTES, TASK_BYTES = 3 << 20, 16 << 20
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _GROUPS = 64
 _SLICE = 2 << 20
-#: Shards whose pairs make one part of their shuffle, on average: a sort of some hundred thousand rows for each.
+#: Shards whose pairs make one part, on average: some hundred thousand for each, sorted in one task.
 _SHARDS_A_PART = 4
-#: A shard's row (its text and the numbers of its words) and its rows of pairs; phrases of three and four words.
-_TWOS = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("word", pa.list_(pa.int64())), *[(c, pa.int64()) for c in ("w1", "w2", "c")]])
+#: A shard's row (its text and the numbers of its words) and its rows of pairs; frequent pairs; phrases of three and four words.
+_LONGS = pa.list_(pa.int64())
+_PAIRS = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("word", _LONGS), ("part", pa.int64()), ("w1", _LONGS), ("w2", _LONGS), ("c", _LONGS)])
+_TWOS = pa.schema([("shard", pa.int64()), ("w1", _LONGS), ("w2", _LONGS), ("f", _LONGS)])
 _MORE = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "w3", "w4", "c")])
 
 
@@ -108,25 +110,68 @@ def _shards(shard_bytes: int, task_bytes: int):
     return run
 
 
-def _pairs(shard: pa.Table, marks: pa.Table) -> pa.Table:
-    """Of one shard and the numbers ``w`` of its frequent words (``at``: its own): its text of these, and its pairs."""
-    if not marks.num_rows or not shard.num_rows:
-        return _TWOS.empty_table()
-    at, word = marks.column("at").to_numpy(), marks.column("w").to_numpy()
-    number = shard.column("shard")[0].as_py()
-    text = np.frombuffer(shard.column("ids")[0].as_py(), dtype=np.int32)
-    own = np.zeros(int(text.max(initial=0)) + 1, dtype=np.int32)
-    own[at + 1] = np.arange(1, len(at) + 1)
-    text = chains(own[text], 2)
-    index = Bidirectional(text, 2)
-    two = index.left(index.single())
-    del index
-    n = len(two.size)
-    head = pa.Table.from_arrays([pa.array([number], pa.int64()), pa.array([text.astype(np.int32).tobytes()], pa.binary()), pa.array([word], pa.list_(pa.int64())),
-                                 *[pa.nulls(1, pa.int64())] * 3], schema=_TWOS)
-    rest = pa.Table.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())),
-                                 *[pa.array(word[two.words[:, c] - 1]) for c in (0, 1)], pa.array(two.size.astype(np.int64))], schema=_TWOS)
-    return pa.concat_tables([head, rest])
+def _lists(bounds: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    """Each array of values cut at the bounds, a list a row."""
+    return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x)) for x in values]
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.asarray(x.flatten()) for x in column.chunks]) if column.num_chunks else np.zeros(0, np.int64)
+
+
+def _pairs(parts: int):
+    def run(shard: pa.Table, marks: pa.Table) -> pa.Table:
+        """Of one shard and the numbers ``w`` of its frequent words (``at``: its own): a row of its text of these, and its
+        pairs, those of a part of the pairs in a row."""
+        if not marks.num_rows or not shard.num_rows:
+            return _PAIRS.empty_table()
+        at, word = marks.column("at").to_numpy(), marks.column("w").to_numpy()
+        number = shard.column("shard")[0].as_py()
+        text = np.frombuffer(shard.column("ids")[0].as_py(), dtype=np.int32)
+        own = np.zeros(int(text.max(initial=0)) + 1, dtype=np.int32)
+        own[at + 1] = np.arange(1, len(at) + 1)
+        text = chains(own[text], 2)
+        index = Bidirectional(text, 2)
+        two = index.left(index.single())
+        del index
+        one, other = (word[two.words[:, c] - 1] for c in (0, 1))
+        mixed = one.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + other.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        part = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        head = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1) != 0)
+        none = pa.nulls(1, _LONGS)
+        text = pa.Table.from_arrays([pa.array([number], pa.int64()), pa.array([text.astype(np.int32).tobytes()], pa.binary()), pa.array([word], _LONGS), pa.nulls(1, pa.int64()),
+                                     none, none, none], schema=_PAIRS)
+        n = len(head)
+        rest = pa.Table.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, pa.binary()), pa.nulls(n, _LONGS), pa.array(part[order[head]].astype(np.int64)),
+                                     *_lists(np.append(head, len(order)), one[order], other[order], two.size[order].astype(np.int64))], schema=_PAIRS)
+        return pa.concat_tables([text, rest])
+    return run
+
+
+def _frequent(least: int):
+    def run(part: pa.Table) -> pa.Table:
+        """Of one part of the pairs, in all shards: its frequent pairs with their counts (``shard`` null), and which of them each
+        shard holds."""
+        one, other, c = (_flat(part.column(x)) for x in ("w1", "w2", "c"))
+        shard = np.repeat(part.column("shard").to_numpy(), np.concatenate([np.asarray(x.value_lengths()) for x in part.column("w1").chunks]))
+        order = np.lexsort((other, one))
+        one, other, shard = one[order], other[order], shard[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (one[1:] != one[:-1]) | (other[1:] != other[:-1])
+        head = np.flatnonzero(new)
+        f = np.add.reduceat(c[order], head)
+        often = f >= least
+        held = np.flatnonzero(often[np.cumsum(new) - 1])
+        if not len(held):
+            return _TWOS.empty_table()
+        held = held[np.argsort(shard[held], kind="stable")]
+        each = np.flatnonzero(np.diff(shard[held], prepend=shard[held[0]] - 1) != 0)
+        head, n = head[often], len(each)
+        sums = pa.Table.from_arrays([pa.nulls(1, pa.int64()), *_lists(np.array([0, len(head)]), one[head], other[head], f[often])], schema=_TWOS)
+        rows = pa.Table.from_arrays([pa.array(shard[held[each]]), *_lists(np.append(each, len(held)), one[held], other[held]), pa.nulls(n, _LONGS)], schema=_TWOS)
+        return pa.concat_tables([sums, rows])
+    return run
 
 
 def _longer(shard: pa.Table, marks: pa.Table) -> pa.Table:
@@ -134,7 +179,7 @@ def _longer(shard: pa.Table, marks: pa.Table) -> pa.Table:
     if not marks.num_rows or not shard.num_rows:
         return _MORE.empty_table()
     word = np.asarray(shard.column("word")[0].values)
-    one, other = marks.column("w1").to_numpy(), marks.column("w2").to_numpy()
+    one, other = _flat(marks.column("w1")), _flat(marks.column("w2"))
     text = np.frombuffer(shard.column("ids")[0].as_py(), dtype=np.int32).astype(np.int64)
     order = np.argsort(word)
 
@@ -169,19 +214,18 @@ def frequencies(docs: DataFrame, least: int, lang_col: str = "lang", text_col: s
     often = each.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     words = written(often.withColumn("w", F.monotonically_increasing_id()), "phrase-words")
     marks = each.join(words.select("lang", "word", "w"), ["lang", "word"]).select(F.col("shard").alias("home"), "at", "w")
+    parts = shards.count() // _SHARDS_A_PART + 1  # grows with the texts, so that no task sorts more
     # a shard and the rows about its own words meet as one group, so a task holds one shard at a time
     pairs = shards.select("shard", "ids").groupBy("shard").cogroup(marks.groupBy("home")).applyInArrow(
-        _pairs, "shard long, ids binary, word array<long>, w1 long, w2 long, c long")
+        _pairs(parts), "shard long, ids binary, word array<long>, part long, w1 array<long>, w2 array<long>, c array<long>")
     pairs = written(pairs, "phrase-pairs")
-    each = pairs.where("ids IS NULL").select("shard", "w1", "w2", "c")
-    # a pair has one row of each shard that holds it, so one shuffle sums its counts and tells every shard
-    same = Window.partitionBy("w1", "w2")
-    parts = shards.count() // _SHARDS_A_PART + 1  # grows with the texts, so that no task sorts more
-    often = each.repartition(parts, "w1", "w2").withColumn("f", F.sum("c").over(same)).withColumn("head", F.min("shard").over(same)).where(F.col("f") >= least)
-    often = written(often.select("w1", "w2", "shard", "f", (F.col("shard") == F.col("head")).alias("head")), "phrase-twos")
-    twos = often.where("head").select("w1", "w2", "f")
+    often = pairs.where("ids IS NULL").select("part", "shard", "w1", "w2", "c").groupBy("part").applyInArrow(
+        _frequent(least), "shard long, w1 array<long>, w2 array<long>, f array<long>")
+    often = written(often, "phrase-twos")
+    twos = often.where("shard IS NULL").select(F.explode(F.arrays_zip("w1", "w2", "f")).alias("x")).select(
+        F.col("x.w1").alias("w1"), F.col("x.w2").alias("w2"), F.col("x.f").alias("f"))
     more = pairs.where("ids IS NOT NULL").select("shard", "ids", "word").groupBy("shard").cogroup(
-        often.select(F.col("shard").alias("home"), "w1", "w2").groupBy("home")).applyInArrow(_longer, "w1 long, w2 long, w3 long, w4 long, c long")
+        often.where("shard IS NOT NULL").select(F.col("shard").alias("home"), "w1", "w2").groupBy("home")).applyInArrow(_longer, "w1 long, w2 long, w3 long, w4 long, c long")
     more = more.groupBy("w1", "w2", "w3", "w4").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     key = F.filter(F.array("w1", "w2", "w3", "w4"), lambda x: x.isNotNull()).alias("key")
     counts = words.select(F.array("w").alias("key"), "f").unionByName(twos.select(F.array("w1", "w2").alias("key"), "f")).unionByName(more.select(key, "f"))
