@@ -39,9 +39,9 @@ _SLICE = 2 << 20
 _SHARDS_A_PART = 4
 #: A shard's row (its text and the numbers of its words) and its rows of pairs; frequent pairs; phrases of three and four words.
 _LONGS = pa.list_(pa.int64())
-_PAIRS = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("word", _LONGS), ("part", pa.int64()), ("w1", _LONGS), ("w2", _LONGS), ("c", _LONGS)])
-_TWOS = pa.schema([("shard", pa.int64()), ("w1", _LONGS), ("w2", _LONGS), ("f", _LONGS)])
-_MORE = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "w3", "w4", "c")])
+_PAIRS = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("word", _LONGS), ("part", pa.int64()), ("pairs", pa.binary())])
+_TWOS = pa.schema([("shard", pa.int64()), ("held", pa.binary()), ("w1", _LONGS), ("w2", _LONGS), ("f", _LONGS)])
+_MORE = pa.schema([("part", pa.int64()), ("phrases", pa.binary())])
 
 
 def numbers(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -91,7 +91,7 @@ def _shards(shard_bytes: int, task_bytes: int):
             del size[lang]
             if len(words):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int64()), pa.array([lang]), pa.array([int(counts.sum())], pa.int64()), pa.array([ids.tobytes()], pa.binary()),
+                    [pa.array([shard], pa.int64()), pa.array([lang]), pa.array([int(counts.sum())], pa.int64()), pa.array([squeezed(ids)], pa.binary()),
                      pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([counts], pa.list_(pa.int64()))],
                     names=["shard", "lang", "n", "ids", "words", "counts"])
                 shard += 1
@@ -110,98 +110,140 @@ def _shards(shard_bytes: int, task_bytes: int):
     return run
 
 
-def _lists(bounds: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
-    """Each array of values cut at the bounds, a list a row."""
-    return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x)) for x in values]
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Whole numbers, columns of one length: first bytes, second bytes and so on together, compressed."""
+    raw = np.ascontiguousarray(np.stack(columns).astype("<i8").view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([np.asarray(x.flatten()) for x in column.chunks]) if column.num_chunks else np.zeros(0, np.int64)
+def spread(blob: bytes, k: int) -> list[np.ndarray]:
+    """The k columns that were squeezed."""
+    size = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return list(np.ascontiguousarray(raw.reshape(k, 8, -1).transpose(0, 2, 1)).view("<i8").reshape(k, -1))
+
+
+def _by_part(words: list[np.ndarray], count: np.ndarray, rank: np.ndarray, word: np.ndarray, parts: int) -> tuple[np.ndarray, list[bytes]]:
+    """Phrases of one shard, given by its own numbers (from 1 on; 0: no word), as one blob for each part of all phrases:
+    the phrase's word numbers (-1: no word), the first as differences, and its count."""
+    mixed = np.zeros(len(count), np.uint64)
+    known = np.append(word, -1)
+    columns = [known[w - 1] for w in words]
+    for w in columns:
+        mixed = (mixed ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    part = ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)).astype(np.int64) % parts
+    order = np.argsort((part * len(known) + rank[words[0] - 1]) * len(known) + rank[words[1] - 1], kind="stable")
+    part = part[order]
+    heads = np.flatnonzero(np.diff(part, prepend=-1) != 0)
+    blobs = []
+    for low, high in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=False):
+        some = order[low:high]
+        blobs.append(squeezed(np.diff(columns[0][some], prepend=0), *[c[some] for c in columns[1:]], count[some]))
+    return part[heads], blobs
+
+
+def _ranks(word: np.ndarray) -> np.ndarray:
+    rank = np.empty(len(word), dtype=np.int64)
+    rank[np.argsort(word)] = np.arange(len(word))
+    return rank
 
 
 def _pairs(parts: int):
     def run(shard: pa.Table, marks: pa.Table) -> pa.Table:
         """Of one shard and the numbers ``w`` of its frequent words (``at``: its own): a row of its text of these, and its
-        pairs, those of a part of the pairs in a row."""
+        pairs, those of a part of all pairs in a row."""
         if not marks.num_rows or not shard.num_rows:
             return _PAIRS.empty_table()
         at, word = marks.column("at").to_numpy(), marks.column("w").to_numpy()
         number = shard.column("shard")[0].as_py()
-        text = np.frombuffer(shard.column("ids")[0].as_py(), dtype=np.int32)
+        text = spread(shard.column("ids")[0].as_py(), 1)[0]
         own = np.zeros(int(text.max(initial=0)) + 1, dtype=np.int32)
         own[at + 1] = np.arange(1, len(at) + 1)
         text = chains(own[text], 2)
         index = Bidirectional(text, 2)
         two = index.left(index.single())
         del index
-        one, other = (word[two.words[:, c] - 1] for c in (0, 1))
-        mixed = one.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + other.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        part = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        head = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1) != 0)
-        none = pa.nulls(1, _LONGS)
-        text = pa.Table.from_arrays([pa.array([number], pa.int64()), pa.array([text.astype(np.int32).tobytes()], pa.binary()), pa.array([word], _LONGS), pa.nulls(1, pa.int64()),
-                                     none, none, none], schema=_PAIRS)
-        n = len(head)
-        rest = pa.Table.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, pa.binary()), pa.nulls(n, _LONGS), pa.array(part[order[head]].astype(np.int64)),
-                                     *_lists(np.append(head, len(order)), one[order], other[order], two.size[order].astype(np.int64))], schema=_PAIRS)
-        return pa.concat_tables([text, rest])
+        part, blobs = _by_part([two.words[:, 0], two.words[:, 1]], two.size, _ranks(word), word, parts)
+        n = len(part)
+        whole = pa.Table.from_arrays([pa.array([number], pa.int64()), pa.array([squeezed(text)], pa.binary()), pa.array([word], _LONGS), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], schema=_PAIRS)
+        rest = pa.Table.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, pa.binary()), pa.nulls(n, _LONGS), pa.array(part), pa.array(blobs, pa.binary())], schema=_PAIRS)
+        return pa.concat_tables([whole, rest])
     return run
 
 
+def _merged(blobs: list[bytes], k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases of many blobs in order: their k word numbers, counts, which blob each is from; and of each distinct one
+    the first place and the sum of its counts."""
+    columns = [spread(x, k + 1) for x in blobs]
+    source = np.repeat(np.arange(len(blobs)), [len(x[0]) for x in columns])
+    columns = [np.concatenate([np.cumsum(x[0]) if c == 0 else x[c] for x in columns]) for c in range(k + 1)]
+    order = np.lexsort(columns[k - 1 :: -1])
+    columns, source = [x[order] for x in columns], source[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in columns[:k]], axis=0)
+    head = np.flatnonzero(new)
+    return columns[:k], source, new, head, np.add.reduceat(columns[k], head)
+
+
 def _frequent(least: int):
     def run(part: pa.Table) -> pa.Table:
         """Of one part of the pairs, in all shards: its frequent pairs with their counts (``shard`` null), and which of them each
         shard holds."""
-        one, other, c = (_flat(part.column(x)) for x in ("w1", "w2", "c"))
-        shard = np.repeat(part.column("shard").to_numpy(), np.concatenate([np.asarray(x.value_lengths()) for x in part.column("w1").chunks]))
-        order = np.lexsort((other, one))
-        one, other, shard = one[order], other[order], shard[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (one[1:] != one[:-1]) | (other[1:] != other[:-1])
-        head = np.flatnonzero(new)
-        f = np.add.reduceat(c[order], head)
+        (one, other), source, new, head, f = _merged(part.column("pairs").to_pylist(), 2)
         often = f >= least
         held = np.flatnonzero(often[np.cumsum(new) - 1])
         if not len(held):
             return _TWOS.empty_table()
-        held = held[np.argsort(shard[held], kind="stable")]
-        each = np.flatnonzero(np.diff(shard[held], prepend=shard[held[0]] - 1) != 0)
+        held = held[np.argsort(source[held], kind="stable")]
+        from_ = source[held]
+        each = np.flatnonzero(np.diff(from_, prepend=-1) != 0)
+        blobs = [squeezed(np.diff(one[x], prepend=0), other[x]) for x in np.split(held, each[1:])]
         head, n = head[often], len(each)
-        sums = pa.Table.from_arrays([pa.nulls(1, pa.int64()), *_lists(np.array([0, len(head)]), one[head], other[head], f[often])], schema=_TWOS)
-        rows = pa.Table.from_arrays([pa.array(shard[held[each]]), *_lists(np.append(each, len(held)), one[held], other[held]), pa.nulls(n, _LONGS)], schema=_TWOS)
+        sums = pa.Table.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *[pa.array([x], _LONGS) for x in (one[head], other[head], f[often])]], schema=_TWOS)
+        rows = pa.Table.from_arrays([pa.array(part.column("shard").to_numpy()[from_[each]]), pa.array(blobs, pa.binary()), *[pa.nulls(n, _LONGS)] * 3], schema=_TWOS)
         return pa.concat_tables([sums, rows])
     return run
 
 
-def _longer(shard: pa.Table, marks: pa.Table) -> pa.Table:
-    """Of one shard's text and its frequent pairs: its phrases of three and four words."""
-    if not marks.num_rows or not shard.num_rows:
-        return _MORE.empty_table()
-    word = np.asarray(shard.column("word")[0].values)
-    one, other = _flat(marks.column("w1")), _flat(marks.column("w2"))
-    text = np.frombuffer(shard.column("ids")[0].as_py(), dtype=np.int32).astype(np.int64)
-    order = np.argsort(word)
-
-    def local(x: np.ndarray) -> np.ndarray:
-        return order[np.searchsorted(word, x, sorter=order)] + 1
-
-    width = len(word) + 1
-    known = np.sort(local(one) * width + local(other))
-    key = np.concatenate([[0], text[:-1] * width + text[1:]])
-    place = np.minimum(np.searchsorted(known, key), len(known) - 1)
-    text = chains(text, 3, apart=known[place] != key)
-    del key, place, known
-    index = Bidirectional(text, 4)
-    three = index.right(index.left(index.single()))
-    found = [three, index.left(three)]
-    del index, three, text
-    out = []
-    for phrases in found:
-        columns = [pa.array(word[phrases.words[:, k] - 1]) for k in range(phrases.words.shape[1])]
-        columns += [pa.nulls(len(phrases.size), pa.int64())] * (4 - len(columns))
-        out.append(pa.Table.from_arrays([*columns, pa.array(phrases.size.astype(np.int64))], schema=_MORE))
-    return pa.concat_tables(out)
+def _longer(parts: int):
+    def run(shard: pa.Table, marks: pa.Table) -> pa.Table:
+        """Of one shard's text and its frequent pairs: its phrases of three and four words, those of a part in a row."""
+        if not marks.num_rows or not shard.num_rows:
+            return _MORE.empty_table()
+        word = np.asarray(shard.column("word")[0].values)
+        pairs = [spread(x, 2) for x in marks.column("held").to_pylist()]
+        one, other = np.concatenate([np.cumsum(x[0]) for x in pairs]), np.concatenate([x[1] for x in pairs])
+        del pairs
+        text = spread(shard.column("ids")[0].as_py(), 1)[0]
+        order = np.argsort(word)
+
+        def local(x: np.ndarray) -> np.ndarray:
+            return order[np.searchsorted(word, x, sorter=order)] + 1
+
+        width = len(word) + 1
+        known = np.sort(local(one) * width + local(other))
+        key = np.concatenate([[0], text[:-1] * width + text[1:]])
+        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        text = chains(text, 3, apart=known[place] != key)
+        del key, place, known, one, other
+        index = Bidirectional(text, 4)
+        three = index.right(index.left(index.single()))
+        four = index.left(three)
+        del index, text
+        words = [np.concatenate([three.words[:, k] if k < 3 else np.zeros(len(three.size), np.int64), four.words[:, k]]) for k in range(4)]
+        part, blobs = _by_part(words, np.concatenate([three.size, four.size]), _ranks(word), word, parts)
+        return pa.Table.from_arrays([pa.array(part), pa.array(blobs, pa.binary())], schema=_MORE)
+    return run
+
+
+def _sums(least: int):
+    def run(part: pa.Table) -> pa.Table:
+        """Of one part of the phrases of three and four words: the frequent ones with their counts."""
+        columns, _, _, head, f = _merged(part.column("phrases").to_pylist(), 4)
+        head, f = head[f >= least], f[f >= least]
+        return pa.Table.from_arrays([*[pa.array(x[head], mask=x[head] < 0) for x in columns], pa.array(f)], names=["w1", "w2", "w3", "w4", "f"])
+    return run
 
 
 def frequencies(docs: DataFrame, least: int, lang_col: str = "lang", text_col: str = "text", shard_bytes: int = SHARD_BYTES, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -217,16 +259,16 @@ def frequencies(docs: DataFrame, least: int, lang_col: str = "lang", text_col: s
     parts = shards.count() // _SHARDS_A_PART + 1  # grows with the texts, so that no task sorts more
     # a shard and the rows about its own words meet as one group, so a task holds one shard at a time
     pairs = shards.select("shard", "ids").groupBy("shard").cogroup(marks.groupBy("home")).applyInArrow(
-        _pairs(parts), "shard long, ids binary, word array<long>, part long, w1 array<long>, w2 array<long>, c array<long>")
+        _pairs(parts), "shard long, ids binary, word array<long>, part long, pairs binary")
     pairs = written(pairs, "phrase-pairs")
-    often = pairs.where("ids IS NULL").select("part", "shard", "w1", "w2", "c").groupBy("part").applyInArrow(
-        _frequent(least), "shard long, w1 array<long>, w2 array<long>, f array<long>")
+    often = pairs.where("ids IS NULL").select("part", "shard", "pairs").groupBy("part").applyInArrow(
+        _frequent(least), "shard long, held binary, w1 array<long>, w2 array<long>, f array<long>")
     often = written(often, "phrase-twos")
     twos = often.where("shard IS NULL").select(F.explode(F.arrays_zip("w1", "w2", "f")).alias("x")).select(
         F.col("x.w1").alias("w1"), F.col("x.w2").alias("w2"), F.col("x.f").alias("f"))
     more = pairs.where("ids IS NOT NULL").select("shard", "ids", "word").groupBy("shard").cogroup(
-        often.where("shard IS NOT NULL").select(F.col("shard").alias("home"), "w1", "w2").groupBy("home")).applyInArrow(_longer, "w1 long, w2 long, w3 long, w4 long, c long")
-    more = more.groupBy("w1", "w2", "w3", "w4").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+        often.where("shard IS NOT NULL").select(F.col("shard").alias("home"), "held").groupBy("home")).applyInArrow(_longer(parts), "part long, phrases binary")
+    more = more.groupBy("part").applyInArrow(_sums(least), "w1 long, w2 long, w3 long, w4 long, f long")
     key = F.filter(F.array("w1", "w2", "w3", "w4"), lambda x: x.isNotNull()).alias("key")
     counts = words.select(F.array("w").alias("key"), "f").unionByName(twos.select(F.array("w1", "w2").alias("key"), "f")).unionByName(more.select(key, "f"))
     return written(counts, "phrase-counts"), words, shards.groupBy("lang").agg(F.sum("n").alias("n"))

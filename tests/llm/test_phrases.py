@@ -106,3 +106,10 @@ def test_the_query_equals_its_sql(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
     assert got == sorted(con.execute("SELECT lang, rank, phrase, a, l, r, n, score FROM (" + queries.OP12_SQL + ")").fetchall()) and len(got) >= 50
+
+
+@given(st.integers(1, 4).flatmap(lambda k: st.lists(st.lists(st.integers(-(2**63), 2**63 - 1), min_size=k, max_size=k), max_size=30).map(lambda rows: (k, rows))))
+def test_squeezed_columns_come_back(case):
+    k, rows = case
+    columns = [np.array([r[c] for r in rows], dtype=np.int64) for c in range(k)]
+    assert [x.tolist() for x in phrases.spread(phrases.squeezed(*columns), k)] == [x.tolist() for x in columns]
