@@ -9,9 +9,11 @@ computed again in double precision.
 
 Representatives lie in tiles of ``tile`` vectors around pivots (a bounded
 sample); two tiles whose angle less their radii exceeds the threshold's angle
-are never multiplied.  Every remaining pair of tiles is one task's work, in
-blocks of rows, and hands back a number of links for each vector and a spanning
-forest of the links, never the pairs themselves.
+are never multiplied, and are not sent to each other where their pivots tell.
+The pairs of tiles are dealt as squares of some tiles by some tiles, a square
+one task's work, so a tile travels once for a side of a square, as the
+components it came with.  A pair of tiles hands back a number of links for each
+vector and a spanning forest of the links, never the pairs themselves.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; so do vectors of different lengths.  Rows with a
@@ -35,6 +37,8 @@ from nextbest.llm.common import components, written
 TILE = 4096
 #: Vectors that tiles gather around, at most; they decide which products can be skipped, never the result.
 MOST_PIVOTS = 1024
+#: Bytes of vectors on one side of a square of tile pairs, at most (one tile always), and sides that are aimed at.
+SIDE_BYTES, SIDES = 32 << 20, 4
 _ROWS = 512
 _EXACT = 1 << 16
 
@@ -74,27 +78,40 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> It
         yield i[sure] + at, j[sure]
 
 
-def _pack(frame: pd.DataFrame) -> np.ndarray:
-    x = np.stack(frame["embedding"].to_numpy()).astype(np.float64) if len(frame) else np.zeros((0, 1))
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # else the squares of tiny or huge components are lost
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _products(threshold: float):
+def _pack(frame: pd.DataFrame) -> np.ndarray:
+    return _units(np.stack(frame["embedding"].to_numpy())) if len(frame) else np.zeros((0, 1))
+
+
+def _products(threshold: float, side: int, component: str):
+    angle = math.acos(min(1.0, threshold)) + 1e-6
+
+    def block(key: tuple[int, int], rows: list) -> Iterator[pd.DataFrame]:
+        tiles = []
+        for row in rows:
+            ids = np.frombuffer(row.ids, dtype=np.int64)
+            unit = _units(np.frombuffer(row.vectors, dtype=component).reshape(len(ids), -1))
+            tiles.append((row.tile, ids, np.frombuffer(row.counts, dtype=np.int64), unit, np.asarray(row.middle), row.radius))
+        for one in tiles:
+            for two in tiles:
+                if (one[0] // side, two[0] // side) == key and one[0] <= two[0]:
+                    if one is two or math.acos(float(np.clip(one[4] @ two[4], -1, 1))) - one[5] - two[5] <= angle:
+                        yield _linked(one[:4], two[:4], threshold, one is two)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left: dict[tuple[int, int], tuple] = {}
+        held, rows = None, []  # the tiles of one block of pairs: at most two sides of the square
         for frame in frames:
             for row in frame.itertuples(index=False):
-                key = (row.i, row.j)
-                ids = np.frombuffer(row.ids, dtype=np.int64)
-                counts = np.frombuffer(row.counts, dtype=np.int64)
-                unit = np.frombuffer(row.unit, dtype=np.float64).reshape(len(ids), -1)
-                if row.i != row.j and key not in left:
-                    left[key] = (row.tile, ids, counts, unit)
-                    continue
-                one, two = (left.pop(key), (row.tile, ids, counts, unit)) if row.i != row.j else ((row.tile, ids, counts, unit),) * 2
-                yield _linked(one, two, threshold, row.i == row.j)
-        assert not left
+                if (row.i, row.j) != held:
+                    yield from block(held, rows)
+                    held, rows = (row.i, row.j), []
+                rows.append(row)
+        yield from block(held, rows)
 
     return run
 
@@ -149,7 +166,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     reps = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
     reps = written(reps, "vector-classes")
     sizes = [(r["d"], r["c"]) for r in reps.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("c")).collect()]
-    parts = [_links(reps.where(F.size("embedding") == d), c, threshold, tile) for d, c in sorted(sizes)]
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    component = "float32" if kind == "array<float>" else "float64"  # what holds the components exactly
+    parts = [_links(reps.where(F.size("embedding") == d), c, d, threshold, tile, component) for d, c in sorted(sizes)]
     if parts:
         links = parts[0]
         for p in parts[1:]:
@@ -167,52 +186,54 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
                        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(reps: DataFrame, n: int, threshold: float, tile: int) -> DataFrame:
+def _links(reps: DataFrame, n: int, width: int, threshold: float, tile: int, component: str) -> DataFrame:
     """(rep, links, root): numbers of links and forest edges of all pairs of tiles of one vector length."""
     spark = reps.sparkSession
     tiles = -(-n // tile)
-    pivots = spark.sparkContext.broadcast(_pivots(reps, min(MOST_PIVOTS, tiles)))
+    pivots = _pivots(reps, min(MOST_PIVOTS, tiles))
+    known = spark.sparkContext.broadcast(pivots)
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"rep": frame["rep"], "n": frame["n"], "embedding": frame["embedding"],
-                                "cell": (_pack(frame) @ pivots.value.T).argmax(axis=1)}) if len(frame) else pd.DataFrame({"rep": [], "n": [], "embedding": [], "cell": []})
-
-    celled = written(reps.select("rep", "n", "embedding").mapInPandas(nearest, "rep long, n long, embedding array<double>, cell long"), "vector-cells")
-    room = {r["cell"]: -(-r["c"] // tile) for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).collect()}  # a number for each pivot
-    first, total = {}, 0
-    for cell in sorted(room):
-        first[cell], total = total, total + room[cell]
-    if not total:
+            if len(frame):
+                cosine = _pack(frame) @ known.value.T
+                yield pd.DataFrame({"rep": frame["rep"], "n": frame["n"], "embedding": frame["embedding"], "cell": cosine.argmax(axis=1), "cosine": cosine.max(axis=1)})
+
+    celled = written(reps.select("rep", "n", "embedding").mapInPandas(nearest, "rep long, n long, embedding array<double>, cell long, cosine double"), "vector-cells")
+    # a row for each pivot
+    cells = sorted((r["cell"], -(-r["c"] // tile), r["far"]) for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.min("cosine").alias("far")).collect())
+    if not cells:
         return spark.createDataFrame([], "rep long, links long, root long")
-    plan = spark.createDataFrame([(int(c), int(first[c]), int(room[c])) for c in room], "cell long, first long, parts long")
+    number = np.array([c for c, _, _ in cells])
+    last = np.cumsum([parts for _, parts, _ in cells])
+    first, total = np.concatenate([[0], last[:-1]]), int(last[-1])
+    side = max(1, min(SIDE_BYTES // (tile * width * 8), -(-total // SIDES)))
+    radius = np.arccos(np.clip([far for _, _, far in cells], -1, 1))
+    angle = math.acos(min(1.0, threshold)) + 1e-6
+    apart = np.arccos(np.clip(pivots[number] @ pivots[number].T, -1, 1)) - radius[:, None] - radius[None, :]
+    near = spark.sparkContext.broadcast((number, first // side, (last - 1) // side, apart <= angle))  # rows and columns for the pivots
+    plan = spark.createDataFrame([(int(c), int(f), int(parts)) for (c, parts, _), f in zip(cells, first, strict=True)], "cell long, first long, parts long")
     placed = celled.join(F.broadcast(plan), "cell").withColumn("tile", F.col("first") + F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")))
 
     def bundle(key, frame: pd.DataFrame) -> pd.DataFrame:
+        """A tile, its middle and radius, and the stretches of tiles that may hold partners of its vectors."""
         unit = _pack(frame)
         middle = unit.mean(axis=0)
         middle = middle / max(np.linalg.norm(middle), 1e-30)
+        number, low, high, met = near.value
+        row = int(np.searchsorted(number, frame["cell"].iloc[0]))
+        sides = np.unique(np.concatenate([[int(key[0]) // side], *[np.arange(low[c], high[c] + 1) for c in np.flatnonzero(met[row])]]))
         return pd.DataFrame({"tile": [int(key[0])], "ids": [frame["rep"].to_numpy(np.int64).tobytes()], "counts": [frame["n"].to_numpy(np.int64).tobytes()],
-                             "unit": [unit.tobytes()], "middle": [middle.tolist()], "radius": [float(np.arccos(np.clip((unit @ middle).min(), -1, 1)))]})
-
-    bundles = written(placed.groupBy("tile").applyInPandas(bundle, "tile long, ids binary, counts binary, unit binary, middle array<double>, radius double"), "vector-tiles")
-    summary = bundles.select("tile", "middle", "radius").toPandas().sort_values("tile")  # a row for each tile of vectors
-    known = spark.sparkContext.broadcast((summary["tile"].to_numpy(), np.stack(summary["middle"].to_numpy()), summary["radius"].to_numpy()))
-    angle = math.acos(min(1.0, threshold)) + 1e-6
-
-    def partners(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tile_of, middle, radius = known.value
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                apart = np.arccos(np.clip(middle @ np.asarray(row.middle), -1, 1)) - radius - row.radius
-                out += [(row.tile, min(row.tile, t), max(row.tile, t)) for t in tile_of[apart <= angle].tolist()]
-                if (row.tile, row.tile, row.tile) not in out[-len(tile_of):]:
-                    out.append((row.tile, row.tile, row.tile))
-            yield pd.DataFrame(out, columns=["tile", "i", "j"])
-
-    pairs = bundles.select("tile", "middle", "radius").mapInPandas(partners, "tile long, i long, j long")
-    work = bundles.select("tile", "ids", "counts", "unit").join(pairs, "tile")
-    number = max(1, min(total * (total + 1) // 2, 4 * spark.sparkContext.defaultParallelism + total))
-    dealt = work.repartition(number, "i", "j").sortWithinPartitions("i", "j", "tile")
-    return dealt.mapInPandas(_products(threshold), "rep long, links long, root long")
+                             "vectors": [np.stack(frame["embedding"].to_numpy()).astype(component).tobytes()], "middle": [middle.tolist()],
+                             "radius": [float(np.arccos(np.clip((unit @ middle).min(), -1, 1)))], "sides": [sides.tolist()]})
+
+    bundles = written(placed.groupBy("tile").applyInPandas(
+        bundle, "tile long, ids binary, counts binary, vectors binary, middle array<double>, radius double, sides array<long>"), "vector-tiles")
+    # pairs of tiles are dealt as squares: a tile goes once to each stretch of tiles, not to each tile
+    own = F.expr(f"tile div {side}")
+    work = bundles.select("tile", "ids", "counts", "vectors", "middle", "radius", F.explode("sides").alias("other"))
+    work = work.withColumn("i", F.least(own, "other")).withColumn("j", F.greatest(own, "other")).drop("other")
+    squares = -(-total // side)
+    number_of = max(1, min(squares * (squares + 1) // 2, 4 * spark.sparkContext.defaultParallelism + total))
+    dealt = work.repartition(number_of, "i", "j").sortWithinPartitions("i", "j", "tile")
+    return dealt.mapInPandas(_products(threshold, side, component), "rep long, links long, root long")
