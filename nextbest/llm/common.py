@@ -7,7 +7,9 @@ every executor can read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,18 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
         yield batch.slice(start)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, and after it the worker returns its freed memory to the system: Spark keeps workers for later tasks."""
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+    return task
+
+
 def number_within(df: DataFrame, keys: list[str], order: list[str], sub: Column, out: str) -> DataFrame:
     """Gapless numbers from 0 for the rows of each key, without one task per key.
 

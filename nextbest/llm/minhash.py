@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nextbest.llm.common import components, id_and_text, slices, texts_of, written
+from nextbest.llm.common import components, id_and_text, lean, slices, texts_of, written
 from nextbest.llm.shingles import mix, overlap, shingle_sets
 
 COORDINATES = 64
@@ -83,7 +83,7 @@ def _sign(words: int):
 
 def signed(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, n_shingles, fp1, fp2, sig): set size, set fingerprint and signature of whole texts."""
-    return docs.mapInArrow(_sign(words), "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<int>")
+    return docs.mapInArrow(lean(_sign(words)), "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<int>")
 
 
 def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,14 +118,14 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     one = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
     two = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
     sized = pairs.join(two, "b").join(one, "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_matching, "a long, b long, hits int")
+    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(lean(_matching), "a long, b long, hits int")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     joined = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(_confirm(words, percent), "a long, b long")
+    return joined.mapInArrow(lean(_confirm(words, percent)), "a long, b long")
 
 
 def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -244,9 +244,9 @@ def _open_links(prefix: DataFrame, labels: DataFrame, reps: DataFrame, base: Dat
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(*_PAIR).sortWithinPartitions(*_PAIR)
 
-    near = written(dealt(work).mapInPandas(_near_members(percent), "rep long").distinct(), "minhash-near")
+    near = written(dealt(work).mapInPandas(lean(_near_members(percent)), "rep long").distinct(), "minhash-near")
     texts = base.select(F.col("doc_id").alias("rep"), "text").join(near, "rep", "left_semi")
-    return dealt(work.join(texts, "rep")).mapInPandas(_joining_links(words, percent), "a long, b long")
+    return dealt(work.join(texts, "rep")).mapInPandas(lean(_joining_links(words, percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:

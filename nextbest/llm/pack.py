@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nextbest.llm.bpe import encoder
-from nextbest.llm.common import id_and_text, number_within, slices, texts_of, written
+from nextbest.llm.common import id_and_text, lean, number_within, slices, texts_of, written
 
 _SLICE = 4 << 20
 
@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, path: str, tokens: int = 2048, terminator: int = 0,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): ids as little-endian unsigned 32-bit bytes."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return id_and_text(docs, id_col, text_col).mapInArrow(_cut(path, tokens, terminator, with_ids), schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(_cut(path, tokens, terminator, with_ids)), schema)
 
 
 def _place(placements):
@@ -163,7 +163,7 @@ def pack(cut: DataFrame, limits: Limits | None = None, sub_groups: int = 64) ->
     sub = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(sub_groups, sum(histogram.values()) // 10_000_000)))
     ranked = number_within(cut, ["length"], ["doc_id", "piece", "ids_crc32"], sub, "rank").select(*cut.columns, "rank")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_place(placements), schema)
+    return ranked.mapInArrow(lean(_place(placements)), schema)
 
 
 def packed(docs: DataFrame, path: str, limits: Limits | None = None, terminator: int = 0, with_ids: bool = True,

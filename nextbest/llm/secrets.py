@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nextbest.llm.automaton import Automaton, Rule, compile_rules
-from nextbest.llm.common import id_and_text, slices, texts_of
+from nextbest.llm.common import id_and_text, lean, slices, texts_of
 
 _SLICE = 2 << 20
 
@@ -82,7 +82,7 @@ def _scan(machine):
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): the spans of every text as an array of (kind, start, end)."""
     machine = docs.sparkSession.sparkContext.broadcast(automaton())  # a fixed size: it depends on the rules alone
-    return id_and_text(docs, id_col, text_col).mapInArrow(_scan(machine), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(_scan(machine)), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -104,7 +104,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
                 place = batch.schema.get_field_index(text_col)
                 yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def joined(spans, sep: str = ","):

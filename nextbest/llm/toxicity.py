@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nextbest.llm.common import id_and_text, slices, texts_of, written
+from nextbest.llm.common import id_and_text, lean, slices, texts_of, written
 from nextbest.llm.shingles import LOWER, mix, powers, shingle_sets
 
 BUCKETS_LOG2 = 17
@@ -302,7 +302,7 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_LABE
     some = marked.where(~held_out()).join(rows.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(
         F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most_rows)
     one = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    return written(one.mapInArrow(_bag, _BAGS), "toxicity-bags")
+    return written(one.mapInArrow(lean(_bag), _BAGS), "toxicity-bags")
 
 
 def gathered(bags: pa.Table) -> tuple[Bags, np.ndarray]:
@@ -336,7 +336,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the labelled rows that are not held out, at most ``most_rows``, learned in one task."""
     bags = labelled_bags(docs, labels, most_rows, id_col, text_col)
-    got = bags.coalesce(1).mapInArrow(_learn, "embeddings binary, softmax binary, bias binary").first()
+    got = bags.coalesce(1).mapInArrow(lean(_learn), "embeddings binary, softmax binary, bias binary").first()
     if got is None:
         return learn(bags_of([]), np.zeros(0))
     return Model(np.frombuffer(got["embeddings"], "<f4").reshape(BUCKETS, DIMENSIONS), np.frombuffer(got["softmax"], "<f4").reshape(2, DIMENSIONS), np.frombuffer(got["bias"], "<f8"))
@@ -361,10 +361,10 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", most: float = 0
             for batch in slices(whole, text_col, _SLICE):
                 yield batch.filter(pa.array(scores(texts_of(batch.column(text_col)), margins, bias) < most))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every whole text."""
     numbers = docs.sparkSession.sparkContext.broadcast((model.margins(), float(model.bias[1] - model.bias[0])))
-    return id_and_text(docs, id_col, text_col).mapInArrow(_score(numbers), "doc_id long, score double")
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(_score(numbers)), "doc_id long, score double")
