@@ -122,6 +122,21 @@ def test_a_filter_of_few_bits_changes_nothing(spark):
     assert many == few
 
 
+def test_encode_decode_reads_the_documents_twice(spark):
+    shared = " ".join(words(600, 7))
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = texts(spark, [(k, f"{' '.join(words(200, 50 + k))} {shared if k % 2 else ''}") for k in range(8)])
+    got = bpe.encode_decode(docs.mapInArrow(read, docs.schema), PATH, digests=True).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((r.doc_id, len(ids_of(r.text))) for r in docs.collect())
+    assert seen.value == 2 * 8
+
+
 # -- packing -----------------------------------------------------------------------------------------------------------
 def check_packing(rows, limits):
     bins = {}
