@@ -23,21 +23,36 @@ from nextbest.functions.scalars import flag_when, round_half_up, safe_ratio
 from nextbest.operators.silver import stamp
 
 
+#: Amounts are summed as whole ten-thousandths, their upper bits and lower 32 bits apart: exact, and neither sum can overflow.
+_LOW = 32
+
+
+def _money_sum(units: F.Column) -> F.Column:
+    """Exact DECIMAL(28, 4) sum of amounts given as whole ten-thousandths."""
+    high = F.sum(F.shiftright(units, _LOW)).cast("decimal(20,0)")
+    low = F.sum(units.bitwiseAND(F.lit((1 << _LOW) - 1))).cast("decimal(20,0)")
+    return ((high * F.lit(1 << _LOW).cast("decimal(10,0)") + low) * F.lit("0.0001").cast("decimal(4,4)")).cast("decimal(28,4)")
+
+
 def transaction_stats(txn: DataFrame) -> DataFrame:
     """Per customer: count, sum, avg, max of amount and 8 category spends.
 
-    Money is summed as DECIMAL(18, 4): sums, mean and shares are exact and do
-    not depend on the order in which partial sums meet."""
-    amount = F.col("amount").cast("decimal(18,4)")
+    Money is summed exactly as whole ten-thousandths (amounts count as
+    DECIMAL(18, 4)): sums, mean and shares do not depend on the order in which
+    partial sums meet, and no row makes a big decimal for each column."""
+    units = F.col("units")
+    rows = txn.select("customer_id", "category", (F.col("amount").cast("decimal(18,4)") * 10000).cast("long").alias("units"))
     spends = [
-        F.sum(F.when(F.col("category") == cat, amount).otherwise(F.lit(0).cast("decimal(18,4)"))).cast("double").alias(f"{cat}_spend")
+        _money_sum(F.when(F.col("category") == cat, units).otherwise(F.lit(0).cast("long"))).cast("double").alias(f"{cat}_spend")
         for cat in C.SPEND_CATEGORIES
     ]
-    return txn.groupBy("customer_id").agg(
+    total, n = _money_sum(units), F.count("units").cast("decimal(20,0)")
+    most = (F.max("units").cast("decimal(18,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast("decimal(18,4)")
+    return rows.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_transactions"),
-        F.sum(amount).cast("double").alias("total_spend"),
-        F.avg(amount).alias("avg_transaction"),
-        F.max(amount).cast("double").alias("max_transaction"),
+        total.cast("double").alias("total_spend"),
+        (total / F.nullif(n, F.lit(0).cast("decimal(20,0)"))).cast("decimal(22,8)").alias("avg_transaction"),
+        most.cast("double").alias("max_transaction"),
         *spends,
     )
 

@@ -391,3 +391,16 @@ def test_exact_money(spark):
     tx = silver.silver_transactions(txns(spark, rows))
     one, many = (gold.transaction_stats(tx.repartition(n)).collect()[0] for n in (1, 17))
     assert one == many and one.total_spend == 30.0 and one.dining_spend == 10.0 and float(one.avg_transaction) == 0.1
+
+
+def test_large_and_negative_money(spark):
+    """Sums pass 64 bits of ten-thousandths; a customer without any amount has none."""
+    rows = [(f"T{i}", "C_1", "2024-01-01", "Travel", "12345678901234.5", "m") for i in range(400)]
+    rows += [("U1", "C_2", "2024-01-01", "Dining", "-0.0001", "m"), ("U2", "C_2", "2024-01-01", "Travel", "n/a", "m"), ("V1", "C_3", "2024-01-01", "Travel", "n/a", "m")]
+    got = {r.customer_id: r for r in gold.transaction_stats(silver.silver_transactions(txns(spark, rows)).repartition(3)).collect()}
+    assert got["C_1"].total_spend == got["C_1"].travel_spend == 12345678901234.5 * 400 and got["C_1"].max_transaction == 12345678901234.5
+    assert float(got["C_1"].avg_transaction) == 12345678901234.5 and got["C_1"].dining_spend == 0
+    assert got["C_2"].total_spend == got["C_2"].dining_spend == got["C_2"].max_transaction == -0.0001 and got["C_2"].travel_spend == 0
+    assert float(got["C_2"].avg_transaction) == -0.0001 and got["C_2"].total_transactions == 2
+    c3 = got["C_3"]
+    assert (c3.total_transactions, c3.total_spend, c3.avg_transaction, c3.max_transaction, c3.travel_spend, c3.dining_spend) == (1, None, None, None, None, 0)

@@ -21,6 +21,23 @@ def test_transactions_aggregate_before_the_exchange(spark):
     assert "partial_sum" in plan[exchange_at:] and "partial_count" in plan[exchange_at:]
 
 
+def test_money_is_summed_as_longs(spark):
+    m = Models(spark, SF_SMALL, materialize_models=False)
+    plan = plan_of(gold.transaction_stats(m.silver_transactions))
+    assert "partial_sum(shiftright(units" in plan and "partial_sum(amount" not in plan
+
+
+def test_small_partitions_are_joined_without_a_sort(spark):
+    df = Models(spark, SF_SMALL, materialize_models=False).silver_products_held
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = df.groupBy("customer_id").count()
+        df.collect()
+        assert "ShuffledHashJoin" in plan_of(df) and "SortMergeJoin" not in plan_of(df).split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     m = Models(spark, SF_SMALL, materialize_models=False)
     plan = plan_of(m.silver_products_held)
