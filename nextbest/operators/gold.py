@@ -6,8 +6,8 @@ Scale notes
   aggregation map-side, so a customer holding a third of all rows costs one
   row per map task, not a hot reducer).  The join key equals the group key,
   so the aggregate's hash partitioning already satisfies the join.
-* Holdings are reduced to distinct (customer, product) pairs before any join;
-  a hot customer's duplicates are removed map-side.
+* Holdings are reduced to distinct (customer, product) pairs before any join
+  (``distinct_holdings``); a hot customer's duplicates are removed map-side.
 * The affinity table has one row per (segment, product): its size is bounded
   by segments x products, not by customers; joins against it are left to the
   runtime size check of AQE (broadcast when small, sort-merge otherwise).
@@ -62,6 +62,11 @@ def category_spend(txn: DataFrame) -> DataFrame:
     return transaction_stats(txn).select("customer_id", *[f"{c}_spend" for c in C.SPEND_CATEGORIES])
 
 
+def distinct_holdings(held: DataFrame) -> DataFrame:
+    """The different holdings: flags, matrix and affinity do not depend on how often one is listed."""
+    return held.select("customer_id", "product_id", "product_name").distinct()
+
+
 def product_flags(held: DataFrame) -> DataFrame:
     """Distinct product count and 8 ownership flags per customer."""
     name = F.col("product_name")

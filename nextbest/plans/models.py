@@ -65,20 +65,25 @@ class Models:
         return silver.silver_product_catalog(self.bronze["product_catalog"])
 
     # -- gold tables (materialised once per application, read back) --------
+    @cached_property
+    def distinct_holdings(self) -> DataFrame:
+        """Different holdings, written once: the gold tables read them instead of all rows."""
+        return self.written("distinct_holdings", lambda: gold.distinct_holdings(self.silver_products_held))
+
     @cached_property
     def gold_customer_features(self) -> DataFrame:
         return self.written("gold_customer_features", lambda: gold.customer_features(
-            self.silver_customers, self.silver_transactions, self.silver_products_held), bucket_by="customer_id")
+            self.silver_customers, self.silver_transactions, self.distinct_holdings), bucket_by="customer_id")
 
     @cached_property
     def gold_user_item_matrix(self) -> DataFrame:
         return self.written("gold_user_item_matrix", lambda: gold.user_item_matrix(
-            self.silver_customers, self.silver_products_held), bucket_by="customer_id")
+            self.silver_customers, self.distinct_holdings), bucket_by="customer_id")
 
     @cached_property
     def gold_product_affinity(self) -> DataFrame:
         return self.written("gold_product_affinity", lambda: gold.product_affinity(
-            self.silver_customers, self.silver_products_held))
+            self.silver_customers, self.distinct_holdings))
 
     @cached_property
     def products_distribution(self) -> DataFrame:

@@ -27,6 +27,23 @@ def test_money_is_summed_as_longs(spark):
     assert "partial_sum(shiftright(units" in plan and "partial_sum(amount" not in plan
 
 
+def test_gold_tables_read_the_holdings_once(spark):
+    m = Models(spark, SF_SMALL)
+    held, seen = m.silver_products_held.cache(), spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    m.__dict__["silver_products_held"] = held.mapInArrow(read, held.schema)
+    for name in ("gold_customer_features", "gold_user_item_matrix", "gold_product_affinity"):
+        m.ref(name).count()
+    assert seen.value == held.count()
+    held.unpersist()
+    m.close()
+
+
 def test_small_partitions_are_joined_without_a_sort(spark):
     df = Models(spark, SF_SMALL, materialize_models=False).silver_products_held
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
