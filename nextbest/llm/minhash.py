@@ -45,7 +45,7 @@ from nextbest.llm.shingles import mix, overlap, shingle_sets
 COORDINATES = 64
 MATCHES = 32
 _BLOCK = 4096
-_SLICE = 2 << 20
+_SLICE = 1 << 18  # a batch's arrays take some sixty times its text
 
 _rng = np.random.default_rng(8)
 _ODD = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

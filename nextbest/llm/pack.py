@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from nextbest.llm.bpe import encoder
 from nextbest.llm.common import id_and_text, number_within, slices, texts_of, written
 
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 
 @dataclass(frozen=True)

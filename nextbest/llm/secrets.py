@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from nextbest.llm.automaton import Automaton, Rule, compile_rules
 from nextbest.llm.common import id_and_text, slices, texts_of
 
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 
 #: kind, what begins a match, the class that ends it, least length of the class part.  Letters of ``assign`` in either case.
 RULES = (
