@@ -33,6 +33,8 @@ from nextbest.llm.bpe import encoder
 from nextbest.llm.common import id_and_text, number_within, slices, texts_of, written
 
 _SLICE = 1 << 20
+#: Words whose ids a worker keeps.
+_WORDS = 400_000
 
 
 @dataclass(frozen=True)
@@ -108,7 +110,7 @@ def _cut(path: str, tokens: int, terminator: int, with_ids: bool):
     end = np.array([terminator], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, entries=_WORDS)
         for whole in batches:
             for batch in slices(whole, "text", _SLICE):
                 rows = [[] for _ in range(6)]
